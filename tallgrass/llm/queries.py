@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat
+from . import bpe, chat, quality
 from .common import digest, table
 
 
@@ -49,5 +49,9 @@ SELECT conv_id, count(*) AS n_turns,
 FROM k GROUP BY conv_id
 """
 
-QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat, "op1_quality": op1_quality}
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
