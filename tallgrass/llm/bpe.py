@@ -32,7 +32,7 @@ from .common import fresh
 #: Fixed value: the pattern of GPT-2's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encodings that one Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bits of a symbol in a packed pair, bits of a position in a heap entry, and the mark of a symbol that is merged away.
 SHIFT, PLACE, GONE = 20, 40, (1 << 20) - 1
 #: Texts without other characters take the standard library's faster expressions, with the same result.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality
+from . import bpe, chat, langid, quality
 from .common import digest, table
 
 
@@ -53,5 +53,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat, "op1_quality": op1_quality}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    said = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat, "op1_quality": op1_quality, "op2_langid": op2_langid}
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
