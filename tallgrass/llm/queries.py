@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality
+from . import bpe, chat, langid, neardup, quality
 from .common import digest, table
 
 
@@ -59,5 +59,9 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat, "op1_quality": op1_quality, "op2_langid": op2_langid}
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat, "op1_quality": op1_quality, "op2_langid": op2_langid, "op5_minhash": op5_minhash}
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
