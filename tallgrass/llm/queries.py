@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, neardup, quality
+from . import bpe, chat, langid, linededup, neardup, quality
 from .common import digest, table
 
 
@@ -63,5 +63,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op9_chat": op9_chat, "op1_quality": op1_quality, "op2_langid": op2_langid, "op5_minhash": op5_minhash}
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_langid": op2_langid,
+    "op3_linededup": op3_linededup,
+    "op4_bpe": op4_bpe,
+    "op5_minhash": op5_minhash,
+    "op9_chat": op9_chat,
+}
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
