@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, neardup, quality
+from . import bpe, chat, langid, linededup, neardup, pii, quality
 from .common import digest, table
 
 
@@ -67,6 +67,11 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digested(pii.redactions(docs, pii.fit(docs)))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -74,5 +79,6 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_minhash": op5_minhash,
     "op9_chat": op9_chat,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
