@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, neardup, pii, quality
+from . import bpe, chat, langid, linededup, mixing, neardup, pii, quality
 from .common import digest, table
 
 
@@ -72,12 +72,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digested(pii.redactions(docs, pii.fit(docs)))
 
 
+#: Domains of the labelled table, and the shares of tokens that the mixture should have.
+TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out, domains = mixing.mixed(docs, domains_of(labels), TARGETS, budget=0.8, max_rate=1.0, keep=["doc_id"])
+    return out.select("doc_id", "n_tokens", *(F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), "rate", "copies")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
     "op3_linededup": op3_linededup,
     "op4_bpe": op4_bpe,
     "op5_minhash": op5_minhash,
+    "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
 }
