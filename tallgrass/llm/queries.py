@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, mixing, neardup, pii, quality
+from . import bpe, chat, langid, linededup, media, mixing, neardup, pii, quality
 from .common import digest, table
 
 
@@ -72,6 +72,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digested(pii.redactions(docs, pii.fit(docs)))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.store(docs).select("doc_id", "n_bytes", "media")
+    read = media.load(stored, tensor=False)
+    size = F.octet_length("payload").cast("long")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        size.alias("payload_bytes"),
+        digest(F.col("payload")).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        digest(F.col("media")).alias("media_sha256"),
+        "feature",
+    )
+
+
 #: Domains of the labelled table, and the shares of tokens that the mixture should have.
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 
@@ -93,6 +110,7 @@ QUERIES = {
     "op3_linededup": op3_linededup,
     "op4_bpe": op4_bpe,
     "op5_minhash": op5_minhash,
+    "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
