@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, media, mixing, neardup, pii, quality
+from . import bpe, chat, langid, linededup, media, mixing, neardup, pii, quality, tokencount
 from .common import digest, table
 
 
@@ -72,6 +72,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digested(pii.redactions(docs, pii.fit(docs)))
 
 
+def edits_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Four edits of every document, drawn from its own text by hashes of its id: a cut, a copy, a typo, a word at the end."""
+    n = F.length(text)
+    place = lambda k: F.pmod(F.xxhash64(doc_id, F.lit(k)), F.greatest(n, F.lit(1))).cast("int")
+    edit = lambda at, gone, new: F.struct(at.cast("int").alias("start"), F.lit(gone).alias("removed"), new.alias("inserted"))
+    return F.array(
+        edit(place(1), 17, F.lit("")),
+        edit(place(2), 0, F.substring(F.col(text), place(3) + 1, F.lit(40))),
+        edit(place(4), 1, F.lit("x")),
+        edit(n, 0, F.lit(" the end.")),
+    )
+
+
+def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("edits", edits_of())
+    counted = tokencount.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.store(docs).select("doc_id", "n_bytes", "media")
@@ -110,6 +130,7 @@ QUERIES = {
     "op3_linededup": op3_linededup,
     "op4_bpe": op4_bpe,
     "op5_minhash": op5_minhash,
+    "op6_tokencount": op6_tokencount,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
