@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import audit_plans, contract_plans, usage_plans  # noqa: F401
+from .bindings import ORACLES, QUERIES  # noqa: F401
