@@ -52,7 +52,7 @@ class Duck:
 
 
 def names_in(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def oracle(sql: str) -> str:
                 order.append(n)
 
     need(sql)
-    plain = lambda s: Duck.text(re.sub(r"\{(\w+)\}", r"\1", s))
+    plain = lambda s: Duck.text(re.sub(r"\{([a-z]\w*)\}", r"\1", s))
     ctes = ",\n".join(f"{n} AS ({plain(BINDINGS[n])})" for n in order)
     body = plain(sql).strip()
     if not ctes:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import audit_plans, contract_plans, usage_plans  # noqa: F401
+from . import contract_plans, split_plans, usage_plans, audit_plans, metric_plans  # noqa: F401, I001  (in the order of their bindings)
 from .bindings import ORACLES, QUERIES  # noqa: F401
