@@ -48,7 +48,8 @@ def classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
         return None, domains
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, train_docs / total) * (1 << 30))
     number = F.coalesce(*(F.when(F.col("domain") == d, F.lit(float(k))) for k, d in enumerate(domains)))
-    sample = docs.where(drawn).select("doc_id", words(F.col("text")).alias("_words")).join(known.where(drawn), "doc_id")
+    few = F.broadcast(known.where(drawn))  # about train_docs rows of two columns
+    sample = docs.where(drawn).join(few, "doc_id").select(words(F.col("text")).alias("_words"), "domain")
     sample = saved(sample.select("_words", number.alias("label")), "labelled")
     steps = [
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=HASHED),
