@@ -24,9 +24,9 @@ BINDINGS = {
         JOIN {part} ON l_partkey = p_partkey""",
     "cell_split": """SELECT c_custkey AS cell_id, CASE WHEN HASH(c_custkey) % 10 < 8 THEN 'train'
         WHEN HASH(c_custkey) % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM {customer}""",
-    "logits": """SELECT cell_id, gene_id, path_id, (HASH(cell_id || '|' || path_id) % 2001 - 1000) / 500.0 AS logit
+    "logits": """SELECT cell_id, gene_id, path_id, (HASH(cell_id || '|' || path_id) % 2001 - 1000) / CAST(500 AS DOUBLE) AS logit
         FROM (SELECT DISTINCT cell_id, gene_id FROM {counts}) c JOIN {paths} p USING (gene_id)""",
-    "logits_b": """SELECT cell_id, gene_id, path_id, (HASH('b|' || cell_id || '|' || path_id) % 2001 - 1000) / 500.0 AS logit
+    "logits_b": """SELECT cell_id, gene_id, path_id, (HASH('b|' || cell_id || '|' || path_id) % 2001 - 1000) / CAST(500 AS DOUBLE) AS logit
         FROM (SELECT DISTINCT cell_id, gene_id FROM {counts}) c JOIN {paths} p USING (gene_id)""",
     "intervals": """SELECT event_id, user_id, event_type, MICROS(ts) AS s,
         MICROS(ts) + CAST(floor(value * 60000000) AS BIGINT) + 1 AS e, value FROM {events}""",
