@@ -102,3 +102,35 @@ def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
     offset = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_o"))
     return cut.withColumn("_k", own).join(F.broadcast(offset), "_p").withColumn(name, (F.col("_o") + F.col("_k") - 1).cast("long")).drop("_p", "_k", "_o")
+
+
+def provenance(matrix: DataFrame, compat: DataFrame, overlap: DataFrame) -> DataFrame:
+    """Two one-row descriptions side by side (Q11): equal cells, matrix = overlap + rest, and the admission status."""
+    d = matrix.withColumnRenamed("cells", "matrix_cells").crossJoin(compat.withColumnRenamed("cells", "compat_cells")).crossJoin(overlap)
+    d = d.withColumns({"matrix_only": F.col("matrix_cells") - F.col("overlap"), "compat_only": F.col("compat_cells") - F.col("overlap"), "same_cells": F.col("matrix_cells") == F.col("compat_cells")})
+    closes = F.col("matrix_cells") == F.col("overlap") + F.col("matrix_only")
+    return d.withColumn("matrix_closes", closes).withColumn("status", F.when(F.col("same_cells") & closes, "ADMITTED").otherwise("PENDING"))
+
+
+def dtu_provenance(meta: DataFrame) -> DataFrame:
+    """Genes whose scores were not made on training cells only, have no source, or come twice (Q12)."""
+    n = F.count("*").over(Window.partitionBy("gene_id"))
+    why = reasons((~F.col("scope").eqNullSafe("train_only"), "scope"), (F.col("source").isNull(), "no_source"), (n > 1, "repeated"))
+    return meta.select("gene_id", F.array_join(why, ",").alias("reasons")).where("reasons <> ''")
+
+
+def validate_dataset(counts: DataFrame, paths: DataFrame, split: DataFrame, ec: DataFrame) -> DataFrame:
+    """Number of violations of each contract between the tables of a dataset (Q10)."""
+    one = lambda name, d: d.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_"), "violations")
+    checks = [
+        one("counts_without_path", counts.join(paths.select("path_id"), "path_id", "left_anti")),
+        one("counts_without_cell", counts.join(split.select("cell_id"), "cell_id", "left_anti")),
+        one("paths_repeated", duplicates(paths, ["path_id"])),
+        one("cells_repeated", duplicates(split, ["cell_id"])),
+        one("bad_split", bad_levels(split, "split", ["train", "val", "test"])),
+        one("mass_not_positive", ec.where(~F.coalesce(F.col("mass") > 0, F.lit(False)))),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
