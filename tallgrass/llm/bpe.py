@@ -31,8 +31,8 @@ from .common import fresh
 
 #: Fixed value: the pattern of GPT-2's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encodings that one Python worker remembers.
-REMEMBERED = 600_000
+#: Encodings that one Python worker remembers, in two halves of which the older one is dropped when the newer is full.
+REMEMBERED = 300_000
 #: Bits of a symbol in a packed pair, bits of a position in a heap entry, and the mark of a symbol that is merged away.
 SHIFT, PLACE, GONE = 20, 40, (1 << 20) - 1
 #: Texts without other characters take the standard library's faster expressions, with the same result.
@@ -58,6 +58,7 @@ class Bpe(dict):
         super().__init__()
         data, letters = json.loads(spec), byte_letters()
         model, self.remembered = data["model"], remembered
+        self.older: dict[str, bytes] = {}
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.first = [0] * 256
@@ -77,9 +78,13 @@ class Bpe(dict):
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.remembered:
+        if 2 * len(self) >= self.remembered:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = array("I", self.merged(word.encode())).tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = array("I", self.merged(word.encode())).tobytes()
+        self[word] = found
         return found
 
     def merged(self, raw: bytes) -> list[int]:
@@ -154,19 +159,26 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds column `ids` (binary: little-endian unsigned 32-bit token ids) to docs. See the module for defined cases."""
-    (name,) = fresh(docs, ids)
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds column `ids` (binary: little-endian unsigned 32-bit token ids) to docs, and with `decoded` what they decode to.
+
+    Decoding in the same pass spares a second set of Python workers with the vocabulary. See the module for defined cases.
+    """
+    names = fresh(docs, ids, *([decoded] if decoded else []))
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec.value)
         for b in batches:
-            out = pa.array([bpe.encoded(x.as_py() or "") for x in b.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+            coded = [bpe.encoded(x.as_py() or "") for x in b.column(at)]
+            added = [pa.array(coded, pa.binary())]
+            if decoded:
+                added.append(pa.array(map(bpe.decoded, coded), pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *names])
+
+    fields = [T.StructField(n, t) for n, t in zip(names, (T.BinaryType(), T.StringType()), strict=False)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
