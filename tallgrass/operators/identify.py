@@ -130,3 +130,36 @@ def coverage_tables(records: DataFrame, scopes: list[str]) -> DataFrame:
     long = records.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("scope"))))
     own = long.groupBy("scope", "split").agg(F.count("*").alias("eligible"), F.count_if(F.col("tier") != "none").alias("touched"), F.count_if(F.col("tier") == "both").alias("estimable"))
     return grid.join(own, ["scope", "split"], "left").fillna({"eligible": 0, "touched": 0, "estimable": 0})
+
+
+def internal_choices(path_edges: DataFrame) -> DataFrame:
+    """Alternatives between a branch node and the nearest node where all its paths meet again (F8).
+
+    path_edges: gene_id, path_id, edge_order (from 0), edge_id, src, dst. The exit has the least (greatest distance, sum
+    of distances, id). Alternatives must be at least two, linear inside (no further branch or merge) and share no inner
+    node; choices that have an edge in common all go. Rows: gene_id, choice_id, alternative_id, edges, paths.
+    """
+    g = ["gene_id", "entry"]
+    e = path_edges.select("gene_id", "path_id", "edge_order", "edge_id", "src", "dst")
+    every = e.groupBy("gene_id", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_order", "edge_id"))), lambda x: x.edge_id).alias("all_edges"))
+    at = e.select("gene_id", "path_id", F.col("src").alias("entry"), F.col("edge_order").alias("i"), F.col("edge_id").alias("next"))
+    branch = at.groupBy(*g).agg(F.count_distinct("next").alias("ways"), F.count("*").alias("k")).where("ways >= 2")
+    at = at.join(branch.select(*g, "k"), g)
+    ahead = at.join(e.select("gene_id", "path_id", F.col("dst").alias("exit"), (F.col("edge_order") + 1).alias("j")), ["gene_id", "path_id"]).where("j > i")
+    common = ahead.groupBy(*g, "exit").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.max(F.col("j") - F.col("i")).alias("far"), F.sum(F.col("j") - F.col("i")).alias("total")).where("n = k")
+    near = common.groupBy(*g).agg(F.min_by("exit", F.struct("far", "total", "exit")).alias("exit"))
+    seq = ahead.join(near, [*g, "exit"]).join(every, ["gene_id", "path_id"]).withColumn("edges", F.slice("all_edges", F.col("i") + 1, F.col("j") - F.col("i")))
+    alt = seq.groupBy(*g, "exit", "edges").agg(F.array_sort(F.collect_set("path_id")).alias("paths"))
+    alt = alt.withColumn("n_alt", F.count("*").over(Window.partitionBy(*g))).where("n_alt >= 2").drop("n_alt")
+    # inner nodes: one edge in, one edge out, and in one alternative only
+    ends = e.select("gene_id", "edge_id", "src", "dst").distinct()
+    degree = ends.groupBy("gene_id", F.col("src").alias("node")).agg(F.count("*").alias("out")).join(ends.groupBy("gene_id", F.col("dst").alias("node")).agg(F.count("*").alias("in")), ["gene_id", "node"], "full")
+    inner = alt.select(*g, "edges", F.explode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("edge_id")).join(ends, ["gene_id", "edge_id"]).select(*g, "edges", F.col("dst").alias("node"))
+    bad = inner.join(degree, ["gene_id", "node"]).groupBy(*g, "node").agg(F.count_distinct("edges").alias("sharing"), F.first("out").alias("out"), F.first("in").alias("in")).where("sharing > 1 OR NOT (out <=> 1) OR NOT (`in` <=> 1)")
+    alt = alt.join(bad.select(*g).distinct(), g, "left_anti")
+    used = alt.select(*g, F.explode("edges").alias("edge_id")).distinct()
+    clash = used.groupBy("gene_id", "edge_id").agg(F.count("*").alias("choices")).where("choices > 1")
+    alt = alt.join(used.join(clash, ["gene_id", "edge_id"]).select(*g).distinct(), g, "left_anti")
+    choice = F.concat(F.lit("choice:"), F.col("gene_id").cast("string"), F.lit(":"), "entry", F.lit("->"), "exit")
+    number = F.row_number().over(Window.partitionBy(*g).orderBy(F.array_join("edges", "\0"))) - 1
+    return alt.select("gene_id", choice.alias("choice_id"), F.concat(choice, F.lit(":alt:"), F.lpad(number.cast("string"), 3, "0")).alias("alternative_id"), "edges", "paths")

@@ -192,3 +192,34 @@ def retained_intron_opportunities(paths: DataFrame) -> DataFrame:
     x = paths.select("gene_id", F.col("path_id").alias("cover_id"), F.explode("exons").alias("x")).select("gene_id", "cover_id", F.col("x.s").alias("xs"), F.col("x.e").alias("xe"))
     covered = spliced.join(x, "gene_id").where("xs <= s AND xe >= e")
     return covered.groupBy("gene_id", "s", "e", "spliced_by").agg(F.array_sort(F.collect_set("cover_id")).alias("retained_by"))
+
+
+def anchor_regions(nodes: DataFrame, edges: DataFrame, flanks: dict[str, tuple[int, int]], contigs: DataFrame, modality: str, most_exon: int = 500) -> DataFrame:
+    """Site windows and edge regions that carry routes.
+
+    A site (a node of a type in `flanks`, upstream and downstream) is a window along the strand, clipped to the contig,
+    on every edge that leaves a TSS or donor or enters an acceptor or PAS. Every edge with a span is a region too; for
+    RNA only exons of at most `most_exon` positions. contigs: chrom, length.
+    """
+    kinds = list(flanks)
+    up = F.coalesce(*(F.when(F.col("node_type") == k, F.lit(flanks[k][0])) for k in kinds))
+    down = F.coalesce(*(F.when(F.col("node_type") == k, F.lit(flanks[k][1])) for k in kinds))
+    n = nodes.where(F.col("node_type").isin(kinds)).withColumns({"_a": -up, "_b": down})
+    minus = F.col("strand") == "-"
+    raw_s, raw_e = F.when(minus, F.col("pos") - F.col("_b")).otherwise(F.col("pos") + F.col("_a")), F.when(minus, F.col("pos") - F.col("_a")).otherwise(F.col("pos") + F.col("_b"))
+    n = n.join(F.broadcast(contigs), "chrom").withColumns({"raw_s": raw_s, "raw_e": raw_e})
+    n = n.withColumns({"s": F.greatest(F.lit(0), "raw_s"), "e": F.least("length", "raw_e")}).where("e > s")
+    leaves = F.col("node_type").isin("TSS", "donor")
+    out = n.where(leaves).join(edges.select("gene_id", "edge_id", F.col("src").alias("node_id")), ["gene_id", "node_id"])
+    into = n.where(~leaves).join(edges.select("gene_id", "edge_id", F.col("dst").alias("node_id")), ["gene_id", "node_id"])
+    site = out.unionByName(into).select(
+        "gene_id", F.concat(F.col("gene_id").cast("string"), F.lit(":site:"), "node_id").alias("anchor_id"), "edge_id", "strand", "s", "e", F.lit("site").alias("kind"),
+        F.col("node_type").alias("anchor_type"), ((F.col("s") != F.col("raw_s")) | (F.col("e") != F.col("raw_e"))).alias("clipped"),
+    )
+    short = (F.col("edge_type") == "EXON_CONTINUATION") & (F.col("hi") - F.col("lo") <= most_exon)
+    own = edges.where(F.col("hi") > F.col("lo")).where(short if modality == "RNA" else F.lit(True))
+    region = own.select(
+        "gene_id", F.concat(F.col("gene_id").cast("string"), F.lit(":edge:"), "edge_id").alias("anchor_id"), "edge_id", "strand", F.col("lo").alias("s"), F.col("hi").alias("e"), F.lit("edge").alias("kind"),
+        F.lit("EDGE").alias("anchor_type"), F.lit(False).alias("clipped"),
+    )
+    return site.unionByName(region)

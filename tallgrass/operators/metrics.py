@@ -185,3 +185,65 @@ def group_probability(logits: DataFrame, groups: DataFrame) -> DataFrame:
 
 def best_setting(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return top_one(df, keys, *order)
+
+
+def matrix_identity(rows: DataFrame, crosswalk: DataFrame, paths: DataFrame) -> DataFrame:
+    """Violations of the identity of matrix rows, transcripts and paths (M12), with how many.
+
+    rows: row_id, tx_id, gene_id; crosswalk: row_id, tx_id, gene_id, path_id; paths: gene_id, path_id, aliases ARRAY.
+    """
+    count = lambda name, d: d.agg(F.count("*").alias("violations")).select(F.lit(name).alias("violation"), "violations")
+    twice = lambda d, *k: d.groupBy(*k).agg(F.count("*").alias("n")).where("n > 1")
+    alias = paths.select("gene_id", F.col("path_id").alias("owner"), F.explode("aliases").alias("tx_id"))
+    both = rows.join(crosswalk.select("row_id", F.col("tx_id").alias("tx2"), F.col("gene_id").alias("gene2")), "row_id", "full")
+    owner = crosswalk.join(alias, ["gene_id", "tx_id"], "left")
+    checks = [
+        count("row_repeated", twice(rows, "row_id")),
+        count("row_unresolved", both.where("tx_id IS NULL OR tx2 IS NULL")),
+        count("identity_differs", both.where("tx_id <> tx2 OR gene_id <> gene2")),
+        count("path_mapped_twice", twice(crosswalk, "gene_id", "path_id")),
+        count("path_not_in_model", crosswalk.join(paths, ["gene_id", "path_id"], "left_anti")),
+        count("path_not_in_matrix", paths.join(crosswalk, ["gene_id", "path_id"], "left_anti")),
+        count("alias_of_two_paths", twice(alias, "gene_id", "tx_id")),
+        count("alias_absent", owner.where("owner IS NULL")),
+        count("alias_of_another_path", owner.where("owner <> path_id")),
+        count("alias_extra", alias.join(crosswalk, ["gene_id", "tx_id"], "left_anti")),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def monitor_record(logits: DataFrame, ec: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row of validation metrics with their denominators."""
+    nll = compatible_nll(logits, ec).agg((F.sum(F.col("nll") * F.col("mass")) / F.sum("mass")).alias("nll"), F.sum("mass").alias("nll_mass"))
+    kl = count_kl(logits, counts).agg((F.sum(F.col("kl") * F.col("total")) / F.sum("total")).alias("kl"), F.count("*").alias("kl_cell_genes"))
+    return nll.crossJoin(kl)
+
+
+def ridge_diagnostics(rows: DataFrame, features: list[str], label: str, weight: str, key: str, alphas: list[float], folds: int = 3) -> DataFrame:
+    """Weighted ridge with the strength chosen by cross-validation over hashed folds (M15): alpha, weighted r2 per fold mean.
+
+    Ties go to the first of the grid. The intercept is not penalised and features are not standardised.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from .audit import weighted_r2
+
+    spark = rows.sparkSession
+    d = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).withColumn("_fold", (hash32(key) % folds).cast("int")).persist()
+    out = []
+    for i, alpha in enumerate(alphas):
+        scores = []
+        for f in range(folds):
+            train, test = d.where(F.col("_fold") != f), d.where(F.col("_fold") == f)
+            total = train.agg(F.sum(weight)).first()[0]
+            model = LinearRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=alpha / total, elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
+            score = weighted_r2(model.transform(test).withColumn("_all", F.lit(1)), ["_all"], label, "prediction", weight).first()
+            scores.append(score.r2 if score and score.r2 is not None else float("-inf"))
+        out.append((i, float(alpha), sum(scores) / folds))
+    d.unpersist()
+    best = max(out, key=lambda r: (r[2], -r[0]))
+    return spark.createDataFrame([(a, s, i == best[0]) for i, a, s in out], "alpha double, mean_r2 double, chosen boolean")

@@ -99,3 +99,40 @@ def test_d4_one_path_genes_have_no_row_and_no_cells_no_score(spark):
     paths = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "x")], "gene_id string, path_id string")
     got = usage.dtu_score(counts, paths).collect()
     assert [r.gene_id for r in got] == ["g"] and got[0].n_qualified == 2 and got[0].dtu > 0
+
+
+def test_f8_toy_gene(spark):
+    tail = [("splice_end", "exit", "acceptor_end"), ("last_exon", "acceptor_end", "pas")]
+    p0 = [("start", "source", "tss"), ("pre", "tss", "entry"), ("splice_a", "entry", "alt_a"), ("exon_a", "alt_a", "exit"), *tail]
+    p1 = [*p0[:2], ("splice_b", "entry", "alt_b"), ("exon_b", "alt_b", "exit"), *tail]
+    rows = [("g", p, i, e, s, d) for p, es in (("p0", p0), ("p1", p1)) for i, (e, s, d) in enumerate(es)]
+    d = spark.createDataFrame(rows, "gene_id string, path_id string, edge_order int, edge_id string, src string, dst string")
+    got = sorted((r.choice_id, r.alternative_id[-3:], r.edges, r.paths) for r in identify.internal_choices(d).collect())
+    assert got == [("choice:g:entry->exit", "000", ["splice_a", "exon_a"], ["p0"]), ("choice:g:entry->exit", "001", ["splice_b", "exon_b"], ["p1"])]
+
+
+def test_g2_retained_intron_cuts_the_exon(spark):
+    from tallgrass.operators import graph
+
+    exons = "array<struct<s:bigint,e:bigint>>"
+    paths = [("g", "r", s, [(100, 250)]) for s in "+"] + [("g", "s", "+", [(100, 150), (200, 250)])]
+    for strand in "+-":
+        d = spark.createDataFrame([(g, p, strand, x) for g, p, _, x in paths], f"gene_id string, path_id string, strand string, exons {exons}")
+        nodes, edges, steps = graph.compile_graph(d)
+        kinds = sorted((r.lo, r.hi, r.edge_type, r.length_bp) for r in edges.collect())
+        assert kinds == [(100, 150, "EXON_CONTINUATION", 50), (150, 200, "RETAINED_INTRON", 50), (150, 200, "SPLICE", 0), (200, 250, "EXON_CONTINUATION", 50)]
+        assert nodes.count() == 4 and steps.count() == 6
+        assert graph.validate_paths(steps.withColumnsRenamed({"src_node_id": "src", "dst_node_id": "dst"})).count() == 0
+
+
+def test_s4_s5_s6_text_sources(spark, tmp_path):
+    from tallgrass.sources import tables
+
+    (tmp_path / "a.gtf").write_text('#x\nchr1\ts\ttranscript\t101\t200\t.\t+\t.\tgene_id "G1.3"; transcript_id "T1.2"; gene_name "ab";\nchr1\ts\tgene\t1\t2\t.\t+\t.\tgene_id "G1";\n')
+    r = tables.read_gtf(spark, str(tmp_path / "a.gtf")).collect()
+    assert [tuple(x) for x in r] == [("chr1", "transcript", 100, 200, "+", "G1", "T1", "ab")]
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n%c\n2 3 2\n1 1 5\n2 3 7\n")
+    got = sorted(tuple(x) for x in tables.read_triplets(spark, str(tmp_path / "m.mtx")).where("NOT is_size").drop("is_size").collect())
+    assert got == [(0, 0, 5), (1, 2, 7)]
+    (tmp_path / "p.bed").write_text("chr1\t5\t9\nchr2\t0\t4\n")
+    assert sorted(x.peak_id for x in tables.read_peaks(spark, str(tmp_path / "p.bed")).collect()) == ["chr1:5-9", "chr2:0-4"]
