@@ -65,8 +65,8 @@ def q8(molecules):
 def q9(ec, axis):
     legal = axis.select("gene_id", F.split("axis_key", ";").alias("axis"), "n_legal")
     n = F.size(F.split("paths_key", ";"))
-    right = F.when(n == 6, "full").otherwise("informative")
-    rows = ec.withColumn("paths", F.split("paths_key", ";")).withColumn("fate", F.when(F.col("mass") % 2 == 0, "unheard_of").otherwise(right))
+    right = F.when(n == F.col("n_legal"), "full").otherwise("informative")
+    rows = ec.join(axis.select("gene_id", "n_legal"), "gene_id").withColumn("paths", F.split("paths_key", ";")).withColumn("fate", F.when(F.col("mass") % 2 == 0, "unheard_of").otherwise(right)).drop("n_legal")
     return contracts.ec_violations(rows, legal.drop("n_legal")).where("reasons <> ''").select("cell_id", "gene_id", "paths_key", "reasons")
 
 

@@ -97,7 +97,7 @@ def m10(logits, counts):
 @query("m11_compatible_sets", "logits ec_small", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY cell_id, gene_id ORDER BY logit DESC, path_id) AS rank FROM {softmax}),
 d AS (SELECT e.cell_id, e.gene_id, paths_key, len(string_split(paths_key, ';')) AS c, y, rank, p, contains(';' || paths_key || ';', ';' || path_id || ';') AS inside FROM {ec_small} e JOIN r ON r.cell_id = e.cell_id AND r.gene_id = e.gene_id)
 SELECT cell_id, gene_id, paths_key, max(CASE WHEN inside AND rank = 1 THEN 1 ELSE 0 END) AS top1_in, max(CASE WHEN inside AND rank <= 3 THEN 1 ELSE 0 END) AS topk_in, round(sum(CASE WHEN inside THEN p ELSE 0 END), 6) AS posterior,
-round(max(c) / CAST(max(y) AS DOUBLE), 6) AS chance_top1, round(1 - greatest(max(y) - max(c), 0) * greatest(max(y) - max(c) - 1, 0) * greatest(max(y) - max(c) - 2, 0) / CAST(max(y) * (max(y) - 1) * (max(y) - 2) AS DOUBLE), 6) AS chance_topk FROM d GROUP BY 1, 2, 3""")
+round(max(c) / CAST(max(y) AS DOUBLE), 6) AS chance_top1, CASE WHEN max(y) < 3 THEN 1.0 ELSE round(1 - greatest(max(y) - max(c), 0) * greatest(max(y) - max(c) - 1, 0) * greatest(max(y) - max(c) - 2, 0) / CAST(max(y) * (max(y) - 1) * (max(y) - 2) AS DOUBLE), 6) END AS chance_topk FROM d GROUP BY 1, 2, 3""")
 def m11(logits, ec):
     out = metrics.compatible_set_metrics(logits, sets(ec), 3)
     return out.select("cell_id", "gene_id", "paths_key", "top1_in", "topk_in", *(F.round(c, 6).alias(c) for c in ("posterior", "chance_top1", "chance_topk")))
