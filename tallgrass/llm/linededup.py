@@ -4,7 +4,7 @@ A line (between line feeds) of at least MIN_CHARS characters is dropped if an ea
 number), equals it or is within one edit (insertion, deletion or substitution of a character) of it. Whether the
 earlier line is dropped itself does not matter, so the result does not depend on the order of work.
 
-1. Distinct lines: hash, earliest place, number of places and the line, by one aggregation.
+1. Distinct lines: hash, earliest place, number of places and hashes of halves, by one aggregation without texts.
 2. Half keys: of two lines within one edit, the first or the last half (of the shorter one's length) is equal. Each
    distinct line gives the hashes of these halves; only lines that share one with another line go on. This loses no
    pair and spares nearly all lines the neighbourhood.
@@ -51,27 +51,32 @@ def places(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(line_key, first place, number of places, line)."""
-    rows = places(docs, min_chars)
-    return rows.groupBy(F.xxhash64("line").alias("line_key")).agg(
-        F.min(F.struct("doc_id", "tkey", "no")).alias("first"),
-        F.count("*").alias("n"),
-        F.min_by("line", F.struct("doc_id", "tkey", "no")).alias("line"),
-    )
+    """(line_key, first place, number of places, halves): no text, so that little is shuffled and written."""
+    rows = places(docs, min_chars).select(F.xxhash64("line").alias("line_key"), F.struct("doc_id", "tkey", "no").alias("place"), *halves(F.col("line")))
+    names = [c for c in rows.columns if c not in ("line_key", "place")]
+    return rows.groupBy("line_key").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in names))
+
 
+def halves(line: Column) -> list[Column]:
+    """Hashes of the first and the last half (columns first_a, last_a, and _b for a line one character shorter), and the length.
 
-def halves(line: Column) -> Column:
-    """The keys of the line's halves: side (0: the first half is shared, 1: the last) and length, hashed with the half."""
+    The side and the length of a half are part of its hash.
+    """
     n = F.length(line)
-    sizes = F.array_distinct(F.array((n / 2).cast("int"), ((n - 1) / 2).cast("int")))
+    out = [n.alias("chars")]
+    for name, h in (("a", (n / 2).cast("int")), ("b", ((n - 1) / 2).cast("int"))):
+        out.append(F.xxhash64(F.lit(0), h, F.substring(line, F.lit(1), h)).alias(f"first_{name}"))
+        out.append(F.xxhash64(F.lit(1), h, F.substring(line, n - h + 1, h)).alias(f"last_{name}"))
+    return out
 
-    def keys(h: Column) -> Column:
-        return F.array(
-            F.struct(F.xxhash64(F.lit(0), h, F.substring(line, F.lit(1), h)).alias("half"), h.alias("size"), F.lit(0).alias("side")),
-            F.struct(F.xxhash64(F.lit(1), h, F.substring(line, n - h + 1, h)).alias("half"), h.alias("size"), F.lit(1).alias("side")),
-        )
 
-    return F.flatten(F.transform(sizes, keys))
+def half_keys() -> Column:
+    """The distinct halves of a line as structs (half, size, side: 0 where the first half is shared, 1 for the last)."""
+    n = F.col("chars")
+    keys = []
+    for name, h in (("a", (n / 2).cast("int")), ("b", ((n - 1) / 2).cast("int"))):
+        keys += [F.struct(F.col(f"{side}_{name}").alias("half"), h.alias("size"), F.lit(k).alias("side")) for k, side in enumerate(("first", "last"))]
+    return F.array_distinct(F.array(*keys))
 
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -145,13 +150,17 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
     return lines.select("line_key", "first", "line", "halves").mapInArrow(run, schema)
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     """line_key of every distinct line that has an earlier line within one edit."""
-    keyed = lines.select("line_key", F.explode(halves(F.col("line"))).alias("h"))
+    keyed = lines.select("line_key", F.explode(half_keys()).alias("h"))
     shared = keyed.groupBy("h.half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("z")).where("a < z").select("half")
     chosen = keyed.select("line_key", "h", F.col("h.half").alias("half")).join(shared, "half", "left_semi")
     chosen = chosen.groupBy("line_key").agg(F.collect_set("h").alias("halves"))  # four halves of a line at most
-    chosen = saved(lines.join(chosen, "line_key").select("line_key", "first", "line", "halves"), "halves")
+    chosen = lines.select("line_key", "first").join(chosen, "line_key")
+    # the text of a chosen line is read at its first place, which only one line has: a hot line is no hot key here
+    at = places(docs, min_chars)
+    same = at.doc_id.eqNullSafe(F.col("first.doc_id")) & (at.tkey == F.col("first.tkey")) & (at.no == F.col("first.no"))
+    chosen = saved(at.join(chosen, same).select("line_key", "first", "line", "halves").dropDuplicates(["line_key"]), "halves")
     near = saved(neighbourhood(chosen), "variants")
     # substitutions: the earliest line of each (variant, place) stands for all
     deleted = near.where("at >= 0")
@@ -175,7 +184,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, tkey, gone): line numbers that go, for documents that lose any."""
     lines = saved(distinct_lines(docs, min_chars), "lines")
-    near = saved(near_lines(lines), "near")
+    near = saved(near_lines(docs, lines, min_chars), "near")
     verdict = lines.join(near.withColumn("near", F.lit(True)), "line_key", "left").where("near OR n > 1")
     verdict = verdict.select("line_key", "first", F.coalesce("near", F.lit(False)).alias("near"))
     at = places(docs, min_chars).select("doc_id", "tkey", "no", F.xxhash64("line").alias("line_key")).join(verdict, "line_key")
