@@ -136,8 +136,8 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
         *(F.first(f"p_{k}").alias(f"p_{k}") for k in r),
         *(F.sum(F.when(F.col(k) > F.element_at(f"p_{k}", i + 1), 1).otherwise(0)).alias(f"x_{k}_{i}") for k in r for i in range(len(levels))),
     )
-    tests = tested.crossJoin(F.broadcast(tested.select((F.count("*") * len(r) * len(levels)).alias("tests"))))
-    least = F.log(F.lit(delta) / F.col("tests"))
+    tests = saved(tested, "tests")
+    least = F.log(F.lit(delta / max(1, tests.count() * len(r) * len(levels))))
     valid = lambda k, i: log_binomial_cdf(F.col(f"x_{k}_{i}"), F.col("n"), alpha / len(r)) <= least
     best = {k: F.coalesce(*(F.when(valid(k, i), F.element_at(f"p_{k}", i + 1)) for i in range(len(levels)))) for k in r}
     return tests.select("stratum", *(c.cast("double").alias(f"cut_{k}") for k, c in best.items()))
