@@ -94,10 +94,12 @@ def canonical_order(ec: DataFrame, axis: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     """A dense 0-based index in a total order over all rows, without a single-task window.
 
-    Rows are range-partitioned and sorted; each partition's offset is a sum over partition counts (one number each).
+    Rows are range-partitioned and written with their partition's number, since ranges may be drawn anew in another run
+    of the plan; each partition's offset is a sum over partition counts (one number each).
     """
-    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    cut = cut.withColumn("_p", F.spark_partition_id())
+    from ..streaming.components import cut as written
+
+    cut = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
     offset = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_o"))

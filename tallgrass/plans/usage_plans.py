@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import usage
-from .bindings import query
+from .bindings import BINDINGS, query
 
 SHARES = """
 shares AS (SELECT g.gene_id, g.cell_type, p.path_id, coalesce(t.n, 0) AS n, coalesce(t.n, 0) / CAST(g.total AS DOUBLE) AS psi
@@ -48,10 +48,13 @@ def d4(counts, paths):
     return usage.dtu_score(counts, paths).select("gene_id", "n_qualified", F.round("dtu", 6).alias("dtu"))
 
 
-@query("d5_dtu_two_scopes", "typed_counts counts cell_split customer paths")
-def d5(typed, counts, split, customer, paths):
-    train = counts.join(split.where("split = 'train'"), "cell_id", "left_semi").join(customer, F.col("cell_id") == F.col("c_custkey"))
-    train = train.groupBy(F.col("c_nationkey").alias("cell_type"), "gene_id", "path_id").agg(F.sum("n").alias("n"))
+BINDINGS["train_counts"] = """SELECT c_nationkey AS cell_type, gene_id, path_id, CAST(sum(n) AS BIGINT) AS n FROM {counts} x JOIN {customer} ON x.cell_id = c_custkey
+    JOIN {cell_split} s ON s.cell_id = c_custkey WHERE split = 'train' GROUP BY 1, 2, 3"""
+
+
+@query("d5_dtu_two_scopes", "typed_counts train_counts paths", f"""SELECT coalesce(a.gene_id, b.gene_id) AS gene_id, round(a.dtu, 6) AS dtu_all, round(b.dtu, 6) AS dtu_train FROM (WITH {SHARES} SELECT gene_id, dtu FROM dtu) a
+FULL JOIN (WITH {SHARES.replace("{typed_counts}", "{train_counts}")} SELECT gene_id, dtu FROM dtu) b ON b.gene_id = a.gene_id""")
+def d5(typed, train, paths):
     out = usage.dtu_two_scopes(typed, train, paths)
     return out.select("gene_id", F.round("dtu_all", 6).alias("dtu_all"), F.round("dtu_train", 6).alias("dtu_train"))
 
