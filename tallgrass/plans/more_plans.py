@@ -8,6 +8,7 @@ from ..operators import graph as gr
 from ..operators import identify as idf
 from ..operators import intervals as iv
 from ..operators import metrics, split
+from ..streaming.components import cut
 from .bindings import query
 from .interval_plans import exon_paths
 from .metric_plans import sets
@@ -36,7 +37,7 @@ def f8(exons):
     paths = exon_paths(exons).withColumn("strand", F.lit("+"))
     _, _, steps = gr.compile_graph(paths)
     steps = steps.withColumnsRenamed({"src_node_id": "src", "dst_node_id": "dst"}).withColumn("path_id", F.col("path_id").cast("string"))
-    out = idf.internal_choices(steps)
+    out = idf.internal_choices(cut(steps))  # read many times
     return out.select("gene_id", "choice_id", "alternative_id", F.array_join("edges", ",").alias("edges"), F.array_join("paths", ",").alias("paths"))
 
 
