@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, sliced
 
 #: Fixed value: the pattern of GPT-2's pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec.value)
-        for b in batches:
+        for b in sliced(batches):
             coded = [bpe.encoded(x.as_py() or "") for x in b.column(at)]
             added = [pa.array(coded, pa.binary())]
             if decoded:
@@ -189,7 +189,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", decoded: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec.value)
-        for b in batches:
+        for b in sliced(batches):
             out = pa.array([bpe.decoded(x.as_py() or b"") for x in b.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, name])
 

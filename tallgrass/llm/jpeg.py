@@ -27,7 +27,7 @@ SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0, 1, 2), 0, 0, 1, 0)] + [
 ]
 RESTART, WIDE = 1, 64
 #: Blocks that are coded at a time, which bounds the memory that a long image takes.
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 
 
 # -- tables ------------------------------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import jpeg
-from .common import fresh
+from .common import fresh, sliced
 
 UNIT, BATCH = 192, 2 << 20
 
@@ -45,7 +45,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: st
     names, at = fresh(docs, media, n_bytes), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(at).to_pylist()]
             filled = [v + b" " * (-len(v) % UNIT if v else UNIT) for v in raw]
             files: list[bytes] = [b""] * len(raw)
@@ -67,7 +67,7 @@ def load(stored: DataFrame, media: str = "media", tensor: bool = True) -> DataFr
         names, kinds = names[:2], kinds[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple] = [(None,) * len(kinds)] * b.num_rows
             for places, files in batched(b.column(at).to_pylist(), 2 * BATCH):
                 coefs, parsed = jpeg.coefficients(files)
