@@ -42,8 +42,8 @@ def knn_map(queries: DataFrame, atlas: DataFrame, k: int, block: int = 2048) ->
     meet, so that no task sees a stratum whole. Ties go to the least id.
     """
     sizes = atlas.groupBy("stratum").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    a = atlas.join(F.broadcast(sizes), "stratum").withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.col("blocks")))
-    q = queries.join(F.broadcast(sizes), "stratum").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    a = atlas.join(sizes, "stratum").withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.col("blocks")))
+    q = queries.join(sizes, "stratum").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = q.join(a.withColumnRenamed("v", "av"), ["stratum", "block"]).select("query_id", "stratum", "block", "neighbor_id", F.sqrt(squared_distance(F.col("v"), F.col("av"))).alias("distance"))
     near = pairs.groupBy("query_id", "stratum", "block").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k).alias("n"))
     one = near.select("query_id", "stratum", F.explode("n").alias("n")).select("query_id", "stratum", "n.neighbor_id", "n.distance")
@@ -58,7 +58,7 @@ def knn_threshold(neighbors: DataFrame, split: DataFrame, q: float = 0.99, floor
 
 def admit_weights(neighbors: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Neighbours within the limit, weighted by exp(-distance / temperature) and normalised after filtering."""
-    d = neighbors.join(F.broadcast(thresholds), "stratum").where("distance <= limit").withColumn("w", F.exp(-F.col("distance") / F.col("temperature")))
+    d = neighbors.join(thresholds, "stratum").where("distance <= limit").withColumn("w", F.exp(-F.col("distance") / F.col("temperature")))
     return d.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))).drop("w", "limit", "temperature")
 
 
@@ -115,7 +115,7 @@ def fit_gates(raw: DataFrame, mass: DataFrame, split: DataFrame, least_n: float
 
 def apply_gates(raw: DataFrame, manifest: DataFrame, floor: float = 1e-8) -> DataFrame:
     """z of active observed gates, 0 otherwise, never clipped; flags for values out of range and of the quantiles (X11)."""
-    d = raw.join(F.broadcast(manifest.select("gate_key_id", "mean", "sd", "lo", "hi", "q05", "q95", "active")), "gate_key_id")
+    d = raw.join(manifest.select("gate_key_id", "mean", "sd", "lo", "hi", "q05", "q95", "active"), "gate_key_id")
     on = F.col("active") & F.col("observed")
     z = F.when(on, (F.col("raw") - F.col("mean")) / F.greatest(F.col("sd"), F.lit(floor))).otherwise(0.0)
     out = lambda a, b: F.coalesce(on & ((F.col("raw") < F.col(a)) | (F.col("raw") > F.col(b))), F.lit(False))
@@ -168,7 +168,7 @@ def fit_norm(features: DataFrame) -> DataFrame:
 
 def apply_norm(features: DataFrame, norm: DataFrame) -> DataFrame:
     """(x - mean) / sd of kept features where available, else 0."""
-    d = features.join(F.broadcast(norm.where("kept").select("feature", "mean", "sd")), "feature")
+    d = features.join(norm.where("kept").select("feature", "mean", "sd"), "feature")
     return d.select("edge_id", "feature", F.when(F.col("available"), (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
 
 

@@ -54,13 +54,15 @@ def s3(customer):
 
 @registered("s5_read_triplets", "SELECT l_suppkey - 1 AS row_id, l_partkey - 1 AS col_id, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")
 def s5(spark, sf_dir):
-    """Writes the counts as a coordinate file first, so that reading it back has something to read."""
+    """Writes the counts as coordinate files, one for each of eight shards of suppliers, and reads them back."""
     x = bind(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("n"))
     path = shared(spark)
-    body = x.select(F.concat_ws(" ", "l_suppkey", "l_partkey", "n").alias("value")).repartitionByRange(1, "value").sortWithinPartitions(F.col("value"))
-    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), ("0 0 0",)], "value string").coalesce(1)
-    head.unionByName(body).coalesce(1).write.text(path)
-    return tb.read_triplets(spark, path).where("NOT is_size").drop("is_size")
+    body = x.select((F.col("l_suppkey") % 8).alias("shard"), F.lit(2).alias("k"), F.concat_ws(" ", "l_suppkey", "l_partkey", "n").alias("value"))
+    heads = F.array(F.struct(F.lit(0).alias("k"), F.lit("%%MatrixMarket matrix coordinate integer general").alias("value")), F.struct(F.lit(1).alias("k"), F.lit("0 0 0").alias("value")))
+    head = body.select("shard").distinct().select("shard", F.explode(heads).alias("h")).select("shard", "h.k", "h.value")
+    rows = head.unionByName(body).repartition("shard").sortWithinPartitions("shard", "k", "value")
+    rows.select("shard", "value").write.partitionBy("shard").text(path)
+    return tb.read_triplets(spark, f"{path}/*").where("NOT is_size").drop("is_size")
 
 
 @registered("s7_read_delimited", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
