@@ -13,11 +13,13 @@ BINDINGS |= {
     "steps": """SELECT conv_id % 40 AS gene_id, conv_id AS path_id, turn AS edge_order, role AS src, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'end') AS dst,
         role || '>' || coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'end') || turn AS edge_id FROM {conversations}""",
     "patterns": "SELECT gene_id, paths_key, CAST(sum(mass) AS BIGINT) AS mass, count(*) AS row_count FROM {ec_fates} WHERE split = 'train' AND fate = 'informative' AND cell_id % 50 = 0 GROUP BY 1, 2",
+    # for queries without SQL: every training cell, where `patterns` has those of one in fifty
+    "train_patterns": "SELECT gene_id, paths_key, CAST(sum(mass) AS BIGINT) AS mass, count(*) AS row_count FROM {ec_fates} WHERE split = 'train' AND fate = 'informative' GROUP BY 1, 2",
     "alternatives": "SELECT gene_id, library_id AS choice_id, donor_id || qc_pass AS alternative_id, CAST(sum(n) AS BIGINT) - 3000 AS mass FROM {molecules} GROUP BY 1, 2, 3",
 }
 
 
-@query("g2_compile_graph", "exons", None)
+@query("g2_compile_graph", "all_exons", None)
 def g2(exons):
     paths = exon_paths(exons).withColumn("strand", F.when(F.col("gene_id") % 20 == 0, "-").otherwise("+"))
     _, edges, steps = gr.compile_graph(paths)
@@ -78,17 +80,17 @@ def f2(patterns, paths):
     return idf.exclusive_support(keyed(patterns), idf.observational_groups(keyed(patterns), paths))
 
 
-@query("f3_augmented_rank", "patterns paths")
+@query("f3_augmented_rank", "train_patterns paths")
 def f3(patterns, paths):
     return idf.augmented_rank(keyed(patterns), idf.observational_groups(keyed(patterns), paths))
 
 
-@query("f4_identifiability_index", "patterns paths")
+@query("f4_identifiability_index", "train_patterns paths")
 def f4(patterns, paths):
     return idf.identifiability_index(keyed(patterns), paths)
 
 
-@query("f5_classify_heldout", "ec_fates axis patterns paths")
+@query("f5_classify_heldout", "ec_fates axis train_patterns paths")
 def f5(ec, axis, patterns, paths):
     held = ec.where("split <> 'train'").join(axis.select("gene_id", "n_legal"), "gene_id")
     return idf.classify_heldout(keyed(held), idf.observational_groups(keyed(patterns), paths))

@@ -13,6 +13,9 @@ BINDINGS |= {
         CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM {{intervals}} WHERE event_id % 3 = 0""",
     "exons": """SELECT o_custkey AS gene_id, o_orderkey AS path_id, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS s, l_linenumber * 100 + CAST(l_quantity AS BIGINT) + 20 + l_partkey % 60 AS e
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0""",
+    # for queries without SQL: the exons of every gene, where `exons` has those of one in ten
+    "all_exons": """SELECT o_custkey AS gene_id, o_orderkey AS path_id, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS s, l_linenumber * 100 + CAST(l_quantity AS BIGINT) + 20 + l_partkey % 60 AS e
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
 }
 
 

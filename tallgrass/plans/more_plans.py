@@ -32,7 +32,7 @@ def i5(part, nation, supplier):
     return iv.anchor_regions(nodes, edges, {"TSS": (100, 50), "donor": (30, 60), "acceptor": (30, 60)}, contigs, "RNA", 500)
 
 
-@query("f8_internal_choices", "exons")
+@query("f8_internal_choices", "all_exons")
 def f8(exons):
     paths = exon_paths(exons).withColumn("strand", F.lit("+"))
     _, _, steps = gr.compile_graph(paths)
