@@ -136,11 +136,12 @@ def event_kind(routes: DataFrame) -> DataFrame:
     return routes.groupBy("event_id").agg(F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).otherwise("MULTI_ANCHOR").alias("event_kind"))
 
 
-def scan_pwm(sequences: DataFrame, pwm: dict[str, list[list[float]]], least: float) -> DataFrame:
+def scan_pwm(sequences: DataFrame, pwm: dict[str, list[list[float]]], least: float, tile: int = 65536) -> DataFrame:
     """Hits of weight matrices on both strands (I11): columns seq_id, sequence -> seq_id, motif_id, start, strand, score.
 
     The score is the sum of log((p + 1e-6) / 0.25), brought to 0..1 between the matrix' least and greatest; windows with
-    other letters than ACGT give none. Matrices are few and small and go with the tasks; a task scans whole batches.
+    other letters than ACGT give none. Matrices are few and small and go with the tasks; a sequence is read whole, in
+    tiles of `tile` windows, and hits leave in batches, so that long sequences need no more memory.
     """
     import math
     from collections.abc import Iterator
@@ -150,8 +151,11 @@ def scan_pwm(sequences: DataFrame, pwm: dict[str, list[list[float]]], least: flo
 
     tables = {m: np.array([[math.log((x + 1e-6) / 0.25) for x in row] for row in rows]) for m, rows in pwm.items()}
 
+    def built(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["seq_id", "motif_id", "start", "strand", "score"]).astype({"start": "int64", "score": "float64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = np.full(256, 4)
+        code = np.full(256, 4, np.uint8)
         code[[65, 67, 71, 84]] = range(4)
         for b in batches:
             out = []
@@ -159,16 +163,18 @@ def scan_pwm(sequences: DataFrame, pwm: dict[str, list[list[float]]], least: flo
                 x = code[np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)]
                 for m, t in tables.items():
                     k, low, high = len(t), t.min(1).sum(), t.max(1).sum()
-                    if len(x) < k:
-                        continue
-                    windows = np.lib.stride_tricks.sliding_window_view(x, k)
-                    good = (windows < 4).all(1)
-                    for strand, table in (("+", t), ("-", t[::-1, ::-1])):
-                        padded = np.concatenate([table, np.zeros((k, 1))], 1)
-                        score = (padded[np.arange(k), windows].sum(1) - low) / max(high - low, 1e-12)
-                        for at in np.flatnonzero(good & (score >= least)):
-                            out.append((seq_id, m, int(at), strand, float(score[at])))
-            yield pd.DataFrame(out, columns=["seq_id", "motif_id", "start", "strand", "score"]).astype({"start": "int64", "score": "float64"})
+                    for begin in range(0, len(x) - k + 1, tile):
+                        windows = np.lib.stride_tricks.sliding_window_view(x[begin : begin + tile + k - 1], k)
+                        good = np.flatnonzero((windows < 4).all(1))
+                        windows = windows[good]
+                        for strand, table in (("+", t), ("-", t[::-1, ::-1])):
+                            score = (table[np.arange(k), windows].sum(1) - low) / max(high - low, 1e-12)
+                            for at in np.flatnonzero(score >= least):
+                                out.append((seq_id, m, begin + int(good[at]), strand, float(score[at])))
+                        if len(out) > 100_000:
+                            yield built(out)
+                            out = []
+            yield built(out)
 
     kind = sequences.schema["seq_id"].dataType.simpleString()
     return sequences.select("seq_id", "sequence").mapInPandas(run, f"seq_id {kind}, motif_id string, start long, strand string, score double")

@@ -105,7 +105,7 @@ def i10(x):
 
 @query("i11_scan_pwm", "documents")
 def i11(documents):
-    seq = F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "N")), 1, 200)
+    seq = F.upper(F.regexp_replace("text", "[^acgtACGT]", "N"))
     pwm = {"m1": [[0.7, 0.1, 0.1, 0.1], [0.1, 0.1, 0.1, 0.7], [0.25, 0.25, 0.25, 0.25]], "m2": [[0.9, 0.03, 0.04, 0.03], [0.1, 0.4, 0.4, 0.1]]}
     out = iv.scan_pwm(documents.select(F.col("doc_id").alias("seq_id"), seq.alias("sequence")), pwm, 0.75)
     return out.withColumn("score", F.round("score", 6))
