@@ -1,7 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line (between line feeds) of at least MIN_CHARS characters is dropped if an earlier line, by (doc_id, text key, line
-number), equals it or is within one edit (insertion, deletion or substitution of a character) of it. Whether the
+number), equals it or is within one edit (insertion, deletion or substitution of a character) of it. A shorter line of
+at least `equal_chars` characters that is not blank is dropped if an earlier line equals it: one edit is a twentieth
+or less of a line of MIN_CHARS, but makes other words of short ones. Whether the
 earlier line is dropped itself does not matter, so the result does not depend on the order of work.
 
 1. Distinct lines: hash, earliest place, number of places and hashes of halves, by one aggregation without texts.
@@ -17,7 +19,7 @@ earlier line is dropped itself does not matter, so the result does not depend on
 
 Hot lines and hot keys meet in partial aggregations; joins are plain equi-joins that Spark can split.
 
-Defined cases: shorter lines and empty lines always stay; a null text stays null; texts that are equal with an equal
+Defined cases: lines shorter than both bounds, and blank lines shorter than MIN_CHARS, always stay; a null text stays null; texts that are equal with an equal
 doc_id are one document (both rows get the same result); a null doc_id comes first; an empty table gives an empty
 result; extra columns pass through, output names that clash get a trailing underscore. Very long lines cost time in
 proportion to their length: variant hashes come from prefix sums.
@@ -44,15 +46,18 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def places(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, tkey, no, line) of every line that may be dropped."""
+def places(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
+    """(doc_id, tkey, no, line) of every line that may be dropped; shorter lines from equal_chars characters on, unless blank."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    may = F.length("line") >= min_chars
+    if equal_chars is not None:
+        may = may | ((F.length("line") >= equal_chars) & F.col("line").rlike(r"\S"))
+    return lines.where(may)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def distinct_lines(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
     """(line_key, first place, number of places, halves): no text, so that little is shuffled and written."""
-    rows = places(docs, min_chars).select(F.xxhash64("line").alias("line_key"), F.struct("doc_id", "tkey", "no").alias("place"), *halves(F.col("line")))
+    rows = places(docs, min_chars, equal_chars).select(F.xxhash64("line").alias("line_key"), F.struct("doc_id", "tkey", "no").alias("place"), *halves(F.col("line")))
     names = [c for c in rows.columns if c not in ("line_key", "place")]
     return rows.groupBy("line_key").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in names))
 
@@ -181,23 +186,23 @@ def near_lines(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     return checked.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("line_key").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """(doc_id, tkey, gone): line numbers that go, for documents that lose any."""
-    lines = saved(distinct_lines(docs, min_chars), "lines")
-    near = saved(near_lines(docs, lines, min_chars), "near")
+    lines = saved(distinct_lines(docs, min_chars, equal_chars), "lines")
+    near = saved(near_lines(docs, lines.where(F.col("chars") >= min_chars), min_chars), "near")
     verdict = lines.join(near.withColumn("near", F.lit(True)), "line_key", "left").where("near OR n > 1")
     verdict = verdict.select("line_key", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = places(docs, min_chars).select("doc_id", "tkey", "no", F.xxhash64("line").alias("line_key")).join(verdict, "line_key")
+    at = places(docs, min_chars, equal_chars).select("doc_id", "tkey", "no", F.xxhash64("line").alias("line_key")).join(verdict, "line_key")
     gone = at.where(F.col("near") | (F.col("first") < F.struct("doc_id", "tkey", "no")))
     return gone.groupBy("doc_id", "tkey").agg(F.collect_set("no").alias("gone"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", equal_chars: int | None = None) -> DataFrame:
     """docs with near-repeated lines cut out of the text, and columns n_lines and n_dropped. See the module."""
     total, lost = fresh(docs, "n_lines", "n_dropped")
     keyed = docs.withColumn("_tkey", text_key(F.col(text)))
     plain = docs.select("doc_id", F.col(text).alias("text"))
-    gone = dropped_lines(plain, min_chars).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), F.col("gone").alias("_gone"))
+    gone = dropped_lines(plain, min_chars, equal_chars).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), F.col("gone").alias("_gone"))
     out = keyed.join(gone, keyed.doc_id.eqNullSafe(gone._doc) & (keyed._tkey == gone._key), "left")
     out = out.withColumn("_lines", F.split(text, "\n"))  # a column of its own: the lambda must not split again
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")

@@ -64,7 +64,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), equal_chars=1)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
