@@ -1,6 +1,7 @@
 """Language identification by a string kernel.
 
-The kernel is the blended spectrum of letter n-grams (1 to 3, lower case, everything but letters is a gap): the number
+The kernel is the blended spectrum of letter n-grams (1 to 3, lower case; everything but letters, Unicode's category L,
+is a gap): the number
 of n-grams that two texts have in common, over the root of the product of how many each has. Landmark documents give
 a Nyström feature map K(x, L) K(L, L)^(-1/2); one-versus-rest kernel ridge regression is fitted in that space. Scoring
 is two matrix products per block of documents: presence rows times landmark rows, kernel rows times weights.
@@ -10,20 +11,19 @@ are landmarks); the sample's tasks return sums of m x m products, m = landmarks.
 depends on the landmarks alone. Prediction is one narrow pass over whole texts, without a shuffle.
 
 Defined cases: `und` with score 0 for a null text, a text without letters, or where no labelled text exists; rows with
-null doc_id, text or lang are not learned from; a text without any learned letter gets equal scores and the first
+null doc_id, text or lang are not learned from; a text without any learned n-gram gets equal scores and the first
 language; equal texts get equal predictions; repeated rows each get a row; an empty table gives an empty result; extra
 columns pass through, output names that clash get a trailing underscore.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,60 +31,53 @@ from pyspark.sql import types as T
 from .common import fresh
 
 PER_LANGUAGE, LANDMARKS = 1500, 40
-#: Letters that are told apart, the most frequent of the landmarks; others count as a gap.
-MOST_LETTERS = 160
 RIDGE, SHARPNESS, BLOCK = 1e-3, 4.0, 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+_letters: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """By code point: itself if it is a letter, else 0."""
+    if not _letters:
+        found = np.zeros(0x110000, np.int64)
+        for c in range(0x110000):
+            if LETTER.match(chr(c)):
+                found[c] = c
+        _letters.append(found)
+    return _letters[0]
+
+
+def grams(text: str) -> np.ndarray:
+    """Distinct n-grams (1 to 3 code points of 21 bits; a bit on top of them tells n)."""
+    one = letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    two = (one[:-1] << 21) | one[1:]
+    three = (two[:-1] << 21) | one[2:]
+    return np.concatenate([np.unique(one), np.unique(two) | (1 << 42), np.unique(three) | (-1 << 63)])
 
 
 @dataclass
 class Spectrum:
-    """The n-grams of the landmarks, as tables from packed letters to columns."""
+    """The n-grams of the landmarks, sorted: every one is a column, whatever its letters."""
 
-    letters: np.ndarray  # code point -> letter, 0 for a gap
-    size: int
-    tables: list[np.ndarray]  # by n: packed n-gram -> column, `width` where no landmark has it
-    width: int
-    last: np.ndarray | None = None
+    known: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str]) -> Spectrum:
-        found = Counter(c for t in texts for c in t.lower() if LETTER.match(c))
-        kept = sorted(found, key=lambda c: (-found[c], c))[:MOST_LETTERS]
-        letters = np.zeros(0x110000, np.uint8)
-        for k, c in enumerate(sorted(kept), 1):
-            letters[ord(c)] = k
-        a = len(kept) + 1
-        out, at = cls(letters, a, [], 0), 0
-        for n in (1, 2, 3):
-            has = np.zeros(a**n, bool)
-            for t in texts:
-                has[out.packed(t)[n - 1]] = True
-            table = np.full(a**n, -1, np.int32)
-            table[has] = np.arange(at, at := at + int(has.sum()))
-            out.tables.append(table)
-        out.width = at
-        for table in out.tables:
-            table[table < 0] = at
-        return out
+        return cls(np.unique(np.concatenate([grams(t) for t in texts])))
 
-    def packed(self, text: str) -> list[np.ndarray]:
-        one = self.letters[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)
-        two = one[:-1] * self.size + one[1:]
-        return [one, two, two[:-1] * self.size + one[2:]]
+    @property
+    def width(self) -> int:
+        return len(self.known)
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """0/1 rows over the landmarks' n-grams, and how many distinct n-grams each text has in all."""
-        if self.last is None:
-            self.last = np.zeros(self.size**3, np.int32)
-        rows, sizes = np.zeros((len(texts), self.width + 1), np.float32), np.zeros(len(texts))
+        rows, sizes = np.zeros((len(texts), self.width), np.float32), np.zeros(len(texts))
         for k, t in enumerate(texts):
-            for codes, table in zip(self.packed(t), self.tables, strict=True):
-                place = np.arange(len(codes), dtype=np.int32)
-                self.last[codes] = place
-                sizes[k] += np.count_nonzero(self.last[codes] == place)
-                rows[k, table[codes]] = 1
-        return rows[:, : self.width], sizes
+            g = grams(t)
+            at = np.minimum(np.searchsorted(self.known, g), self.width - 1)
+            rows[k, at[self.known[at] == g]] = 1
+            sizes[k] = len(g)
+        return rows, sizes
 
 
 @dataclass
@@ -145,7 +138,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
     kernel = (rows @ rows.T) / np.sqrt(sizes[:, None] * sizes[None])
     values, vectors = np.linalg.eigh(kernel.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    spectrum.last = None
     model = Model(languages, spectrum, rows.astype(np.uint8), sizes, root)
     sent, m, c = docs.sparkSession.sparkContext.broadcast(model), len(texts), len(languages)
 

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,13 +10,12 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_presence_equals_sets_of_ngrams():
-    texts = ["Hello world", "été à la plage 12", "hello wörld!"]
+    texts = ["Hello world ½", "été à la plage 12", "hello wörld! 漢字 ①"]
     s = langid.Spectrum.of(texts[:2])
     rows, sizes = s.presence(texts)
-    letters = {c for t in texts[:2] for c in t.lower() if langid.LETTER.match(c)}
 
     def grams(t):
-        x = "".join(c if c in letters else " " for c in t.lower())
+        x = "".join(c if langid.LETTER.match(c) else " " for c in t.lower())
         return {x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}
 
     assert [len(grams(t)) for t in texts] == sizes.astype(int).tolist()
@@ -61,3 +62,37 @@ def test_long_texts_are_read_whole(text):
     s = langid.Spectrum.of([text, "abc"])
     rows, sizes = s.presence([text + " abc"])
     assert rows[0].sum() >= 3 and sizes[0] > 0
+
+
+def test_letters_are_category_l_and_all_are_told_apart(spark):
+    rows = [(i, t, lang) for i in range(90) for t, lang in (("".join(chr(0x4E00 + (i * 31 + k * 7) % 900) for k in range(60)), "zh"), ("".join(chr(0xAC00 + (i * 17 + k * 5) % 900) for k in range(60)), "ko"), ("the cat sat on a mat", "en"))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    probe = [(1, "² ½ ① Ⅷ 42"), (2, "".join(chr(0x4E00 + k * 11 % 900) for k in range(80))), (3, "".join(chr(0xAC00 + k * 13 % 900) for k in range(80))), (3, "a cat"), (3, "a cat")]
+    got = langid.predict(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score > 0.34) for r in got if r.doc_id < 3] == [("und", False), ("zh", True)] and got[0].score == 0
+    assert sorted(r.lang_pred for r in got if r.doc_id == 3) == ["en", "en", "ko"]
+
+
+def test_fitted_weights_equal_dense_kernel_ridge(spark):
+    """With all texts as landmarks, Nystroem ridge is kernel ridge: (K + n * ridge)^-1 y, computed here without blocks or features."""
+    rng = np.random.default_rng(2)
+    words = {"a": "the and of with that", "b": "der die und mit das", "c": "le et que dans les"}
+    rows = []
+    for i in range(60):
+        lang = "abc"[i % 3]
+        rows.append((i, f"{' '.join(rng.choice(words[lang].split(), 6))} {''.join(rng.choice(list('abcdefghijklm'), 9))}", lang))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10**6, landmarks=10**6)
+
+    def grams(t):
+        x = "".join(c if langid.LETTER.match(c) else " " for c in t.lower())
+        return {x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+
+    sets = [grams(t) for _, t, _ in learned]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == c else -1.0 for c in "abc"] for _, _, lang in learned])
+    dual = np.linalg.solve(k + langid.RIDGE * len(sets) * np.eye(len(sets)), y)
+    probe = ["the und que", "mit der katze", "xyz", "les chats et le chien"]
+    want = np.array([[kernel(grams(t), b) for b in sets] for t in probe]) @ dual
+    assert np.allclose(model.features(probe), want, atol=2e-3)
