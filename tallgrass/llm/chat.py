@@ -10,8 +10,10 @@ The template is `<|im_start|>role LF text <|im_end|> LF` per message. Within tex
 `<|` becomes `<\\|`, so that no control string can occur inside a text and the escape can be undone; a line feed
 within a role becomes backslash n. The loss mask covers the texts of the role `assistant`.
 
-The rendered table has one row per message. `read_back` streams sorted partitions and holds one message and the hash
-states of one conversation, whatever the conversation's length.
+The rendered table has one row per message; a conversation's output is its rows in order, put end to end. `read_back`
+knows nothing of rows: it scans that output for unescaped control strings and takes turns and the mask's text from what
+it finds. It streams sorted partitions and holds one turn and the hash states of one conversation, whatever the
+conversation's length. Output that is not a sequence of turns raises a ValueError.
 
 Defined cases: null texts and roles count as empty; a null kind is ignored; a null conv_id is a conversation of its
 own; events of one message with equal seq are ordered by kind, role and text; repeated events apply again; a message
@@ -105,34 +107,72 @@ READ_BACK = (
 )
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
-    """Parses the rendered output and returns one row of digests per conversation."""
-    shape = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + "\n", re.DOTALL)
+class Scanner:
+    """Reads a conversation's output piece by piece: turns, and the text under the loss mask."""
+
+    def __init__(self, conv):
+        self.conv, self.rest, self.at, self.due = conv, "", 0, []
+        self.turns, self.chars, self.said, self.learned = 0, 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, a: int | None, z: int | None) -> None:
+        """More output, and the span of it under the mask."""
+        if a is not None:
+            self.due.append((self.at + len(self.rest) + a, self.at + len(self.rest) + z))
+        self.rest += text
+        done = 0
+        while (end := self.turn(done)) is not None:
+            self.mask(end)
+            done = end
+        self.at, self.rest = self.at + done, self.rest[done:]
+
+    def turn(self, start: int) -> int | None:
+        """Reads the turn at a place; where it ends, or None if its end is not there yet."""
+        if not self.rest.startswith(START, start):
+            if len(self.rest) - start < len(START) and START.startswith(self.rest[start:]):
+                return None
+            raise ValueError(f"no turn at character {self.at + start} of conversation {self.conv}")
+        head = self.rest.find("\n", start)
+        mark = self.rest.find("<|", head) if head >= 0 else -1
+        stop = mark + len(END) + 1
+        if mark < 0 or len(self.rest) < stop:
+            return None
+        if not self.rest.startswith(END + "\n", mark):
+            raise ValueError(f"a control string at character {self.at + mark} of conversation {self.conv}")
+        self.turns += 1
+        role, body = self.rest[start + len(START) : head], self.rest[head + 1 : mark]
+        self.said.update(f"{unescaped(role)}\n{unescaped(body)}\n".encode())
+        return stop
+
+    def mask(self, end: int) -> None:
+        """Takes the masked text of a turn that has been read."""
+        while self.due and self.due[0][0] < self.at + end:
+            a, z = self.due.pop(0)
+            learned = unescaped(self.rest[a - self.at : z - self.at])
+            self.chars += len(learned)
+            self.learned.update(learned.encode())
+
+    def row(self) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {self.conv} ends within a turn")
+        return self.conv, self.turns, self.said.hexdigest(), self.chars, self.learned.hexdigest(), self.at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
 
-        def row() -> tuple:
-            return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+def read_back(rendered: DataFrame) -> DataFrame:
+    """Scans the rendered output and returns one row of digests per conversation."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         for b in batches:
             out = []
             for conv, text, a, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if state is None or conv != now:
-                    if state is not None:
-                        out.append(row())
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, body = shape.fullmatch(text).groups()
-                state[0] += 1
-                state[1].update(f"{unescaped(role)}\n{unescaped(body)}\n".encode())
-                if a is not None:
-                    learned = unescaped(text[a:z])
-                    state[2] += len(learned)
-                    state[3].update(learned.encode())
-                state[4] += len(text)
+                if now is None or conv != now.conv:
+                    if now is not None:
+                        out.append(now.row())
+                    now = Scanner(conv)
+                now.add(text, a, z)
             yield table(out)
-        if state is not None:
-            yield table([row()])
+        if now is not None:
+            yield table([now.row()])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[]] * 6

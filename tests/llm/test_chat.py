@@ -61,3 +61,29 @@ def test_turns_with_nulls_ties_and_repeats(spark):
     back = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold(log))).collect()}
     assert back[1].n_turns == 3 and back[None].n_turns == 1 and back[1].loss_chars == 1
     assert chat.read_back(chat.render(chat.fold(log.where("conv_id > 5")))).collect() == []
+
+
+def test_read_back_takes_turns_from_the_output_and_not_from_its_rows(spark):
+    a, b = "<|im_start|>user\nhi<|im_end|>\n", "<|im_start|>assistant\nyes<|im_end|>\n"
+    kind = "conv_id long, message int, formatted string, loss_from int, loss_to int"
+    n = len(a) + len("<|im_start|>assistant\n")
+    one = spark.createDataFrame([(1, 0, a + b, n, n + 3)], kind)
+    parts = [(2, 0, a[:5], None, None), (2, 1, a[5:] + b[:7], None, None), (2, 2, b[7:], n - len(a) - 7, n - len(a) - 4)]
+    got = [r[1:] for r in chat.read_back(one.unionByName(spark.createDataFrame(parts, kind))).collect()]
+    assert got[0] == got[1] and got[0][0] == 2 and got[0][2:4] == (3, hashlib.sha256(b"yes").hexdigest())
+
+
+def test_broken_output_is_not_accepted():
+    import pytest
+
+    for text in ("<|im_start|>user\na<|im_start|>b<|im_end|>\n", "x<|im_start|>user\na<|im_end|>\n", "<|im_start|>user\na<|im_end|> \n", "<|im_start|>user\na"):
+        s = chat.Scanner(1)
+        with pytest.raises(ValueError):
+            s.add(text, None, None)
+            s.row()
+
+
+def test_one_very_long_conversation_and_clashing_columns(spark):
+    turns = spark.range(3000).selectExpr("1 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat(concat('<|', id), 20) AS text", "'x' AS message", "1 AS seq", "'y' AS log")
+    back = chat.read_back(chat.render(chat.fold(chat.events_of_turns(turns).withColumn("reset", chat.F.lit(1))))).collect()
+    assert [r.n_turns for r in back] == [3000] and back[0].loss_chars == sum(20 * len(f"<|{i}") for i in range(1, 3000, 2))
