@@ -1,12 +1,13 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line (between line feeds) of at least MIN_CHARS characters is dropped if an earlier line, by (doc_id, text key, line
-number), equals it or is within one edit (insertion, deletion or substitution of a character) of it. A shorter line of
-at least `equal_chars` characters that is not blank is dropped if an earlier line equals it: one edit is a twentieth
-or less of a line of MIN_CHARS, but makes other words of short ones. Whether the
-earlier line is dropped itself does not matter, so the result does not depend on the order of work.
-
-1. Distinct lines: hash, earliest place, number of places and hashes of halves, by one aggregation without texts.
+A line (between line feeds) that is not blank is dropped if an earlier line, by (doc_id, text key, line number), equals
+it; a line of at least MIN_CHARS characters also if an earlier one is within one edit (insertion, deletion or
+substitution of a character) of it: one edit is a twentieth or less of such a line, but makes other words of short ones.
+Whether the earlier line is dropped itself does not matter, so the result does not depend on the order of work.
+
+1. Distinct lines: hash, earliest place, number of places and hashes of halves, by one aggregation without texts. Lines
+   are the same where two 64-bit hashes of different seeds agree, as 128 bits would; a line's first place stands for it
+   from there on. The text key of a place has 64 bits: it tells apart the texts of one doc_id only.
 2. Half keys: of two lines within one edit, the first or the last half (of the shorter one's length) is equal. Each
    distinct line gives the hashes of these halves; only lines that share one with another line go on. This loses no
    pair and spares nearly all lines the neighbourhood.
@@ -19,7 +20,7 @@ earlier line is dropped itself does not matter, so the result does not depend on
 
 Hot lines and hot keys meet in partial aggregations; joins are plain equi-joins that Spark can split.
 
-Defined cases: lines shorter than both bounds, and blank lines shorter than MIN_CHARS, always stay; a null text stays null; texts that are equal with an equal
+Defined cases: blank lines shorter than MIN_CHARS always stay; a null text stays null; texts that are equal with an equal
 doc_id are one document (both rows get the same result); a null doc_id comes first; an empty table gives an empty
 result; extra columns pass through, output names that clash get a trailing underscore. Very long lines cost time in
 proportion to their length: variant hashes come from prefix sums.
@@ -46,20 +47,25 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def places(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
-    """(doc_id, tkey, no, line) of every line that may be dropped; shorter lines from equal_chars characters on, unless blank."""
+def line_keys(line: Column) -> list[Column]:
+    """Two hashes of a line by different seeds (columns line_key and line_key2)."""
+    return [F.xxhash64(line).alias("line_key"), F.xxhash64(F.lit(2), line).alias("line_key2")]
+
+
+def places(docs: DataFrame, min_chars: int, equal_too: bool) -> DataFrame:
+    """(doc_id, tkey, no, line) of every line that may be dropped: of min_chars characters, or any that is not blank."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     may = F.length("line") >= min_chars
-    if equal_chars is not None:
-        may = may | ((F.length("line") >= equal_chars) & F.col("line").rlike(r"\S"))
+    if equal_too:
+        may = may | F.col("line").rlike(r"\S")
     return lines.where(may)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int, equal_chars: int | None = None) -> DataFrame:
-    """(line_key, first place, number of places, halves): no text, so that little is shuffled and written."""
-    rows = places(docs, min_chars, equal_chars).select(F.xxhash64("line").alias("line_key"), F.struct("doc_id", "tkey", "no").alias("place"), *halves(F.col("line")))
-    names = [c for c in rows.columns if c not in ("line_key", "place")]
-    return rows.groupBy("line_key").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in names))
+def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(line_key, line_key2, first place, number of places, halves): no text, so that little is shuffled and written."""
+    rows = places(docs, min_chars, True).select(*line_keys(F.col("line")), F.struct("doc_id", "tkey", "no").alias("place"), *halves(F.col("line")))
+    names = [c for c in rows.columns if c not in ("line_key", "line_key2", "place")]
+    return rows.groupBy("line_key", "line_key2").agg(F.min("place").alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in names))
 
 
 def halves(line: Column) -> list[Column]:
@@ -120,14 +126,14 @@ def variants(text: str) -> np.ndarray:
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """Rows (half, variant, at, line_key, first) for lines (line_key, first, line, halves); at is -1 for a whole rest."""
+    """Rows (half, variant, at, first) for lines (first, line, halves); at is -1 for a whole rest."""
     keep = lines.schema["first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["half", "variant", "at", "line_key", "first"]
+        names = ["half", "variant", "at", "first"]
         for b in batches:
             rows, n_rows = [], 0
-            for i, (line, keys) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            for i, (line, keys) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 for key in keys:
                     h = key["size"]
                     rest = line[h:] if key["side"] == 0 else line[: len(line) - h]
@@ -146,63 +152,58 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
         take = pa.array(np.repeat([r[0] for r in rows], sizes))
         half = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
         v, at = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(half), pa.array(v), pa.array(at), b.column(0).take(take), b.column(1).take(take)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(half), pa.array(v), pa.array(at), b.column(0).take(take)], names=names)
 
     schema = T.StructType([
-        T.StructField("half", T.LongType()), T.StructField("variant", T.LongType()), T.StructField("at", T.IntegerType()),
-        T.StructField("line_key", T.LongType()), keep,
+        T.StructField("half", T.LongType()), T.StructField("variant", T.LongType()), T.StructField("at", T.IntegerType()), keep,
     ])
-    return lines.select("line_key", "first", "line", "halves").mapInArrow(run, schema)
+    return lines.select("first", "line", "halves").mapInArrow(run, schema)
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
-    """line_key of every distinct line that has an earlier line within one edit."""
+    """`first` of every distinct line that has an earlier line within one edit."""
     keyed = lines.select("line_key", F.explode(half_keys()).alias("h"))
     shared = keyed.groupBy("h.half").agg(F.min("line_key").alias("a"), F.max("line_key").alias("z")).where("a < z").select("half")
     chosen = keyed.select("line_key", "h", F.col("h.half").alias("half")).join(shared, "half", "left_semi")
     chosen = chosen.groupBy("line_key").agg(F.collect_set("h").alias("halves"))  # four halves of a line at most
+    # two lines of one line_key would each get the halves of both, which makes links that the check throws out
     chosen = lines.select("line_key", "first").join(chosen, "line_key")
     # the text of a chosen line is read at its first place, which only one line has: a hot line is no hot key here
-    at = places(docs, min_chars)
+    at = places(docs, min_chars, False)
     same = at.doc_id.eqNullSafe(F.col("first.doc_id")) & (at.tkey == F.col("first.tkey")) & (at.no == F.col("first.no"))
-    chosen = saved(at.join(chosen, same).select("line_key", "first", "line", "halves").dropDuplicates(["line_key"]), "halves")
+    chosen = saved(at.join(chosen, same).select("first", "line", "halves").dropDuplicates(["first"]), "halves")
     near = saved(neighbourhood(chosen), "variants")
     # substitutions: the earliest line of each (variant, place) stands for all
     deleted = near.where("at >= 0")
-    heads = deleted.groupBy("half", "variant", "at").agg(
-        F.min(F.struct("first", "line_key")).alias("e"), F.count("*").alias("n")
-    ).where("n > 1").select("half", "variant", "at", F.col("e.line_key").alias("other"), F.col("e.first").alias("head"))
-    swapped = deleted.join(heads, ["half", "variant", "at"]).where("head < first").select("line_key", "other")
+    heads = deleted.groupBy("half", "variant", "at").agg(F.min("first").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    swapped = deleted.join(heads, ["half", "variant", "at"]).where("head < first").select("first", "head")
     # insertions and deletions: a variant is the whole rest of another line
-    whole = near.where("at = -1").select("half", "variant", F.col("line_key").alias("other"), F.col("first").alias("head"))
-    pairs = deleted.select("half", "variant", "line_key", "first").join(whole, ["half", "variant"])
-    added = pairs.select(
-        F.when(F.col("head") < F.col("first"), F.col("line_key")).otherwise(F.col("other")).alias("line_key"),
-        F.when(F.col("head") < F.col("first"), F.col("other")).otherwise(F.col("line_key")).alias("other"),
-    )
+    whole = near.where("at = -1").select("half", "variant", F.col("first").alias("head"))
+    pairs = deleted.select("half", "variant", "first").join(whole, ["half", "variant"])
+    added = pairs.select(F.greatest("head", "first").alias("first"), F.least("head", "first").alias("head"))
     links = swapped.unionByName(added).distinct()
-    text = chosen.select("line_key", "line")
-    checked = links.join(text, "line_key").join(text.select(F.col("line_key").alias("other"), F.col("line").alias("other_line")), "other")
-    return checked.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("line_key").distinct()
+    text = chosen.select("first", "line")
+    checked = links.join(text, "first").join(text.select(F.col("first").alias("head"), F.col("line").alias("head_line")), "head")
+    return checked.where(F.levenshtein("line", "head_line", 1).between(0, 1)).select("first").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, tkey, gone): line numbers that go, for documents that lose any."""
-    lines = saved(distinct_lines(docs, min_chars, equal_chars), "lines")
+    lines = saved(distinct_lines(docs, min_chars), "lines")
     near = saved(near_lines(docs, lines.where(F.col("chars") >= min_chars), min_chars), "near")
-    verdict = lines.join(near.withColumn("near", F.lit(True)), "line_key", "left").where("near OR n > 1")
-    verdict = verdict.select("line_key", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = places(docs, min_chars, equal_chars).select("doc_id", "tkey", "no", F.xxhash64("line").alias("line_key")).join(verdict, "line_key")
+    verdict = lines.join(near.withColumn("near", F.lit(True)), "first", "left").where("near OR n > 1")
+    verdict = verdict.select("line_key", "line_key2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    at = places(docs, min_chars, True).select("doc_id", "tkey", "no", *line_keys(F.col("line"))).join(verdict, ["line_key", "line_key2"])
     gone = at.where(F.col("near") | (F.col("first") < F.struct("doc_id", "tkey", "no")))
     return gone.groupBy("doc_id", "tkey").agg(F.collect_set("no").alias("gone"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", equal_chars: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
     """docs with near-repeated lines cut out of the text, and columns n_lines and n_dropped. See the module."""
     total, lost = fresh(docs, "n_lines", "n_dropped")
     keyed = docs.withColumn("_tkey", text_key(F.col(text)))
     plain = docs.select("doc_id", F.col(text).alias("text"))
-    gone = dropped_lines(plain, min_chars, equal_chars).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), F.col("gone").alias("_gone"))
+    gone = dropped_lines(plain, min_chars).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), F.col("gone").alias("_gone"))
     out = keyed.join(gone, keyed.doc_id.eqNullSafe(gone._doc) & (keyed._tkey == gone._key), "left")
     out = out.withColumn("_lines", F.split(text, "\n"))  # a column of its own: the lambda must not split again
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")

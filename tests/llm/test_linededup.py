@@ -13,8 +13,9 @@ def distance(a, b):
 
 
 def brute(rows, least):
-    at = sorted((i, no, line) for i, t in rows if t is not None for no, line in enumerate(t.split("\n")) if len(line) >= least)
-    gone = {(i, no) for k, (i, no, line) in enumerate(at) if any(abs(len(x) - len(line)) < 2 and distance(x, line) < 2 for _, _, x in at[:k])}
+    at = sorted((i, no, line) for i, t in rows if t is not None for no, line in enumerate(t.split("\n")) if len(line) >= least or line.strip())
+    near = lambda x, line: x == line or min(len(x), len(line)) >= least and abs(len(x) - len(line)) < 2 and distance(x, line) < 2
+    gone = {(i, no) for k, (i, no, line) in enumerate(at) if any(near(x, line) for _, _, x in at[:k])}
     return {i: None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone) for i, t in rows}
 
 

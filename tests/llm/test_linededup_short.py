@@ -9,6 +9,7 @@ def test_equal_short_lines_go_and_near_ones_stay(spark, tmp_path):
     assert got == {1: (rows[0][1], 0), 2: ("Read mare\n\n \n漢", 2), 3: ("read more", 3), 4: (None, 0)}
 
 
-def test_short_lines_stay_where_not_asked_for(spark):
-    docs = spark.createDataFrame([(1, "Read more"), (2, "Read more")], "doc_id long, text string")
-    assert {r.text for r in linededup.deduplicated(docs).collect()} == {"Read more"}
+def test_equal_short_lines_go_by_default(spark):
+    docs = spark.createDataFrame([(1, "Read more"), (2, "Read more"), (3, " "), (4, " ")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()}
+    assert got == {1: "Read more", 2: "", 3: " ", 4: " "}
