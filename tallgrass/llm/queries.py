@@ -95,7 +95,7 @@ def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.store(docs).select("doc_id", "n_bytes", "media")
-    read = media.load(stored, tensor=False)
+    read = media.load(stored)
     size = F.octet_length("payload").cast("long")
     return read.select(
         "doc_id",
@@ -106,6 +106,9 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         digest(F.col("media")).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb",
     )
 
 
