@@ -2,11 +2,15 @@
 
 Every document gets base counts (words, symbols, repeated lines, words in repeated 8-word windows) in one narrow pass;
 windows are compared by 64-bit hashes of their words' hashes. Four rules reject documents whose rate lies beyond a
-cutoff. Cutoffs are chosen per stratum on labelled documents: one half (by hash of doc_id) proposes quantiles of the
-good documents' rates, the other half tests each proposal with the exact binomial bound: it is valid if so few good
-documents rejected would have at most the probability delta / (number of tests) were the true false-rejection rate
-alpha / (number of rules) (Bonferroni over strata, rules and proposals). The strictest valid proposal wins; a stratum
-without one keeps everything. So with probability 1 - delta, no stratum loses more than alpha of its good documents.
+cutoff. Cutoffs are chosen per stratum on labelled documents that pass the base rules (the promise is about those). One
+half of the good ones (by hash of doc_id) proposes a sequence of rule sets, from the loosest to the strictest: every
+rule's cutoff at MARGINS times the greatest rate, then at LEVELS of the rates' quantiles. The other half tests each rule
+set as a whole, once: with n good documents and x of them rejected by any of the rules, it is valid if x or fewer would
+have a probability of at most delta / (number of strata) were the true false rejection alpha (exact binomial bound at
+every size). Rule sets are tested in that fixed order and testing stops at the first that is not valid, which needs no
+correction over the sequence; strata are corrected by Bonferroni. The last valid set is the stratum's; a stratum
+without one keeps everything. So with probability 1 - delta, no stratum loses more than alpha of the good documents
+that pass the base rules. A rule that tells nothing in a stratum costs its sequence power, but never the promise.
 
 Only grouped counts leave the labelled pass: (strata x rules x levels) rows. The documents' text is read once; the
 counts, a few numbers per document, are written to the shared folder and read for calibration and verdicts.
@@ -18,6 +22,9 @@ table gives an empty result; other columns are dropped but for doc_id; rates ove
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +32,8 @@ from .common import saved
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Quantiles of the good documents' rates that are proposed as cutoffs, strictest first.
-LEVELS = (0.98, 0.99, 0.995, 0.998, 0.999, 1.0)
+#: Proposed cutoffs, loosest first: multiples of the good documents' greatest rate, then quantiles of their rates.
+MARGINS, LEVELS = (4.0, 2.0, 1.5, 1.2, 1.0), (0.999, 0.998, 0.996, 0.994, 0.992, 0.99)
 ALPHA, DELTA = 0.02, 0.05
 #: Strata up to this number are broadcast with their cutoffs.
 FEW_STRATA = 10_000
@@ -104,43 +111,63 @@ def rates() -> dict[str, Column]:
     }
 
 
+def stirling_rest(n: Column) -> Column:
+    """ln n! minus Stirling's formula for it (n > 0): a series, or the difference itself for small n."""
+    exact = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(16)).cast("long")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    small = exact - (n + 0.5) * F.log(n) + n - F.lit(0.9189385332046727)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+    return F.when(n <= 16, small).otherwise(series)
+
+
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """ln P(Binomial(n, p) <= k) by summing exact terms; beyond 100,000 terms Chernoff's upper bound of it."""
-    log1p, logit = F.log(F.lit(1 - p)), F.log(F.lit(p / (1 - p)))
-    top = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    """ln P(Binomial(n, p) <= k), exact at every size; 0 where k is not below the mean, where nothing is proved.
+
+    The term at k by its deviance from the mean, times the sum of the falling terms below it relative to it; terms
+    beyond 12 standard deviations below k are less than 1e-30 of it.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    q = 1 - p
+    deviance = lambda x, m: x * F.log(x / m) + m - x
+    rest = stirling_rest(n) - stirling_rest(k) - stirling_rest(n - k)
+    top = rest - deviance(k, n * p) - deviance(n - k, n * q) - 0.5 * F.log(F.lit(6.283185307179586) * k * (n - k) / n)
+    count = F.least(k, F.ceil(12 * F.sqrt(n * p * q)) + 64).cast("long")
 
     def step(a: Column, i: Column) -> Column:
-        term = a.term + F.log((n - i + 1) / i) + logit
-        return F.struct(term.alias("term"), top(a.total, term).alias("total"))
+        term = a.term * (k - i + 1) * q / ((n - k + i) * p)
+        return F.struct(term.alias("term"), (a.total + term).alias("total"))
 
-    first = F.struct((n * log1p).alias("term"), (n * log1p).alias("total"))
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    exact = F.aggregate(terms, first, step).total
-    q = k / n
-    bound = -n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p)))
-    return F.when(n == 0, F.lit(0.0)).when(k >= n * p, F.lit(0.0)).when(k > 100_000, bound).otherwise(exact)
+    below = F.aggregate(F.sequence(F.lit(1).cast("long"), count), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), step).total
+    none = n * F.log(F.lit(q))
+    return F.when((n <= 0) | (k >= n * p), F.lit(0.0)).when(k <= 0, none).otherwise(top + F.log(below))
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, levels: tuple = LEVELS) -> DataFrame:
-    """One row per stratum: the strictest valid cutoff of every rule, null where none is valid."""
+def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, margins: tuple = MARGINS, levels: tuple = LEVELS) -> DataFrame:
+    """One row per stratum: n good documents tested, the last valid step of the sequence (null: none), the losses there
+    and their bound ln P, and the cutoff of every rule (null without a valid step)."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
     r = rates()
     seen = counts.where(~base_failed()).select("doc_id", "stratum", *(c.alias(k) for k, c in r.items()))
     seen = seen.join(good.where("good = 1"), "doc_id").withColumn("half", F.xxhash64("doc_id") % 2 == 0)
-    proposed = seen.where("half").groupBy("stratum").agg(
-        *(F.percentile_approx(k, F.array(*map(F.lit, levels)), 100_000).alias(f"p_{k}") for k in r)
-    )
-    tested = seen.where("NOT half").join(small(proposed.withColumnRenamed("stratum", "s")), F.col("stratum").eqNullSafe(F.col("s")))
+    quantiles = F.array(F.lit(1.0), *map(F.lit, levels))
+    proposed = seen.where("half").groupBy("stratum").agg(*(F.percentile_approx(k, quantiles, 100_000).alias(k) for k in r))
+    # cutoffs by step: margins of the greatest rate, then the quantiles
+    steps = {k: F.concat(F.array(*(F.get(F.col(k), F.lit(0)) * m for m in margins)), F.slice(k, 2, len(levels))) for k in r}
+    proposed = proposed.select(F.col("stratum").alias("s"), *(c.alias(f"p_{k}") for k, c in steps.items()))
+    tested = seen.where("NOT half").join(small(proposed), F.col("stratum").eqNullSafe(F.col("s")))
+    many = len(margins) + len(levels)
+    beyond = lambda i: reduce(or_, (F.col(k) > F.get(f"p_{k}", F.lit(i)) for k in r))
     tested = tested.groupBy("stratum").agg(
-        F.count("*").alias("n"),
-        *(F.first(f"p_{k}").alias(f"p_{k}") for k in r),
-        *(F.sum(F.when(F.col(k) > F.element_at(f"p_{k}", i + 1), 1).otherwise(0)).alias(f"x_{k}_{i}") for k in r for i in range(len(levels))),
+        F.count("*").alias("n"), *(F.first(f"p_{k}").alias(f"p_{k}") for k in r), F.array(*(F.count_if(beyond(i)) for i in range(many))).alias("losses")
     )
     tests = saved(tested, "tests")
-    least = F.log(F.lit(delta / max(1, tests.count() * len(r) * len(levels))))
-    valid = lambda k, i: log_binomial_cdf(F.col(f"x_{k}_{i}"), F.col("n"), alpha / len(r)) <= least
-    best = {k: F.coalesce(*(F.when(valid(k, i), F.element_at(f"p_{k}", i + 1)) for i in range(len(levels)))) for k in r}
-    return tests.select("stratum", *(c.cast("double").alias(f"cut_{k}") for k, c in best.items()))
+    least = F.log(F.lit(delta / max(1, tests.count())))
+    steps = F.transform("losses", lambda x: log_binomial_cdf(x, F.col("n"), alpha))
+    tests = tests.withColumn("bounds", steps)
+    # how many steps are valid before the first that is not
+    tests = tests.withColumn("step", F.coalesce(F.nullif(F.array_position(F.transform("bounds", lambda x: x > least), True), F.lit(0)) - 1, F.lit(many)) - 1)
+    tests = tests.withColumn("step", F.when(F.col("step") >= 0, F.col("step")).cast("int"))
+    at = lambda c: F.when(F.col("step").isNotNull(), F.get(c, F.col("step")))
+    return tests.select("stratum", "n", "step", at("losses").alias("losses"), at("bounds").alias("log_p"), *(at(f"p_{k}").cast("double").alias(f"cut_{k}") for k in r))
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -39,13 +39,43 @@ def test_base_counts_equal_brute_force(spark):
 
 
 def test_binomial_bound_is_exact(spark):
-    from math import comb, log
+    from math import comb, exp, fsum, lgamma, log
 
-    cases = [(0, 100), (3, 1000), (1, 50), (7, 4000)]
+    cases = [(0, 100), (3, 1000), (1, 50), (7, 4000), (60, 4000), (0, 1), (1, 51), (19, 1000)]
     got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.log_binomial_cdf(F.col("k"), F.col("n"), 0.02).alias("x"))
     for k, n, x in got.collect():
         p = sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
         assert (x == 0.0) if k >= n * 0.02 else abs(x - log(p)) < 1e-9
+    # beyond any switch of formulas: terms by log gamma functions
+    large = [(199_000, 10_000_000), (19_500, 1_000_000), (1_999_000, 100_000_000)]
+    got = spark.createDataFrame(large, "k long, n long").select("k", "n", quality.log_binomial_cdf(F.col("k"), F.col("n"), 0.02).alias("x"))
+    for k, n, x in got.collect():
+        term = lambda i, n=n: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(0.02) + (n - i) * log(0.98)
+        at = term(k)
+        want = at + log(fsum(exp(term(i) - at) for i in range(k, max(0, k - 40_000), -1)))
+        assert abs(x - want) < 1e-4
+
+
+def test_true_loss_keeps_the_promise_in_simulated_strata(spark):
+    """Every stratum is a run of its own with known rates; a run may break its promise with probability delta at most."""
+    runs, delta, alpha = 150, 0.1, 0.02
+    rows = spark.range(runs * 800).select(
+        F.col("id").alias("doc_id"), (F.col("id") % runs).alias("stratum"), F.lit(1000).alias("n_words"), F.lit(5000).alias("word_chars"), F.lit(1000).alias("n_lines"),
+        F.floor(F.rand(1) * 5000).alias("n_symbols"), F.floor(F.rand(2) * 1000).alias("n_dup_lines"), F.floor(F.rand(3) * 300).alias("n_repeat_words"),
+    )
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    got = quality.cutoffs(quality.saved(rows, "simulated"), labels, alpha, delta * runs).collect()
+    keep = lambda cut, most: min(1.0, cut / most)
+    true_loss = [1 - keep(r.cut_symbols, 1.0) * keep(r.cut_dup_lines, 1.0) * keep(r.cut_repeats, 0.3) for r in got if r.step is not None]
+    assert len(true_loss) > 0.9 * runs and sum(x > 0 for x in true_loss) > 0.5 * runs
+    assert sum(x > alpha for x in true_loss) <= (delta + 3 * (delta * 0.9 / runs) ** 0.5) * runs
+
+
+def test_some_stratum_of_the_labels_gets_cutoffs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.verdicts(docs, labels)
+    by = {(r.quality, r.kept): r["count"] for r in out.where("NOT base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert by[0, False] > 3 * by[0, True] and by[1, False] < 0.02 * by[1, True]
 
 
 def test_no_stratum_loses_more_than_promised(spark):
