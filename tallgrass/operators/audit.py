@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import effective_size, weighted_mean
+from ..sources.shared import cut
 
 
 def multi_strata(df: DataFrame, strata: list[list[str]], metrics: list[Column]) -> DataFrame:
@@ -80,12 +84,40 @@ def weighted_quantile(df: DataFrame, by: list[str], x: str, w: str, q: float) ->
     return d.groupBy(*by).agg(F.min(F.when(F.col("cum") >= q * F.col("all"), F.col(x))).alias("quantile"))
 
 
+def ranked_values(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, x, n, to, total): every value with its rows, the rows up to it in ascending order, and all of its group.
+
+    Values are counted first, dealt out by range and summed with their partition's offset, so that no group meets in one
+    task. NULLs are left out.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+    dealt = cut(counts.repartitionByRange(*by, x).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "_p").agg(F.sum("n").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sizes = sizes.select(*by, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.sum("_n").over(Window.partitionBy(*by)).alias("total"))
+    own = F.sum("n").over(Window.partitionBy(*by, "_p").orderBy(x))
+    d = dealt.withColumn("_own", own)
+    same = [d[c].eqNullSafe(sizes[c]) for c in by] + [d["_p"] == sizes["_p"]]
+    return d.join(sizes, reduce(and_, same)).select(*(d[c] for c in by), d[x], "n", (F.col("_o") + F.col("_own")).alias("to"), "total")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float]) -> DataFrame:
+    """(by, name ...): a struct (linear, higher) for every named quantile; a group without values has no row."""
+    d = ranked_values(df, by, x).withColumn("x", F.col(x).cast("double"))
+    at = lambda r: F.max(F.when((F.col("to") - F.col("n") <= r) & (r < F.col("to")), F.col("x")))
+    out = []
+    for name, q in qs.items():
+        place = F.lit(q) * (F.col("total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        out.append(F.struct((low + (high - low) * part).alias("linear"), high.alias("higher")).alias(name))
+    return d.groupBy(*by).agg(*out)
+
+
 def quantiles(df: DataFrame, by: list[str], x: str, q: float) -> DataFrame:
     """Linear and "higher" quantile, median and interquartile range."""
-    s = F.sort_array(F.collect_list(x))
-    higher = F.element_at(s, F.ceil(q * (F.count(x) - 1)).cast("int") + 1)
-    p = lambda v: F.percentile(x, F.lit(v))
-    return df.groupBy(*by).agg(p(q).alias("linear"), higher.alias("higher"), p(0.5).alias("median"), (p(0.75) - p(0.25)).alias("iqr"))
+    d = exact_quantiles(df, by, x, {"q": q, "q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return d.select(*by, "q.linear", "q.higher", F.col("q50.linear").alias("median"), (F.col("q75.linear") - F.col("q25.linear")).alias("iqr"))
 
 
 def weighted_r2(df: DataFrame, by: list[str], y: str, predicted: str, w: str) -> DataFrame:

@@ -13,7 +13,7 @@ def expand_cigar(cigar: Column, start: Column) -> Column:
     """Blocks, junctions with their anchors, deletions and clips of an alignment (C1), by one fold over the operations.
 
     M, = and X extend the open block; D closes it and is recorded; N closes it and gives a junction, whose anchors are
-    the contiguous matches on both sides; S and H are clips; I and P move nothing.
+    the runs of matches next to it on both sides, which any other operation ends; S and H are clips; I and P move nothing.
     """
     ops = F.transform(
         F.regexp_extract_all(cigar, F.lit(r"[0-9]+[MIDNSHP=X]"), F.lit(0)),
@@ -22,7 +22,7 @@ def expand_cigar(cigar: Column, start: Column) -> Column:
     junction = "struct<s:bigint,e:bigint,left:bigint,right:bigint>"
     none = F.array().cast(IV)
     zero = F.struct(
-        start.cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("run"), none.alias("blocks"),
+        start.cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("run"), F.lit(False).alias("touches"), none.alias("blocks"),
         F.array().cast(f"array<{junction}>").alias("junctions"), none.alias("deletions"), F.lit(0).cast("bigint").alias("clipped"),
     )
 
@@ -30,14 +30,15 @@ def expand_cigar(cigar: Column, start: Column) -> Column:
         match, gap = x.op.isin("M", "=", "X"), x.op.isin("D", "N")
         closed = F.when(gap & a.open.isNotNull(), F.array_append(a.blocks, F.struct(a.open.alias("s"), a.pos.alias("e")))).otherwise(a.blocks)
         grown = F.when(
-            match & (F.size(a.junctions) > 0) & (F.try_element_at(a.junctions, F.lit(-1)).e == a.pos - a.run),
+            match & a.touches,
             F.transform(a.junctions, lambda j, i: F.struct(j.s.alias("s"), j.e.alias("e"), j.left.alias("left"), F.when(i == F.size(a.junctions) - 1, j.right + x.n).otherwise(j.right).alias("right"))),
         ).otherwise(a.junctions)
         spliced = F.when(x.op == "N", F.array_append(grown, F.struct(a.pos.alias("s"), (a.pos + x.n).alias("e"), a.run.alias("left"), F.lit(0).cast("bigint").alias("right")))).otherwise(grown)
         return F.struct(
             F.when(match | gap, a.pos + x.n).otherwise(a.pos).alias("pos"),
             F.when(match, F.coalesce(a.open, a.pos)).when(gap, F.lit(None).cast("bigint")).otherwise(a.open).alias("open"),
-            F.when(match, a.run + x.n).when(gap, F.lit(0).cast("bigint")).otherwise(a.run).alias("run"),
+            F.when(match, a.run + x.n).otherwise(F.lit(0).cast("bigint")).alias("run"),
+            ((x.op == "N") | (match & a.touches)).alias("touches"),
             closed.alias("blocks"), spliced.alias("junctions"),
             F.when(x.op == "D", F.array_append(a.deletions, F.struct(a.pos.alias("s"), (a.pos + x.n).alias("e")))).otherwise(a.deletions).alias("deletions"),
             F.when(x.op.isin("S", "H"), a.clipped + x.n).otherwise(a.clipped).alias("clipped"),

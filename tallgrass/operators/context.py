@@ -63,14 +63,31 @@ def admit_weights(neighbors: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def mapping_audit(queries: DataFrame, weights: DataFrame, k: int, most: float) -> DataFrame:
-    """Every query with its neighbours, effective size, evenness, distances and ordered reasons against it."""
+    """Every query with its neighbours, effective size, evenness, coverage of k, distances and ordered reasons against it.
+
+    A query is valid without reasons: none or more than k neighbours, one of them twice, weights that are negative, not
+    finite or do not sum to 1, any distance beyond `most`, and, where weights has the columns query_qc, neighbor_qc and
+    paired (booleans) and consistency (text), a row that fails one of them or rows that differ in consistency.
+    """
+    has = lambda c: c in weights.columns
+    bad = F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0) | (F.col("weight") == float("inf"))
+    flags = {c: F.max(~F.coalesce(c, F.lit(False))) if has(c) else F.lit(False) for c in ("query_qc", "neighbor_qc", "paired")}
+    total = F.sum("weight")
     by = weights.groupBy("query_id").agg(
-        F.count("*").alias("neighbors"), F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("ess"), F.max("weight").alias("max_weight"),
-        F.min("distance").alias("nearest"), F.sum(F.col("weight") * F.col("distance")).alias("weighted_distance"),
+        F.count("*").alias("neighbors"), F.try_divide(total * total, F.sum(F.col("weight") * F.col("weight"))).alias("ess"), F.try_divide(F.max("weight"), total).alias("max_weight"),
+        F.min("distance").alias("nearest"), F.try_divide(F.sum(F.col("weight") * F.col("distance")), total).alias("weighted_distance"),
+        (F.count_distinct("neighbor_id") < F.count("*")).alias("_twice"), (F.max(bad) | (F.abs(total - 1) > 1e-8)).alias("_weights"), F.max(F.col("distance").isNull() | F.isnan("distance") | (F.col("distance") > most)).alias("_far"),
+        *(c.alias(f"_{k}") for k, c in flags.items()),
+        (F.when(F.min("consistency").eqNullSafe(F.max("consistency")), F.min("consistency")).otherwise("inconsistent") if has("consistency") else F.lit("pass")).alias("consistency"),
     )
     d = queries.select("query_id").join(by, "query_id", "left").fillna({"neighbors": 0})
-    why = reasons((F.col("neighbors") == 0, "no_neighbors"), ((F.col("neighbors") > 0) & (F.col("neighbors") < k), "few_neighbors"), (F.col("nearest") > most, "far"))
-    return d.withColumns({"evenness": F.col("ess") / F.col("neighbors"), "reasons": F.array_join(why, ",")}).withColumn("valid", ~F.col("reasons").contains("no_neighbors") & ~F.col("reasons").contains("far"))
+    alone = (F.col("neighbors") == 1) & (F.col("consistency") == "not_estimable")
+    why = reasons(
+        (F.col("neighbors") == 0, "no_neighbors"), (F.col("neighbors") > k, "too_many_neighbors"), (F.col("_twice"), "duplicate_neighbor"), (F.col("_weights"), "bad_weights"), (F.col("_far"), "far"),
+        (F.col("_query_qc"), "query_qc"), (F.col("_neighbor_qc"), "neighbor_qc"), (F.col("_paired"), "not_paired"), ((F.col("consistency") != "pass") & ~alone, "inconsistent"),
+    )
+    d = d.withColumns({"evenness": F.col("ess") / F.col("neighbors"), "coverage": F.col("neighbors") / k, "reasons": F.array_join(why, ",")})
+    return d.drop("_twice", "_weights", "_far", *(f"_{k}" for k in flags)).withColumn("valid", F.col("reasons") == "")
 
 
 def map_access(weights: DataFrame, normalised: DataFrame) -> DataFrame:
@@ -123,8 +140,14 @@ def apply_gates(raw: DataFrame, manifest: DataFrame, floor: float = 1e-8) -> Dat
 
 
 def gate_collinearity(raw: DataFrame, keys: DataFrame, mass: DataFrame, near: float = 0.95) -> DataFrame:
-    """Weighted Pearson correlation of every pair of a gene's gates on cells that have both."""
-    d = raw.where("observed").join(keys.select("gate_key_id", "gene_id"), "gate_key_id").join(mass.where("mass > 0"), "cell_id")
+    """Weighted Pearson correlation of every pair of a gene's gates on cells that have both.
+
+    Values are taken from their gate's mean first, so that sums of squares keep their digits at large means.
+    """
+    seen = raw.where("observed")
+    mean = seen.groupBy("gate_key_id").agg(F.avg("raw").alias("_mean"))
+    d = seen.join(mean, "gate_key_id").withColumn("raw", F.col("raw") - F.col("_mean")).drop("_mean")
+    d = d.join(keys.select("gate_key_id", "gene_id"), "gate_key_id").join(mass.where("mass > 0"), "cell_id")
     b = d.select("gene_id", "cell_id", F.col("gate_key_id").alias("gate_b"), F.col("raw").alias("y"))
     p = d.select("gene_id", "cell_id", F.col("gate_key_id").alias("gate_a"), F.col("raw").alias("x"), F.col("mass").cast("double").alias("w")).join(b, ["gene_id", "cell_id"]).where("gate_a < gate_b")
     s = lambda c: F.sum(F.col("w") * c)

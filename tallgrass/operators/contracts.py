@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import reasons
+from ..sources.shared import cut
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,13 +98,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     Rows are range-partitioned and written with their partition's number, since ranges may be drawn anew in another run
     of the plan; each partition's offset is a sum over partition counts (one number each).
     """
-    from ..streaming.components import cut as written
-
-    cut = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    dealt = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     offset = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_o"))
-    return cut.withColumn("_k", own).join(F.broadcast(offset), "_p").withColumn(name, (F.col("_o") + F.col("_k") - 1).cast("long")).drop("_p", "_k", "_o")
+    return dealt.withColumn("_k", own).join(F.broadcast(offset), "_p").withColumn(name, (F.col("_o") + F.col("_k") - 1).cast("long")).drop("_p", "_k", "_o")
 
 
 def provenance(matrix: DataFrame, compat: DataFrame, overlap: DataFrame) -> DataFrame:

@@ -121,13 +121,19 @@ def base_fractions(sequence: Column) -> dict[str, Column]:
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "W": "AT", "N": "ACGT"}
 
 
+def one_of(letters: str):
+    return lambda x: x.isin(*letters).cast("int")
+
+
 def consensus_fraction(sequence: Column, consensus: str) -> Column:
     """The greatest share of positions at which a window of the sequence agrees with a consensus (I13); 0 if it is too short."""
-    k = len(consensus)
-    hit = lambda at: sum((F.instr(F.lit(IUPAC[c]), F.substring(sequence, at + i, F.lit(1))).cast("boolean").cast("int") for i, c in enumerate(consensus)), F.lit(0))
-    n = F.length(sequence)
-    every = F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: hit(at) / k)
-    return F.when(n >= k, F.array_max(every)).otherwise(F.lit(0.0))
+    k, n = len(consensus), F.length(sequence)
+    # agreement by place for each letter of the consensus, shifted and added up: linear in the sequence
+    agrees = [F.transform(F.split(sequence, ""), one_of(IUPAC[c])) for c in consensus]
+    total = F.slice(agrees[0], F.lit(1), n - k + 1)
+    for i, a in enumerate(agrees[1:], 2):
+        total = F.zip_with(total, F.slice(a, F.lit(i), n - k + 1), lambda x, y: x + y)
+    return F.when(n >= k, F.array_max(total) / k).otherwise(F.lit(0.0))
 
 
 def event_kind(routes: DataFrame) -> DataFrame:

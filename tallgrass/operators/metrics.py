@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import average_rank, hash32, top_one
+from ..functions.core import hash32
 
 UNIT = ["cell_id", "gene_id"]
 
@@ -19,12 +19,17 @@ def log_softmax(logits: DataFrame) -> DataFrame:
 
 
 def compatible_nll(logits: DataFrame, ec: DataFrame) -> DataFrame:
-    """- log of the probability of each informative row's path set (M2). ec: cell_id, gene_id, paths ARRAY, mass, n_legal."""
-    rows = ec.where((F.col("mass") > 0) & (F.size("paths") > 0) & (F.size("paths") < F.col("n_legal")))
-    one = rows.select(*UNIT, "paths", "mass", F.explode("paths").alias("path_id")).join(log_softmax(logits), [*UNIT, "path_id"])
+    """- log of the probability of each informative row's path set (M2). ec: cell_id, gene_id, paths ARRAY, mass, n_legal.
+
+    Equal rows stay apart: each set is worked out once and comes back as often as it has rows.
+    """
+    rows = ec.where((F.col("mass") > 0) & (F.size("paths") > 0) & (F.size("paths") < F.col("n_legal"))).select(*UNIT, "paths", "mass")
+    sets = rows.select(*UNIT, "paths").distinct()
+    one = sets.select(*UNIT, "paths", F.explode(F.array_distinct("paths")).alias("path_id")).join(log_softmax(logits), [*UNIT, "path_id"])
     w = Window.partitionBy(*UNIT, "paths")
     one = one.withColumn("_top", F.max("logp").over(w))
-    return one.groupBy(*UNIT, "paths", "mass").agg((-(F.first("_top") + F.log(F.sum(F.exp(F.col("logp") - F.col("_top")))))).alias("nll"))
+    nll = one.groupBy(*UNIT, "paths").agg((-(F.first("_top") + F.log(F.sum(F.exp(F.col("logp") - F.col("_top")))))).alias("nll"))
+    return rows.join(nll, [*UNIT, "paths"])
 
 
 def nll_by_gene(rows: DataFrame) -> DataFrame:
@@ -42,10 +47,11 @@ def nll_summary(by_gene: DataFrame, weights: DataFrame) -> DataFrame:
 
 def gene_weights(genes: DataFrame, tau: float, alpha: float) -> DataFrame:
     """mass / (mass + tau) * (1 + alpha * percentile of dtu), average ranks over ties (M4). genes: gene_id, mass, dtu."""
-    n = F.count("*").over(Window.partitionBy("_all"))
-    d = genes.withColumn("_all", F.lit(1))  # one number per gene: small by nature
-    pct = F.when(n > 1, (average_rank(F.col("dtu"), ["_all"]) - 1) / (n - 1)).otherwise(0.0)
-    return d.withColumn("pct", pct).withColumn("weight", F.col("mass") / (F.col("mass") + tau) * (1 + alpha * F.col("pct"))).drop("_all")
+    from .audit import ranked_values
+
+    ranks = ranked_values(genes, [], "dtu").select("dtu", (F.col("to") - (F.col("n") + 1) / 2).alias("_before"), F.col("total").alias("_n"))
+    pct = F.when(F.col("_n") > 1, F.col("_before") / (F.col("_n") - 1)).otherwise(0.0)
+    return genes.join(ranks, "dtu").withColumn("pct", pct).withColumn("weight", F.col("mass") / (F.col("mass") + tau) * (1 + alpha * F.col("pct"))).drop("_before", "_n")
 
 
 def sampled_cells(cell_genes: DataFrame, cap: int, seed: int, epoch: int) -> DataFrame:
@@ -131,18 +137,21 @@ def compatible_set_metrics(logits: DataFrame, ec: DataFrame, k: int = 5) -> Data
     w = Window.partitionBy(*UNIT)
     r = log_softmax(logits).withColumn("rank", F.row_number().over(w.orderBy(F.col("logit").desc(), "path_id"))).withColumn("y", F.count("*").over(w))
     rows = ec.select(*UNIT, "paths_key", "paths", "mass", F.size("paths").alias("c"))
-    d = rows.join(r.select(*UNIT, "path_id", "rank", "p", "y"), UNIT).withColumn("inside", F.array_contains("paths", F.col("path_id")))
-    out = d.groupBy(*UNIT, "paths_key", "mass", "c").agg(
+    sets = rows.drop("mass").distinct()  # equal rows stay apart: each set is worked out once
+    d = sets.join(r.select(*UNIT, "path_id", "rank", "p", "y"), UNIT).withColumn("inside", F.array_contains("paths", F.col("path_id")))
+    out = d.groupBy(*UNIT, "paths_key", "c").agg(
         F.max((F.col("inside") & (F.col("rank") == 1)).cast("int")).alias("top1_in"), F.max((F.col("inside") & (F.col("rank") <= k)).cast("int")).alias("topk_in"),
         F.sum(F.when(F.col("inside"), F.col("p")).otherwise(0.0)).alias("posterior"), F.first("y").alias("y"),
     )
+    out = rows.select(*UNIT, "paths_key", "mass").join(out, [*UNIT, "paths_key"])
     return out.withColumns({"chance_top1": F.col("c") / F.col("y"), "chance_topk": 1 - misses(F.col("c"), F.col("y"), k)})
 
 
 def score_residuals(logits: DataFrame, ec: DataFrame, groups: DataFrame) -> DataFrame:
     """Mass-weighted mean of P(C and G) / P(C) - P(G) by cell, gene and path group (M14). groups: gene_id, path_id, group_id."""
     p = log_softmax(logits).select(*UNIT, "path_id", "p").join(groups, ["gene_id", "path_id"])
-    d = ec.select(*UNIT, "paths_key", "paths", "mass").join(p, UNIT).withColumn("inside", F.array_contains("paths", F.col("path_id")))
+    sets = ec.groupBy(*UNIT, "paths_key", "paths").agg(F.sum("mass").alias("mass"))  # equal rows add up in the weighted mean
+    d = sets.join(p, UNIT).withColumn("inside", F.array_contains("paths", F.col("path_id")))
     by = d.groupBy(*UNIT, "paths_key", "mass", "group_id").agg(F.sum(F.when(F.col("inside"), F.col("p")).otherwise(0.0)).alias("cg"), F.sum("p").alias("g"))
     by = by.withColumn("c", F.sum("cg").over(Window.partitionBy(*UNIT, "paths_key", "mass")))
     return by.groupBy(*UNIT, "group_id").agg((F.sum(F.col("mass") * (F.col("cg") / F.col("c") - F.col("g"))) / F.sum("mass")).alias("residual"))
@@ -183,10 +192,6 @@ def group_probability(logits: DataFrame, groups: DataFrame) -> DataFrame:
     return d.groupBy(*UNIT, "group_id").agg(F.sum("p").alias("p"), F.log(F.sum("p")).alias("logp"))
 
 
-def best_setting(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return top_one(df, keys, *order)
-
-
 def matrix_identity(rows: DataFrame, crosswalk: DataFrame, paths: DataFrame) -> DataFrame:
     """Violations of the identity of matrix rows, transcripts and paths (M12), with how many.
 

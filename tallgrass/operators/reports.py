@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import average_rank, hash32
+from .audit import exact_quantiles
 from .audit import multi_strata
 
 
@@ -114,23 +115,27 @@ def log2_bin(n: Column) -> Column:
     return F.when(n > 0, F.floor(F.log2(n)).cast("int"))
 
 
-def support_sensitivity(df: DataFrame, keys: dict[str, list], metrics: list[str]) -> DataFrame:
-    """Macro and weighted means for every cell of a fixed grid; empty cells stay as not_estimable (R13). df: keys, weight, metrics."""
-    spark = df.sparkSession
-    grid = None
+def support_sensitivity(df: DataFrame, keys: dict[str, list | DataFrame], metrics: list[str]) -> DataFrame:
+    """Macro and weighted means for every cell of a grid; empty cells stay as not_estimable (R13). df: keys, weight, metrics.
+
+    Levels of a key are a list, or (for one key) a table of one column.
+    """
+    grid = next((x.toDF(k) for k, x in keys.items() if isinstance(x, DataFrame)), None)
+    grid = df.sparkSession.range(1).select() if grid is None else grid
     for k, levels in keys.items():
-        one = spark.createDataFrame([(x,) for x in levels], f"{k} string")
-        grid = one if grid is None else grid.crossJoin(F.broadcast(one))
+        if not isinstance(levels, DataFrame):
+            grid = grid.withColumn(k, F.explode(F.array(*map(F.lit, levels))))
     long = df.unpivot([*keys, "weight"], metrics, "metric", "value")
     own = long.where("value IS NOT NULL").groupBy(*keys, "metric").agg(F.count("*").alias("rows"), F.avg("value").alias("macro"), F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("weighted"))
-    every = grid.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in metrics], "metric string")))
+    every = grid.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
     d = every.join(own, [*keys, "metric"], "left").fillna({"rows": 0})
     return d.withColumn("status", F.when(F.col("rows") > 0, "estimable").otherwise("not_estimable"))
 
 
 def quantile_bins(df: DataFrame, x: str, k: int) -> DataFrame:
     """Bins at exact linear quantiles, the first closed on the left; equal edges merge."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*(F.lit(i / k) for i in range(k + 1))))).alias("edges"))
+    named = {f"q{i}": i / k for i in range(k + 1)}
+    edges = exact_quantiles(df, [], x, named).select(F.array_distinct(F.array(*(F.col(f"{c}.linear") for c in named))).alias("edges"))
     d = df.crossJoin(F.broadcast(edges))
     return d.withColumn("bin", F.greatest(F.size(F.filter("edges", lambda e: e < F.col(x))), F.lit(1)) - 1).drop("edges")
 
@@ -138,7 +143,7 @@ def quantile_bins(df: DataFrame, x: str, k: int) -> DataFrame:
 def stratified_gap(genes: DataFrame, top: float = 0.1) -> DataFrame:
     """Gap b - a over fixed, overlapping strata of the score, and the share of mass (R15). genes: gene_id, dtu, a, b, mass."""
     x = F.col("dtu")
-    cut = genes.agg(F.percentile("dtu", F.lit(1 - top)).alias("cut"), F.sum("mass").alias("all_mass"))
+    cut = exact_quantiles(genes, [], "dtu", {"q": 1 - top}).select(F.col("q.linear").alias("cut")).crossJoin(genes.agg(F.sum("mass").alias("all_mass")))
     named = [(x == 0, "=0"), ((x > 0) & (x <= 0.1), "(0,.1]"), ((x > 0.1) & (x <= 0.35), "(.1,.35]"), ((x > 0.35) & (x <= 0.65), "(.35,.65]"), (x > 0.65, ">.65"), (x >= F.col("cut"), "top")]
     d = genes.crossJoin(F.broadcast(cut)).withColumn("stratum", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in named)))))
     gap = F.col("b") - F.col("a")

@@ -12,17 +12,44 @@ from .interval_plans import exon_paths
 
 BINDINGS |= {
     "reads": """SELECT o_custkey AS gene_id, l_orderkey AS read_id, l_linenumber AS k, l_linenumber * 100 + l_partkey % 7 AS start, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity AS BIGINT) % 17 + 1 AS b, CAST(l_quantity AS BIGINT) % 13 + 1 AS c,
-        l_returnflag AS flag, l_suppkey % 60 AS mapq FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0""",
+        l_returnflag AS flag, l_suppkey % 60 AS mapq FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "context": """SELECT event_id, event_id AS route_id, user_id % 12 AS gene_id, CASE WHEN event_type <> 'view' THEN 'f' || user_id % 5 END AS factor, event_type AS kind, event_id % 3 AS zone, value FROM {events}""",
 }
 
 
 def cigar():
-    return F.format_string("3S%dM%dN%dM%dD%dM", "a", "b", "c", F.lit(2), "b")
+    """Three shapes: plain, with insertions beside matches, and with an insertion right behind a junction."""
+    plain = F.format_string("3S%dM%dN%dM2D%dM", "a", "b", "c", "b")
+    inserted = F.format_string("3S%dM2I%dM%dN%d=1I%dM2D%dM4H", "a", "c", "b", "b", "c", "b")
+    behind = F.format_string("2H%dM%dN1I%dX%dN%dM1P%d=", "a", "b", "c", "b", "b", "c")
+    return F.when(F.col("k") % 3 == 0, plain).when(F.col("k") % 3 == 1, inserted).otherwise(behind)
 
 
-@query("c1_expand_cigar", "reads", """SELECT read_id, k, start, a, '[' || start || ',' || (start + a) || '][' || (start + a + b) || ',' || (start + a + b + c) || '][' || (start + a + b + c + 2) || ',' || (start + a + b + c + 2 + b) || ']' AS blocks,
-'(' || (start + a) || ',' || (start + a + b) || '|' || a || ',' || c || ')' AS junctions, '[' || (start + a + b + c) || ',' || (start + a + b + c + 2) || ']' AS deletions, CAST(3 AS BIGINT) AS clipped FROM {reads}""")
+def said(*parts):
+    """SQL of numbers and quoted signs, put end to end."""
+    return " || ".join(p if p.startswith("'") else f"({p})" for p in parts)
+
+
+def shapes(plain, inserted, behind):
+    return f"CASE WHEN k % 3 = 0 THEN {plain} WHEN k % 3 = 1 THEN {inserted} ELSE {behind} END"
+
+
+def boxes(*ends):
+    return said(*(x for s, e in ends for x in ("'['", s, "','", e, "']'")))
+
+
+JUNCTION = ("'('", "{s}", "','", "{s} + b", "'|'", "{l}", "','", "{r}", "')'")
+joint = lambda s, l, r: said(*(x.format(s=s, l=l, r=r) for x in JUNCTION))  # noqa: E731, E741
+BLOCKS = shapes(
+    boxes(("start", "start + a"), ("start + a + b", "start + a + b + c"), ("start + a + b + c + 2", "start + a + b + c + 2 + b")),
+    boxes(("start", "start + a + c"), ("start + a + c + b", "start + a + 2 * c + 2 * b"), ("start + a + 2 * c + 2 * b + 2", "start + a + 2 * c + 3 * b + 2")),
+    boxes(("start", "start + a"), ("start + a + b", "start + a + b + c"), ("start + a + 2 * b + c", "start + a + 3 * b + 2 * c")),
+)
+JUNCTIONS = shapes(joint("start + a", "a", "c"), joint("start + a + c", "c", "b"), joint("start + a", "a", "0") + " || " + joint("start + a + b + c", "c", "b"))
+DELETIONS = shapes(boxes(("start + a + b + c", "start + a + b + c + 2")), boxes(("start + a + 2 * c + 2 * b", "start + a + 2 * c + 2 * b + 2")), "''")
+
+
+@query("c1_expand_cigar", "reads", f"""SELECT read_id, k, start, a, {BLOCKS} AS blocks, {JUNCTIONS} AS junctions, {DELETIONS} AS deletions, CAST({shapes('3', '7', '2')} AS BIGINT) AS clipped FROM {{reads}}""")
 def c1(reads):
     d = reads.withColumn("x", cp.expand_cigar(cigar(), F.col("start")))
     iv = lambda c: F.array_join(F.transform(c, lambda v: F.concat(F.lit("["), v.s, F.lit(","), v.e, F.lit("]"))), "")
@@ -42,7 +69,7 @@ def c2(customer):
     return d.select("id", "r.barcode", "r.umi", "r.strand", "r.reason")
 
 
-@query("c3_qc_reasons", "reads", """SELECT read_id, k, start, a, concat_ws(',', CASE WHEN b > 9 AND a % 2 = 0 THEN NULL END, CASE WHEN mapq < 10 THEN 'mapq_below_minimum' END, CASE WHEN flag = 'R' THEN 'not_primary' END, CASE WHEN least(a, c) < 8 THEN 'short_anchor' END, CASE WHEN a % 2 = 1 THEN 'strand_conflict' END) AS reasons FROM {reads}""")
+@query("c3_qc_reasons", "reads", f"""SELECT read_id, k, start, a, concat_ws(',', CASE WHEN b > 9 AND a % 2 = 0 THEN NULL END, CASE WHEN mapq < 10 THEN 'mapq_below_minimum' END, CASE WHEN flag = 'R' THEN 'not_primary' END, CASE WHEN {shapes('least(a, c)', 'least(b, c)', '0')} < 8 THEN 'short_anchor' END, CASE WHEN a % 2 = 1 THEN 'strand_conflict' END) AS reasons FROM {{reads}}""")
 def c3(reads):
     x = cp.expand_cigar(cigar(), F.col("start"))
     d = reads.withColumn("x", x)

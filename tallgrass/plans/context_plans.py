@@ -62,12 +62,12 @@ def x5(embeddings):
     return weights(embeddings).select("query_id", "neighbor_id", F.round("weight", 5).alias("weight"))
 
 
-@query("x6_mapping_audit", "embeddings", f"""WITH {KNN}, b AS (SELECT query_id, count(*) AS k, 1 / sum(weight * weight) AS ess, max(weight) AS mw, min(distance) AS nearest FROM ww GROUP BY 1)
-SELECT q.query_id, coalesce(k, 0) AS neighbors, round(ess, 4) AS ess, round(ess / k, 4) AS evenness, round(mw, 4) AS max_weight, concat_ws(',', CASE WHEN k IS NULL THEN 'no_neighbors' END, CASE WHEN k < 5 THEN 'few_neighbors' END, CASE WHEN nearest > 9 THEN 'far' END) AS reasons FROM q LEFT JOIN b ON b.query_id = q.query_id""")
+@query("x6_mapping_audit", "embeddings", f"""WITH {KNN}, b AS (SELECT query_id, count(*) AS k, 1 / sum(weight * weight) AS ess, max(weight) AS mw, max(distance) AS farthest FROM ww GROUP BY 1)
+SELECT q.query_id, coalesce(k, 0) AS neighbors, round(ess, 4) AS ess, round(ess / k, 4) AS evenness, round(mw, 4) AS max_weight, concat_ws(',', CASE WHEN k IS NULL THEN 'no_neighbors' END, CASE WHEN k > 4 THEN 'too_many_neighbors' END, CASE WHEN farthest > 9 THEN 'far' END) AS reasons, coalesce(k, 0) / 4.0 AS coverage FROM q LEFT JOIN b ON b.query_id = q.query_id""")
 def x6(embeddings):
     q = embeddings.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"))
-    out = cx.mapping_audit(q, weights(embeddings), 5, 9.0)
-    return out.select("query_id", "neighbors", *(F.round(c, 4).alias(c) for c in ("ess", "evenness", "max_weight")), "reasons")
+    out = cx.mapping_audit(q, weights(embeddings), 4, 9.0)
+    return out.select("query_id", "neighbors", *(F.round(c, 4).alias(c) for c in ("ess", "evenness", "max_weight")), "reasons", "coverage")
 
 
 @query("x7_map_access", "embeddings", f"WITH {KNN} SELECT query_id, neighbor_id % 3 AS peak_id, round(sum(weight * ln(1 + neighbor_id)), 4) AS access FROM ww GROUP BY 1, 2")

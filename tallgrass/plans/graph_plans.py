@@ -12,14 +12,12 @@ from .interval_plans import exon_paths
 BINDINGS |= {
     "steps": """SELECT conv_id % 40 AS gene_id, conv_id AS path_id, turn AS edge_order, role AS src, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'end') AS dst,
         role || '>' || coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'end') || turn AS edge_id FROM {conversations}""",
-    "patterns": "SELECT gene_id, paths_key, CAST(sum(mass) AS BIGINT) AS mass, count(*) AS row_count FROM {ec_fates} WHERE split = 'train' AND fate = 'informative' AND cell_id % 50 = 0 GROUP BY 1, 2",
-    # for queries without SQL: every training cell, where `patterns` has those of one in fifty
-    "train_patterns": "SELECT gene_id, paths_key, CAST(sum(mass) AS BIGINT) AS mass, count(*) AS row_count FROM {ec_fates} WHERE split = 'train' AND fate = 'informative' GROUP BY 1, 2",
+    "patterns": "SELECT gene_id, paths_key, CAST(sum(mass) AS BIGINT) AS mass, count(*) AS row_count FROM {ec_fates} WHERE split = 'train' AND fate = 'informative' GROUP BY 1, 2",
     "alternatives": "SELECT gene_id, library_id AS choice_id, donor_id || qc_pass AS alternative_id, CAST(sum(n) AS BIGINT) - 3000 AS mass FROM {molecules} GROUP BY 1, 2, 3",
 }
 
 
-@query("g2_compile_graph", "all_exons", None)
+@query("g2_compile_graph", "exons", None)
 def g2(exons):
     paths = exon_paths(exons).withColumn("strand", F.when(F.col("gene_id") % 20 == 0, "-").otherwise("+"))
     _, edges, steps = gr.compile_graph(paths)
@@ -80,17 +78,17 @@ def f2(patterns, paths):
     return idf.exclusive_support(keyed(patterns), idf.observational_groups(keyed(patterns), paths))
 
 
-@query("f3_augmented_rank", "train_patterns paths")
+@query("f3_augmented_rank", "patterns paths")
 def f3(patterns, paths):
     return idf.augmented_rank(keyed(patterns), idf.observational_groups(keyed(patterns), paths))
 
 
-@query("f4_identifiability_index", "train_patterns paths")
+@query("f4_identifiability_index", "patterns paths")
 def f4(patterns, paths):
     return idf.identifiability_index(keyed(patterns), paths)
 
 
-@query("f5_classify_heldout", "ec_fates axis train_patterns paths")
+@query("f5_classify_heldout", "ec_fates axis patterns paths")
 def f5(ec, axis, patterns, paths):
     held = ec.where("split <> 'train'").join(axis.select("gene_id", "n_legal"), "gene_id")
     return idf.classify_heldout(keyed(held), idf.observational_groups(keyed(patterns), paths))
@@ -119,15 +117,14 @@ def f9(alternatives):
     return idf.contrasts(alternatives)
 
 
-SUPPORT = f"""{PAIRS}, k AS (SELECT DISTINCT cell_id, gene_id FROM {{molecules}} WHERE cell_id % 25 = 0), m AS (SELECT cell_id, gene_id, donor_id || qc_pass AS alternative_id, CAST(sum(n) AS BIGINT) AS mass FROM {{molecules}} WHERE cell_id % 25 = 0 GROUP BY 1, 2, 3),
+SUPPORT = f"""{PAIRS}, k AS (SELECT DISTINCT cell_id, gene_id FROM {{molecules}}), m AS (SELECT cell_id, gene_id, donor_id || qc_pass AS alternative_id, CAST(sum(n) AS BIGINT) AS mass FROM {{molecules}} GROUP BY 1, 2, 3),
 h AS (SELECT k.cell_id, k.gene_id, choice_id, a, b, coalesce(x.mass, 0) AS mass_a, coalesce(y.mass, 0) AS mass_b FROM k JOIN c ON c.gene_id = k.gene_id LEFT JOIN m x ON x.cell_id = k.cell_id AND x.gene_id = k.gene_id AND x.alternative_id = a LEFT JOIN m y ON y.cell_id = k.cell_id AND y.gene_id = k.gene_id AND y.alternative_id = b),
 t AS (SELECT *, CASE WHEN mass_a > 0 AND mass_b > 0 THEN 'both' WHEN mass_a > 0 OR mass_b > 0 THEN 'one' ELSE 'none' END AS tier FROM h)"""
 
 
 def contrast_rows(alternatives, molecules):
-    m = molecules.where("cell_id % 25 = 0")
-    mass = m.groupBy("cell_id", "gene_id", F.concat("donor_id", F.col("qc_pass").cast("string")).alias("alternative_id")).agg(F.sum("n").alias("mass"))
-    return idf.heldout_contrast_support(m.select("cell_id", "gene_id").distinct(), idf.contrasts(alternatives), mass)
+    mass = molecules.groupBy("cell_id", "gene_id", F.concat("donor_id", F.col("qc_pass").cast("string")).alias("alternative_id")).agg(F.sum("n").alias("mass"))
+    return idf.heldout_contrast_support(molecules.select("cell_id", "gene_id").distinct(), idf.contrasts(alternatives), mass)
 
 
 @query("f10_contrast_support", "alternatives molecules", f"WITH {SUPPORT} SELECT cell_id, gene_id, choice_id, a, b, mass_a, mass_b, tier FROM t")

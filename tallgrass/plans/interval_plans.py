@@ -10,11 +10,8 @@ from .bindings import BINDINGS, query
 HOUR = 3_600_000_000
 BINDINGS |= {
     "regions": f"""SELECT event_id AS anchor_id, user_id, s - {2 * HOUR} AS rs, s + {2 * HOUR} AS re, CASE WHEN event_type = 'view' THEN 'site' ELSE 'edge' END AS kind,
-        CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM {{intervals}} WHERE event_id % 3 = 0""",
+        CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM {{intervals}}""",
     "exons": """SELECT o_custkey AS gene_id, o_orderkey AS path_id, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS s, l_linenumber * 100 + CAST(l_quantity AS BIGINT) + 20 + l_partkey % 60 AS e
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0""",
-    # for queries without SQL: the exons of every gene, where `exons` has those of one in ten
-    "all_exons": """SELECT o_custkey AS gene_id, o_orderkey AS path_id, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS s, l_linenumber * 100 + CAST(l_quantity AS BIGINT) + 20 + l_partkey % 60 AS e
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
 }
 
@@ -116,12 +113,12 @@ def i12(x):
     return iv.local_rank(x.withColumnsRenamed({"event_id": "hit_id", "value": "score"}), ["user_id", "event_type"]).select(F.col("hit_id").alias("event_id"), "local_rank")
 
 
-@query("i13_sequence_scores", "documents", """WITH s AS (SELECT doc_id, substr(upper(regexp_replace(text, '[^acgtACGT]', 'N', 'g')), 1, 200) AS q FROM documents),
-w AS (SELECT doc_id, max(((substr(q, i, 1) = 'T')::INT + (substr(q, i + 1, 1) IN ('A', 'G'))::INT + (substr(q, i + 2, 1) IN ('A', 'C', 'G', 'T'))::INT) / 3.0) AS tra FROM s, range(1, 199) r(i) WHERE i + 2 <= length(q) GROUP BY 1)
+@query("i13_sequence_scores", "documents", """WITH s AS (SELECT doc_id, upper(regexp_replace(text, '[^acgtACGT]', 'N', 'g')) AS q FROM documents),
+w AS (SELECT doc_id, CASE WHEN length(q) < 3 THEN 0 WHEN regexp_matches(q, 'T[AG][ACGT]') THEN 3 WHEN regexp_matches(q, 'T[AG].|T.[ACGT]|.[AG][ACGT]') THEN 2 WHEN regexp_matches(q, 'T..|.[AG].|..[ACGT]') THEN 1 ELSE 0 END / 3.0 AS tra FROM s)
 SELECT s.doc_id, round((length(q) - length(replace(q, 'A', ''))) / CAST(nullif(length(replace(q, 'N', '')), 0) AS DOUBLE), 6) AS frac_a, round((length(q) - length(replace(q, 'G', ''))) / CAST(nullif(length(replace(q, 'N', '')), 0) AS DOUBLE), 6) AS frac_g, round(coalesce(tra, 0), 6) AS best
 FROM s LEFT JOIN w ON w.doc_id = s.doc_id""")
 def i13(documents):
-    d = documents.select("doc_id", F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "N")), 1, 200).alias("q"))
+    d = documents.select("doc_id", F.upper(F.regexp_replace("text", "[^acgtACGT]", "N")).alias("q"))
     f = iv.base_fractions(F.col("q"))
     return d.select("doc_id", F.round(f["A"], 6).alias("frac_a"), F.round(f["G"], 6).alias("frac_g"), F.round(iv.consensus_fraction(F.col("q"), "TRN"), 6).alias("best"))
 

@@ -11,9 +11,12 @@ BINDINGS |= {
     "groups": "SELECT gene_id, path_id, substr(path_id, length(path_id), 1) AS group_id FROM {paths}",
     "softmax": """SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY cell_id, gene_id) AS p, logit - ln(sum(exp(logit)) OVER (PARTITION BY cell_id, gene_id)) AS logp,
         count(*) OVER (PARTITION BY cell_id, gene_id) AS y FROM {logits}""",
-    "ec_small": "SELECT e.*, n_legal FROM {ec} e JOIN {axis} a ON a.gene_id = e.gene_id WHERE paths_key <> axis_key AND cell_id % 3 = 0",
-    "nll_rows": """SELECT e.cell_id, e.gene_id, paths_key, mass, -ln(sum(s.p)) AS nll FROM {ec_small} e JOIN {softmax} s ON s.cell_id = e.cell_id AND s.gene_id = e.gene_id
-        WHERE contains(';' || paths_key || ';', ';' || path_id || ';') GROUP BY 1, 2, 3, 4""",
+    # by library, so that a cell-gene has several rows, equal ones too
+    "ec_library": "SELECT cell_id, gene_id, library_id, PATHSET(path_id) AS paths_key, count(DISTINCT umi) AS mass FROM {molecules} WHERE qc_pass GROUP BY 1, 2, 3",
+    "ec_partial": "SELECT cell_id, e.gene_id, paths_key, mass, n_legal FROM {ec_library} e JOIN {axis} a ON a.gene_id = e.gene_id WHERE paths_key <> axis_key",
+    "set_mass": """SELECT d.cell_id, d.gene_id, paths_key, sum(s.p) AS p FROM (SELECT DISTINCT cell_id, gene_id, paths_key FROM {ec_partial}) d JOIN {softmax} s ON s.cell_id = d.cell_id AND s.gene_id = d.gene_id
+        WHERE contains(';' || paths_key || ';', ';' || path_id || ';') GROUP BY 1, 2, 3""",
+    "nll_rows": "SELECT e.cell_id, e.gene_id, e.paths_key, mass, -ln(p) AS nll FROM {ec_partial} e JOIN {set_mass} s ON s.cell_id = e.cell_id AND s.gene_id = e.gene_id AND s.paths_key = e.paths_key",
 }
 
 
@@ -26,13 +29,13 @@ def m1(logits):
     return metrics.log_softmax(logits).select("cell_id", "gene_id", "path_id", F.round("logp", 6).alias("logp"))
 
 
-@query("m2_compatible_nll", "logits ec_small", "SELECT cell_id, gene_id, paths_key, mass, round(nll, 6) AS nll FROM {nll_rows}")
+@query("m2_compatible_nll", "logits ec_partial", "SELECT cell_id, gene_id, paths_key, mass, round(nll, 6) AS nll FROM {nll_rows}")
 def m2(logits, ec):
     out = metrics.compatible_nll(logits, sets(ec))
     return out.select("cell_id", "gene_id", F.array_join("paths", ";").alias("paths_key"), "mass", F.round("nll", 6).alias("nll"))
 
 
-@query("m3_nll_summary", "logits ec_small", """WITH g AS (SELECT gene_id, sum(nll * mass) AS s, sum(mass) AS m FROM {nll_rows} GROUP BY 1)
+@query("m3_nll_summary", "logits ec_partial", """WITH g AS (SELECT gene_id, sum(nll * mass) AS s, sum(mass) AS m FROM {nll_rows} GROUP BY 1)
 SELECT round(sum(s) / sum(m), 6) AS micro, round(avg(s / m), 6) AS macro, round(sum(length(gene_id) * s / m) / sum(length(gene_id)), 6) AS weighted_macro, count(*) AS genes FROM g""")
 def m3(logits, ec):
     by = metrics.nll_by_gene(metrics.compatible_nll(logits, sets(ec)))
@@ -94,17 +97,18 @@ def m10(logits, counts):
     return out.select("rows", *(F.round(c, 6).alias(c) for c in ("kl_macro", "kl_weighted", "unique_top1_macro", "unique_top1_weighted")), "kl_n", "unique_top1_n")
 
 
-@query("m11_compatible_sets", "logits ec_small", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY cell_id, gene_id ORDER BY logit DESC, path_id) AS rank FROM {softmax}),
-d AS (SELECT e.cell_id, e.gene_id, paths_key, len(string_split(paths_key, ';')) AS c, y, rank, p, contains(';' || paths_key || ';', ';' || path_id || ';') AS inside FROM {ec_small} e JOIN r ON r.cell_id = e.cell_id AND r.gene_id = e.gene_id)
-SELECT cell_id, gene_id, paths_key, max(CASE WHEN inside AND rank = 1 THEN 1 ELSE 0 END) AS top1_in, max(CASE WHEN inside AND rank <= 3 THEN 1 ELSE 0 END) AS topk_in, round(sum(CASE WHEN inside THEN p ELSE 0 END), 6) AS posterior,
-round(max(c) / CAST(max(y) AS DOUBLE), 6) AS chance_top1, CASE WHEN max(y) < 3 THEN 1.0 ELSE round(1 - greatest(max(y) - max(c), 0) * greatest(max(y) - max(c) - 1, 0) * greatest(max(y) - max(c) - 2, 0) / CAST(max(y) * (max(y) - 1) * (max(y) - 2) AS DOUBLE), 6) END AS chance_topk FROM d GROUP BY 1, 2, 3""")
+@query("m11_compatible_sets", "logits ec_partial", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY cell_id, gene_id ORDER BY logit DESC, path_id) AS rank FROM {softmax}),
+d AS (SELECT e.cell_id, e.gene_id, paths_key, len(string_split(paths_key, ';')) AS c, y, rank, p, contains(';' || paths_key || ';', ';' || path_id || ';') AS inside FROM (SELECT DISTINCT cell_id, gene_id, paths_key FROM {ec_partial}) e JOIN r ON r.cell_id = e.cell_id AND r.gene_id = e.gene_id),
+m AS (SELECT cell_id, gene_id, paths_key, max(CASE WHEN inside AND rank = 1 THEN 1 ELSE 0 END) AS top1_in, max(CASE WHEN inside AND rank <= 3 THEN 1 ELSE 0 END) AS topk_in, round(sum(CASE WHEN inside THEN p ELSE 0 END), 6) AS posterior,
+round(max(c) / CAST(max(y) AS DOUBLE), 6) AS chance_top1, CASE WHEN max(y) < 3 THEN 1.0 ELSE round(1 - greatest(max(y) - max(c), 0) * greatest(max(y) - max(c) - 1, 0) * greatest(max(y) - max(c) - 2, 0) / CAST(max(y) * (max(y) - 1) * (max(y) - 2) AS DOUBLE), 6) END AS chance_topk FROM d GROUP BY 1, 2, 3)
+SELECT m.* FROM m JOIN {ec_partial} e ON e.cell_id = m.cell_id AND e.gene_id = m.gene_id AND e.paths_key = m.paths_key""")
 def m11(logits, ec):
     out = metrics.compatible_set_metrics(logits, sets(ec), 3)
     return out.select("cell_id", "gene_id", "paths_key", "top1_in", "topk_in", *(F.round(c, 6).alias(c) for c in ("posterior", "chance_top1", "chance_topk")))
 
 
-@query("m14_score_residuals", "logits ec_small groups", """WITH d AS (SELECT e.cell_id, e.gene_id, paths_key, mass, group_id, sum(CASE WHEN contains(';' || paths_key || ';', ';' || s.path_id || ';') THEN p ELSE 0 END) AS cg, sum(p) AS g
-FROM {ec_small} e JOIN {softmax} s ON s.cell_id = e.cell_id AND s.gene_id = e.gene_id JOIN {groups} g ON g.path_id = s.path_id GROUP BY 1, 2, 3, 4, 5),
+@query("m14_score_residuals", "logits ec_partial groups", """WITH d AS (SELECT e.cell_id, e.gene_id, paths_key, mass, group_id, sum(CASE WHEN contains(';' || paths_key || ';', ';' || s.path_id || ';') THEN p ELSE 0 END) AS cg, sum(p) AS g
+FROM (SELECT cell_id, gene_id, paths_key, sum(mass) AS mass FROM {ec_partial} GROUP BY 1, 2, 3) e JOIN {softmax} s ON s.cell_id = e.cell_id AND s.gene_id = e.gene_id JOIN {groups} g ON g.path_id = s.path_id GROUP BY 1, 2, 3, 4, 5),
 c AS (SELECT *, sum(cg) OVER (PARTITION BY cell_id, gene_id, paths_key) AS c FROM d)
 SELECT cell_id, gene_id, group_id, round(sum(mass * (cg / c - g)) / sum(mass), 6) AS residual FROM c GROUP BY 1, 2, 3""")
 def m14(logits, ec, groups):

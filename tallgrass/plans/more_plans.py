@@ -8,7 +8,7 @@ from ..operators import graph as gr
 from ..operators import identify as idf
 from ..operators import intervals as iv
 from ..operators import metrics, split
-from ..streaming.components import cut
+from ..sources.shared import cut
 from .bindings import query
 from .interval_plans import exon_paths
 from .metric_plans import sets
@@ -32,7 +32,7 @@ def i5(part, nation, supplier):
     return iv.anchor_regions(nodes, edges, {"TSS": (100, 50), "donor": (30, 60), "acceptor": (30, 60)}, contigs, "RNA", 500)
 
 
-@query("f8_internal_choices", "all_exons")
+@query("f8_internal_choices", "exons")
 def f8(exons):
     paths = exon_paths(exons).withColumn("strand", F.lit("+"))
     _, _, steps = gr.compile_graph(paths)
@@ -59,7 +59,7 @@ def m12(part):
     return metrics.matrix_identity(rows, cross, paths)
 
 
-@query("m13_monitor_record", "logits ec_small counts", """SELECT (SELECT round(sum(nll * mass) / sum(mass), 6) FROM {nll_rows}) AS nll, (SELECT CAST(sum(mass) AS BIGINT) FROM {nll_rows}) AS nll_mass, round(sum(kl * total) / sum(total), 6) AS kl, count(*) AS kl_cell_genes
+@query("m13_monitor_record", "logits ec_partial counts", """SELECT (SELECT round(sum(nll * mass) / sum(mass), 6) FROM {nll_rows}) AS nll, (SELECT CAST(sum(mass) AS BIGINT) FROM {nll_rows}) AS nll_mass, round(sum(kl * total) / sum(total), 6) AS kl, count(*) AS kl_cell_genes
 FROM (SELECT cell_id, gene_id, greatest(sum(CASE WHEN q > 0 THEN q * (ln(q) - logp) ELSE 0 END), 0) AS kl, max(total) AS total FROM {observed} GROUP BY 1, 2) x""")
 def m13(logits, ec, counts):
     return metrics.monitor_record(logits, sets(ec), counts).select(F.round("nll", 6).alias("nll"), "nll_mass", F.round("kl", 6).alias("kl"), "kl_cell_genes")

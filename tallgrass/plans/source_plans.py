@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contracts
 from ..sources import tables as tb
+from ..sources.shared import folder
 from ..streaming import positional as ps
 from .bindings import ORACLES, QUERIES, bind, oracle, query
 
 
 def shared(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-tallgrass-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return folder(spark, "tables")
 
 
 def registered(name: str, sql: str | None = None):
@@ -52,6 +46,31 @@ def s3(customer):
     return tb.read_split(customer.select(cell.alias("cell_id"), F.when(k % 7 == 0, "other").otherwise("train").alias("split")))
 
 
+@registered("s4_read_gtf", """WITH p AS (SELECT p_partkey, p_size, 'chr' || p_size % 20 AS chrom, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part)
+SELECT chrom, 'transcript' AS feature, CAST(p_partkey * 10 AS BIGINT) AS s, CAST(p_partkey * 10 + 500 AS BIGINT) AS e, strand, 'G' || p_size AS gene_id, 'T' || p_partkey AS tx_id, CASE WHEN p_size % 2 = 0 THEN 'sym' || p_size END AS symbol FROM p
+UNION ALL SELECT chrom, 'exon', p_partkey * 10 + 200 * x, p_partkey * 10 + 200 * x + 100, strand, 'G' || p_size, 'T' || p_partkey, CASE WHEN p_size % 2 = 0 THEN 'sym' || p_size END FROM p, (VALUES (0), (1)) v(x)""")
+def s4(spark, sf_dir):
+    """Writes parts as transcripts with two exons each, with other features and comments between, and reads them back."""
+    p = bind(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("g"))
+    name = F.when(F.col("g") % 2 == 0, F.concat(F.lit(' gene_name "sym'), "g", F.lit('";'))).otherwise("")
+    tags = F.concat(F.lit('gene_id "G'), "g", F.lit('.3"; transcript_id "T'), "k", F.lit('.12";'), name)
+    line = lambda feature, s, e: F.concat_ws("\t", F.concat(F.lit("chr"), F.col("g") % 20), F.lit("src"), F.lit(feature), s + 1, e, F.lit("."), F.when(F.col("k") % 2 == 0, "+").otherwise("-"), F.lit("."), tags)
+    s = F.col("k") * 10
+    rows = F.array(F.lit("# a comment"), line("transcript", s, s + 500), line("exon", s, s + 100), line("CDS", s, s + 100), line("exon", s + 200, s + 300))
+    path = shared(spark)
+    p.select(F.explode(rows).alias("value")).write.text(path)
+    return tb.read_gtf(spark, path)
+
+
+@registered("s6_read_peaks", "SELECT 'chr' || l_suppkey % 20 AS chrom, CAST(l_partkey AS BIGINT) AS s, CAST(l_partkey + l_quantity AS BIGINT) AS e, 'chr' || l_suppkey % 20 || ':' || l_partkey || '-' || CAST(l_partkey + l_quantity AS BIGINT) AS peak_id FROM lineitem")
+def s6(spark, sf_dir):
+    """Writes line items as a peak file and reads it back."""
+    x = bind(spark, sf_dir, "lineitem")
+    path = shared(spark)
+    x.select(F.concat(F.lit("chr"), F.col("l_suppkey") % 20), "l_partkey", (F.col("l_partkey") + F.col("l_quantity")).cast("long")).write.csv(path, sep="\t")
+    return tb.read_peaks(spark, path)
+
+
 @registered("s5_read_triplets", "SELECT l_suppkey - 1 AS row_id, l_partkey - 1 AS col_id, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")
 def s5(spark, sf_dir):
     """Writes the counts as coordinate files, one for each of eight shards of suppliers, and reads them back."""

@@ -119,9 +119,9 @@ def l15(customer, nation):
     return split.cell_key_lookup(cells, libs).select("name", "prefix", "barcode", "donor_id", "library_id")
 
 
-@query("l16_factor_catalog", "part nation", """WITH m AS (SELECT p_size AS entity_id, p_brand AS gene_id, CASE WHEN p_size % 2 = 0 THEN 'group' ELSE 'single' END AS kind FROM part WHERE p_partkey % 9 = 0),
+@query("l16_factor_catalog", "part nation", """WITH m AS (SELECT p_size AS entity_id, p_brand AS gene_id, CASE WHEN p_size % 2 = 0 THEN 'group' ELSE 'single' END AS kind FROM part),
 b AS (SELECT entity_id, string_agg(DISTINCT gene_id, ',' ORDER BY gene_id) AS members, count(*) FILTER (gene_id LIKE '%1%') AS off_axis, min(kind) AS kind, count(DISTINCT gene_id) AS k FROM m GROUP BY 1)
 SELECT entity_id, members, off_axis, CASE WHEN kind = 'group' AND k < 2 THEN 'group_too_small' WHEN off_axis > 0 THEN 'member_off_axis' ELSE 'valid' END AS status FROM b""")
 def l16(part, nation):
-    mapping = part.where("p_partkey % 9 = 0").select(F.col("p_size").alias("entity_id"), F.col("p_brand").alias("gene_id"), F.when(F.col("p_size") % 2 == 0, "group").otherwise("single").alias("kind"))
+    mapping = part.select(F.col("p_size").alias("entity_id"), F.col("p_brand").alias("gene_id"), F.when(F.col("p_size") % 2 == 0, "group").otherwise("single").alias("kind"))
     return split.factor_catalog(mapping, part.where("p_brand NOT LIKE '%1%'").select(F.col("p_brand").alias("gene_id")))

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallgrass.operators import audit, compat, context, identify, intervals, metrics, split, usage
@@ -28,14 +30,57 @@ def test_c1_spliced_alignment(spark):
     assert [tuple(j) for j in r.junctions] == [(150, 200, 50, 50)] and r.deletions == [] and r.clipped == 0
 
 
+def test_c1_insertions_end_anchors(spark):
+    cigars = ["50M2I10M100N5M1I40M", "4H6M9N1I8M2P3=7N2X1D5M2S"]
+    d = spark.createDataFrame([(c, 0) for c in cigars], "c string, s long")
+    got = [[tuple(j) for j in r.x.junctions] for r in d.select(compat.expand_cigar(F.col("c"), F.col("s")).alias("x")).collect()]
+    assert got == [[(60, 160, 10, 5)], [(6, 15, 6, 0), (26, 33, 3, 2)]]
+
+
+def test_m2_equal_rows_stay_apart(spark):
+    logits = spark.createDataFrame([(1, "g", "a", 0.0), (1, "g", "b", 1.0)], "cell_id int, gene_id string, path_id string, logit double")
+    ec = spark.createDataFrame([(1, "g", ["a"], 3, 2), (1, "g", ["a"], 3, 2), (1, "g", ["b"], 1, 2)], "cell_id int, gene_id string, paths array<string>, mass long, n_legal int")
+    got = metrics.compatible_nll(logits, ec)
+    assert sorted((r.mass, round(r.nll, 4)) for r in got.collect()) == [(1, 0.3133), (3, 1.3133), (3, 1.3133)]
+    assert metrics.nll_by_gene(got).first().mass == 7
+    sets = ec.withColumn("paths_key", F.array_join("paths", ";"))
+    assert metrics.compatible_set_metrics(logits, sets).count() == 3
+    groups = spark.createDataFrame([("g", "a", "x"), ("g", "b", "y")], "gene_id string, path_id string, group_id string")
+    twice = spark.createDataFrame([(1, "g", ["a"], 6, 2), (1, "g", ["b"], 1, 2)], ec.schema).withColumn("paths_key", F.array_join("paths", ";"))
+    res = [sorted((r.group_id, round(r.residual, 9)) for r in metrics.score_residuals(logits, e, groups).collect()) for e in (sets, twice)]
+    assert res[0] == res[1]
+
+
+def test_a9_quantiles_of_ties_nulls_and_one_value(spark):
+    rows = [("a", x) for x in [5.0, 1.0, 1.0, 2.0, None, 9.0]] + [("b", 7.0), (None, 3.0), (None, 4.0), ("c", None)]
+    got = {r.k: (r.linear, r.higher, r.median, r.iqr) for r in audit.quantiles(spark.createDataFrame(rows, "k string, x double").repartition(3), ["k"], "x", 0.9).collect()}
+    assert got == {"a": (pytest.approx(7.4), 9.0, 2.0, 4.0), "b": (7.0, 7.0, 7.0, 0.0), None: (pytest.approx(3.9), 4.0, 3.5, 0.5)}
+
+
+def test_x6_reasons(spark):
+    q = spark.createDataFrame([(i,) for i in range(1, 8)], "query_id int")
+    one = [(1, 10, 1.0, 0.5), (1, 11, 1.5, 0.5), (2, 10, 1.0, 0.5), (2, 10, 1.0, 0.5), (3, 10, 1.0, 0.5), (3, 11, 9.0, 0.5), (4, 10, 1.0, 0.7), (4, 11, 1.0, 0.7), (5, 10, 1.0, 0.3), (5, 11, 1.0, 0.3), (5, 12, 1.0, 0.4), (6, 10, 1.0, 1.0)]
+    w = spark.createDataFrame(one, "query_id int, neighbor_id int, distance double, weight double").withColumns({"paired": F.col("query_id") != 6, "consistency": F.when(F.col("query_id") == 6, "not_estimable").otherwise("pass")})
+    got = {r.query_id: (r.reasons, r.valid, r.coverage) for r in context.mapping_audit(q, w, 2, 2.0).collect()}
+    assert got == {1: ("", True, 1.0), 2: ("duplicate_neighbor", False, 1.0), 3: ("far", False, 1.0), 4: ("bad_weights", False, 1.0), 5: ("too_many_neighbors", False, 1.5), 6: ("not_paired", False, 0.5), 7: ("no_neighbors", False, 0.0)}
+
+
+def test_x13_keeps_its_digits_at_large_means(spark):
+    rows = [("g1", i, 1e8 + i % 3, True) for i in range(60)] + [("g2", i, 1e8 - i % 3, True) for i in range(60)]
+    raw = spark.createDataFrame(rows, "gate_key_id string, cell_id int, raw double, observed boolean")
+    keys = spark.createDataFrame([("g1", "g"), ("g2", "g")], "gate_key_id string, gene_id string")
+    r = context.gate_collinearity(raw, keys, raw.select("cell_id", F.lit(1).alias("mass")).distinct()).first()
+    assert math.isclose(r.r, -1.0, rel_tol=1e-9) and r.status == "perfect"
+
+
 def test_c5_spliced_and_retained_paths(spark):
     exons = "array<struct<s:bigint,e:bigint>>"
-    paths = spark.createDataFrame([("g", "tx_retained", [(100, 250)]), ("g", "tx_spliced", [(100, 150), (200, 250)])], f"gene_id string, path_id string, exons {exons}")
+    paths = spark.createDataFrame([("g", "whole", [(100, 250)]), ("g", "cut", [(100, 150), (200, 250)])], f"gene_id string, path_id string, exons {exons}")
     reads = [("spliced", [(100, 150), (200, 250)], [(150, 200, 50, 50)], []), ("retained", [(100, 250)], [], []), ("open", [(140, 165)], [], [(150, 200)]), ("other", [(100, 160), (210, 250)], [(160, 210, 50, 40)], [])]
     d = spark.createDataFrame([("g", *r) for r in reads], f"gene_id string, read_id string, blocks {exons}, junctions array<struct<s:bigint,e:bigint,left:bigint,right:bigint>>, censored {exons}")
     got = {r.read_id: (r.compatible, r.fate) for r in compat.compatible_paths(d, paths, 2).withColumn("fate", audit.fate(F.col("compatible"), F.col("n_legal"))).collect()}
-    assert got["spliced"] == (["tx_spliced"], "informative") and got["retained"] == (["tx_retained"], "informative")
-    assert got["open"] == (["tx_retained", "tx_spliced"], "full") and got["other"] == ([], "empty")
+    assert got["spliced"] == (["cut"], "informative") and got["retained"] == (["whole"], "informative")
+    assert got["open"] == (["cut", "whole"], "full") and got["other"] == ([], "empty")
 
 
 def test_i3_touching_intervals_merge_and_i4_drops_empty_rests(spark):
@@ -101,14 +146,21 @@ def test_d4_one_path_genes_have_no_row_and_no_cells_no_score(spark):
     assert [r.gene_id for r in got] == ["g"] and got[0].n_qualified == 2 and got[0].dtu > 0
 
 
-def test_f8_toy_gene(spark):
-    tail = [("splice_end", "exit", "acceptor_end"), ("last_exon", "acceptor_end", "pas")]
-    p0 = [("start", "source", "tss"), ("pre", "tss", "entry"), ("splice_a", "entry", "alt_a"), ("exon_a", "alt_a", "exit"), *tail]
-    p1 = [*p0[:2], ("splice_b", "entry", "alt_b"), ("exon_b", "alt_b", "exit"), *tail]
-    rows = [("g", p, i, e, s, d) for p, es in (("p0", p0), ("p1", p1)) for i, (e, s, d) in enumerate(es)]
+def test_f8_two_bubbles_in_a_row(spark):
+    """Three paths of a chain of two bubbles: k-l or k-m-l first, then either of two steps from q to r."""
+    walks = {"one": "j k l q r", "two": "j k m l q r", "three": "j k l q' r"}
+    rows = []
+    for path, walk in walks.items():
+        stops = [w.strip("'") if w != "q'" else "q" for w in walk.split()]
+        for i, (s, d) in enumerate(zip(stops, stops[1:], strict=False)):
+            other = "'" if walk.split()[i] == "q'" else ""
+            rows.append(("w", path, i, f"{s}{d}{other}", s, d))
     d = spark.createDataFrame(rows, "gene_id string, path_id string, edge_order int, edge_id string, src string, dst string")
-    got = sorted((r.choice_id, r.alternative_id[-3:], r.edges, r.paths) for r in identify.internal_choices(d).collect())
-    assert got == [("choice:g:entry->exit", "000", ["splice_a", "exon_a"], ["p0"]), ("choice:g:entry->exit", "001", ["splice_b", "exon_b"], ["p1"])]
+    got = sorted((r.choice_id, tuple(r.edges), tuple(sorted(r.paths))) for r in identify.internal_choices(d).collect())
+    first = [x for x in got if x[0] == "choice:w:k->l"]
+    assert [x[1:] for x in first] == [(("kl",), ("one", "three")), (("km", "ml"), ("two",))]
+    second = [x for x in got if x[0] == "choice:w:q->r"]
+    assert [x[1:] for x in second] == [(("qr",), ("one", "two")), (("qr'",), ("three",))]
 
 
 def test_g2_retained_intron_cuts_the_exon(spark):
