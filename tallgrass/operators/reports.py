@@ -118,7 +118,7 @@ def log2_bin(n: Column) -> Column:
 def support_sensitivity(df: DataFrame, keys: dict[str, list | DataFrame], metrics: list[str]) -> DataFrame:
     """Macro and weighted means for every cell of a grid; empty cells stay as not_estimable (R13). df: keys, weight, metrics.
 
-    Levels of a key are a list, or (for one key) a table of one column.
+    Levels of a key are a list, or (for one key) a table of one column. The weighted mean of a cell without weight is NULL.
     """
     grid = next((x.toDF(k) for k, x in keys.items() if isinstance(x, DataFrame)), None)
     grid = df.sparkSession.range(1).select() if grid is None else grid

@@ -104,7 +104,7 @@ def r12(counts):
 
 
 @query("r13_support_sensitivity", "part", """WITH p AS (SELECT p_brand AS brand, p_type AS type, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, CAST(p_partkey AS DOUBLE) AS w FROM part), g AS (SELECT * FROM (SELECT DISTINCT brand FROM p) b, (VALUES ('ECONOMY'), ('NONE')) t(type), (VALUES ('size'), ('price')) m(metric)),
-l AS (SELECT brand, type, 'size' AS metric, size AS v, w FROM p UNION ALL SELECT brand, type, 'price', price, w FROM p), o AS (SELECT brand, type, metric, count(*) AS rows, avg(v) AS macro, sum(v * w) / sum(w) AS weighted FROM l GROUP BY 1, 2, 3)
+l AS (SELECT brand, type, 'size' AS metric, size AS v, w FROM p UNION ALL SELECT brand, type, 'price', price, w FROM p), o AS (SELECT brand, type, metric, count(*) AS rows, avg(v) AS macro, sum(v * w) / nullif(sum(w), 0) AS weighted FROM l GROUP BY 1, 2, 3)
 SELECT g.brand, g.type, g.metric, coalesce(rows, 0) AS rows, round(macro, 4) AS macro, round(weighted, 4) AS weighted, CASE WHEN rows > 0 THEN 'estimable' ELSE 'not_estimable' END AS status FROM g LEFT JOIN o ON o.brand = g.brand AND o.type = g.type AND o.metric = g.metric""")
 def r13(part):
     p = part.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.col("p_partkey").cast("double").alias("weight"))
