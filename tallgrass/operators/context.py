@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.core import effective_size, reasons, short_id, weighted_mean
+from ..functions.core import effective_size, reasons, weighted_mean
 from .audit import weighted_quantile
 
 
@@ -31,23 +34,42 @@ def entity_activity(counts: DataFrame, members: DataFrame, cells: DataFrame, lib
     return d.select("cell_id", "entity_id", "raw", F.when(observed, F.log1p(1e4 * F.col("raw") / F.col("library"))).alias("activity"), observed.alias("observed"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def knn_map(queries: DataFrame, atlas: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """Exact Euclidean nearest atlas rows of every query within its stratum (X3): query_id, stratum, neighbor_id, distance, rank.
 
-    The atlas is dealt to blocks by hash; each (stratum, block) keeps its k nearest per query before the blocks' winners
-    meet, so that no task sees a stratum whole. Ties go to the least id.
+    Queries and atlas are dealt to blocks of about `block` rows by hash, and every block of queries meets every block of
+    its stratum's atlas as two small matrices; k rows per query leave such a pair of blocks, before the blocks' winners
+    meet. Vectors move once per block of the other side; no pair of rows is shuffled and no task sees a stratum whole.
+    Ties go to the least id. Rows without a stratum or a vector are left out.
     """
-    sizes = atlas.groupBy("stratum").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    a = atlas.join(sizes, "stratum").withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.col("blocks")))
-    q = queries.join(sizes, "stratum").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = q.join(a.withColumnRenamed("v", "av"), ["stratum", "block"]).select("query_id", "stratum", "block", "neighbor_id", F.sqrt(squared_distance(F.col("v"), F.col("av"))).alias("distance"))
-    near = pairs.groupBy("query_id", "stratum", "block").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k).alias("n"))
-    one = near.select("query_id", "stratum", F.explode("n").alias("n")).select("query_id", "stratum", "n.neighbor_id", "n.distance")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
+    q, a = (d.where("stratum IS NOT NULL AND v IS NOT NULL") for d in (queries.select("query_id", "stratum", "v"), atlas.select("neighbor_id", "stratum", "v")))
+    a = a.select(*(F.col(c).alias(c) for c in a.columns))  # own columns, where both sides come from one table
+    count = lambda d, name: d.groupBy("stratum").agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = count(q, "q_blocks").join(count(a, "a_blocks"), "stratum")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    q = q.join(sizes, "stratum").withColumn("q_block", dealt("query_id", "q_blocks")).withColumn("a_block", every("a_blocks")).drop("q_blocks", "a_blocks")
+    a = a.join(sizes, "stratum").withColumn("a_block", dealt("neighbor_id", "a_blocks")).withColumn("q_block", every("q_blocks")).drop("q_blocks", "a_blocks")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("neighbor_id", kind="stable")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], "stratum": left["stratum"][:0], "neighbor_id": right["neighbor_id"][:0], "distance": np.zeros(0)})
+        x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (left, right))
+        total = np.zeros((len(x), len(y)))
+        for i in range(x.shape[1]):
+            total += (x[:, i, None] - y[None, :, i]) ** 2
+        at = np.argsort(total, axis=1, kind="stable")[:, :k]
+        ids = np.repeat(np.arange(len(x)), at.shape[1])
+        return pd.DataFrame({
+            "query_id": left["query_id"].to_numpy()[ids], "stratum": left["stratum"].to_numpy()[ids],
+            "neighbor_id": right["neighbor_id"].to_numpy()[at.ravel()], "distance": np.sqrt(np.take_along_axis(total, at, 1)).ravel(),
+        })
+
+    keys = ["stratum", "q_block", "a_block"]
+    kind = T.StructType([queries.schema["query_id"], queries.schema["stratum"], atlas.schema["neighbor_id"], T.StructField("distance", T.DoubleType())])
+    near = q.groupBy(*keys).cogroup(a.groupBy(*keys)).applyInPandas(nearest, kind)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
 
 
 def knn_threshold(neighbors: DataFrame, split: DataFrame, q: float = 0.99, floor: float = 1e-6) -> DataFrame:
@@ -114,19 +136,27 @@ def raw_gates(keys: DataFrame, activity: DataFrame, access: DataFrame) -> DataFr
     return rna.unionByName(opened).unionByName(dna).withColumn("observed", F.col("raw").isNotNull())
 
 
-def fit_gates(raw: DataFrame, mass: DataFrame, split: DataFrame, least_n: float = 10.0, least_sd: float = 1e-3) -> DataFrame:
-    """Training moments of every gate weighted by mass, its range and 5/95 % quantiles, reasons against it."""
+def fit_gates(raw: DataFrame, mass: DataFrame, split: DataFrame, least_n: float = 10.0, least_sd: float = 1e-3, least_cells: int = 1, least_mass: float = 0.0) -> DataFrame:
+    """Training moments of every gate weighted by mass, its range and 5/95 % quantiles, reasons against it.
+
+    A gate is active without reasons: too few cells, effective cells or molecules, or a deviation of at most least_sd
+    (1e-8 where that is less). A gate without training observations has counts of 0 and NULL moments.
+    """
     d = raw.where("observed").join(mass.where("mass > 0"), "cell_id").join(split.where("split = 'train'"), "cell_id", "left_semi")
     mean = d.groupBy("gate_key_id").agg(weighted_mean(F.col("raw"), F.col("mass")).alias("mean"))
     d2 = d.join(mean, "gate_key_id")
     m = d2.groupBy("gate_key_id").agg(
         F.first("mean").alias("mean"), F.sqrt(weighted_mean(F.pow(F.col("raw") - F.col("mean"), F.lit(2)), F.col("mass"))).alias("sd"), effective_size(F.col("mass")).alias("n_eff"),
-        F.min("raw").alias("lo"), F.max("raw").alias("hi"),
+        F.count("*").alias("n_valid"), F.sum(F.col("mass").cast("double")).alias("informative"), F.min("raw").alias("lo"), F.max("raw").alias("hi"),
     )
     for name, q in (("q05", 0.05), ("q95", 0.95)):
         m = m.join(weighted_quantile(d, ["gate_key_id"], "raw", "mass", q).withColumnRenamed("quantile", name), "gate_key_id", "left")
-    m = raw.select("gate_key_id").distinct().join(m, "gate_key_id", "left")
-    why = reasons((F.col("mean").isNull(), "never_observed"), (F.col("n_eff") < least_n, "few_effective_cells"), (F.col("sd") < least_sd, "no_variance"))
+    m = raw.select("gate_key_id").distinct().join(m, "gate_key_id", "left").fillna({"n_valid": 0, "n_eff": 0.0, "informative": 0.0})
+    flat = F.col("sd").isNull() | F.isnan("sd") | (F.col("sd") <= max(least_sd, 1e-8))
+    why = reasons(
+        (F.col("mean").isNull(), "never_observed"), (F.col("n_valid") < least_cells, "few_cells"), (F.col("n_eff") < least_n, "few_effective_cells"),
+        (F.col("informative") < least_mass, "few_molecules"), (flat, "no_variance"),
+    )
     return m.withColumn("reasons", F.array_join(why, ",")).withColumn("active", F.col("reasons") == "")
 
 
@@ -193,7 +223,3 @@ def apply_norm(features: DataFrame, norm: DataFrame) -> DataFrame:
     """(x - mean) / sd of kept features where available, else 0."""
     d = features.join(norm.where("kept").select("feature", "mean", "sd"), "feature")
     return d.select("edge_id", "feature", F.when(F.col("available"), (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("z"))
-
-
-def gate_id(*parts: Column) -> Column:
-    return short_id("gate:", F.concat_ws("|", *parts))

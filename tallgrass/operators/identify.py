@@ -93,13 +93,19 @@ def shared_context(paths: DataFrame, first_differs: bool = True) -> DataFrame:
     """The longest run of edges at the other end that a path shares with a path of another alternative.
 
     paths: gene_id, path_id, alternative, edges ARRAY. With first_differs the end that differs is the first, so that
-    suffixes are compared, else prefixes. UNMATCHED is a length of 0. Runs are joined as arrays on equality.
+    suffixes are compared, else prefixes. UNMATCHED is a length of 0. A run is the 128 bits of a hash chained along its
+    edges, so that what is shuffled grows with the edges and not with the square of a path's length. NULL edges are equal.
     """
-    n = F.size("edges")
-    runs = F.transform(F.sequence(F.lit(1), n), lambda k: F.slice("edges", n - k + 1, k) if first_differs else F.slice("edges", F.lit(1), k))
-    d = paths.select("gene_id", "path_id", "alternative", F.explode(runs).alias("run"))
-    by = d.groupBy("gene_id", "run").agg(F.count_distinct("alternative").alias("k"))
-    shared = d.join(by.where("k > 1"), ["gene_id", "run"]).groupBy("gene_id", "path_id").agg(F.max(F.size("run")).alias("shared"))
+    order = F.reverse("edges") if first_differs else F.col("edges")
+    edge = lambda e: F.coalesce(e.cast("string"), F.lit("\0null"))
+    chain = F.aggregate(
+        order, F.struct(F.lit("").alias("last"), F.array().cast("array<binary>").alias("all")),
+        lambda s, e: F.struct(F.md5(F.concat(s["last"], F.lit("|"), edge(e))).alias("last"), F.array_append(s["all"], F.unhex(F.md5(F.concat(s["last"], F.lit("|"), edge(e))))).alias("all")),
+        lambda s: s["all"],
+    )
+    d = paths.select("gene_id", "path_id", "alternative", F.posexplode(chain).alias("at", "run")).withColumn("length", F.col("at") + 1)
+    by = d.groupBy("gene_id", "length", "run").agg((F.min("alternative") < F.max("alternative")).alias("several"))
+    shared = d.join(by.where("several"), ["gene_id", "length", "run"]).groupBy("gene_id", "path_id").agg(F.max("length").alias("shared"))
     out = paths.select("gene_id", "path_id", "alternative").join(shared, ["gene_id", "path_id"], "left").fillna({"shared": 0})
     return out.withColumn("status", F.when(F.col("shared") > 0, "matched").otherwise("UNMATCHED"))
 

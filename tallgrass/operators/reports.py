@@ -13,7 +13,7 @@ from .audit import multi_strata
 def permutation_assignments(cells: DataFrame, b: int, least: int = 20) -> DataFrame:
     """b random permutations of the cells within each stratum (R1): permutation, stratum, target, source.
 
-    The k-th cell by id receives from the k-th by hash. Strata under `least` cells are left out; see small_strata().
+    The k-th cell by id receives from the k-th by hash. Strata under `least` cells are left out.
     """
     w = Window.partitionBy("stratum")
     d = cells.select("stratum", "cell_id").withColumn("n", F.count("*").over(w)).where(F.col("n") >= least)
@@ -24,10 +24,6 @@ def permutation_assignments(cells: DataFrame, b: int, least: int = 20) -> DataFr
     return p.select("stratum", "permutation", F.col("cell_id").alias("target"), "k").join(source, ["stratum", "permutation", "k"]).drop("k")
 
 
-def small_strata(cells: DataFrame, least: int = 20) -> DataFrame:
-    return cells.groupBy("stratum").agg(F.count("*").alias("cells")).where(F.col("cells") < least)
-
-
 def apply_permutation(values: DataFrame, assignments: DataFrame) -> DataFrame:
     """Whole rows of the sources under the targets' ids (R2)."""
     return assignments.join(values.withColumnRenamed("cell_id", "source"), "source").withColumnRenamed("target", "cell_id").drop("source")

@@ -88,7 +88,7 @@ raw AS (SELECT gate_key_id, cell_id, activity AS raw FROM keys k JOIN act a ON a
 tr AS (SELECT raw.*, CAST(mass AS DOUBLE) AS w FROM raw JOIN {{user_mass}} m ON m.cell_id = raw.cell_id JOIN {{user_split}} s ON s.cell_id = raw.cell_id WHERE split = 'train' AND mass > 0),
 mu AS (SELECT gate_key_id, sum(raw * w) / sum(w) AS mean FROM tr GROUP BY 1),
 cu AS (SELECT *, sum(w) OVER (PARTITION BY gate_key_id ORDER BY raw) AS cum, sum(w) OVER (PARTITION BY gate_key_id) AS tot FROM tr),
-fit AS (SELECT cu.gate_key_id, max(mean) AS mean, sqrt(sum(w * pow(raw - mean, 2)) / sum(w)) AS sd, pow(sum(w), 2) / sum(w * w) AS n_eff, min(raw) AS lo, max(raw) AS hi, min(raw) FILTER (cum >= 0.05 * tot) AS q05, min(raw) FILTER (cum >= 0.95 * tot) AS q95 FROM cu JOIN mu ON mu.gate_key_id = cu.gate_key_id GROUP BY 1)"""
+fit AS (SELECT cu.gate_key_id, max(mean) AS mean, sqrt(sum(w * pow(raw - mean, 2)) / sum(w)) AS sd, pow(sum(w), 2) / sum(w * w) AS n_eff, min(raw) AS lo, max(raw) AS hi, min(raw) FILTER (cum >= 0.05 * tot) AS q05, min(raw) FILTER (cum >= 0.95 * tot) AS q95, count(*) AS n_valid, sum(w) AS informative FROM cu JOIN mu ON mu.gate_key_id = cu.gate_key_id GROUP BY 1)"""
 GATE_NEEDS = "usage members access"
 
 
@@ -110,29 +110,33 @@ def x9(usage, members, access):
     return raw_table(usage, members, access).select("gate_key_id", "cell_id", F.round("raw", 6).alias("raw"))
 
 
-FIT = "gate_key_id, round(mean, 5) AS mean, round(sd, 5) AS sd, round(n_eff, 4) AS n_eff, round(q05, 5) AS q05, round(q95, 5) AS q95"
+FIT = "gate_key_id, round(mean, 5) AS mean, round(sd, 5) AS sd, round(n_eff, 4) AS n_eff, round(q05, 5) AS q05, round(q95, 5) AS q95, n_valid, CAST(informative AS BIGINT) AS informative"
+#: Cells, effective cells, molecules and deviation that a gate needs.
+NEEDS = {"least_cells": 90, "least_n": 100, "least_mass": 900, "least_sd": 0.2}
+ACTIVE = f"(n_valid >= {NEEDS['least_cells']} AND n_eff >= {NEEDS['least_n']} AND informative >= {NEEDS['least_mass']} AND sd > {NEEDS['least_sd']})"
 
 
-@query("x10_fit_gates", f"{GATE_NEEDS} user_mass user_split", f"WITH {GATES} SELECT {FIT}, concat_ws(',', CASE WHEN n_eff < 100 THEN 'few_effective_cells' END, CASE WHEN sd < 0.2 THEN 'no_variance' END) AS reasons FROM fit")
+@query("x10_fit_gates", f"{GATE_NEEDS} user_mass user_split", f"""WITH {GATES} SELECT {FIT}, concat_ws(',', CASE WHEN n_valid < {NEEDS['least_cells']} THEN 'few_cells' END, CASE WHEN n_eff < {NEEDS['least_n']} THEN 'few_effective_cells' END,
+CASE WHEN informative < {NEEDS['least_mass']} THEN 'few_molecules' END, CASE WHEN sd <= {NEEDS['least_sd']} THEN 'no_variance' END) AS reasons FROM fit""")
 def x10(usage, members, access, mass, split):
-    out = cx.fit_gates(raw_table(usage, members, access), mass, split, 100, 0.2)
-    return out.select("gate_key_id", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), F.round("n_eff", 4).alias("n_eff"), F.round("q05", 5).alias("q05"), F.round("q95", 5).alias("q95"), "reasons")
+    out = cx.fit_gates(raw_table(usage, members, access), mass, split, **NEEDS)
+    return out.select("gate_key_id", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), F.round("n_eff", 4).alias("n_eff"), F.round("q05", 5).alias("q05"), F.round("q95", 5).alias("q95"), "n_valid", F.col("informative").cast("long").alias("informative"), "reasons")
 
 
-APPLY = """SELECT raw.gate_key_id, cell_id, round(CASE WHEN n_eff >= 100 AND sd >= 0.2 THEN (raw - mean) / sd ELSE 0 END, 4) AS gate, n_eff >= 100 AND sd >= 0.2 AND (raw < lo OR raw > hi) AS out_of_range, n_eff >= 100 AND sd >= 0.2 AND (raw < q05 OR raw > q95) AS out_of_quantiles FROM raw JOIN fit ON fit.gate_key_id = raw.gate_key_id"""
+APPLY = f"""SELECT raw.gate_key_id, cell_id, round(CASE WHEN {ACTIVE} THEN (raw - mean) / sd ELSE 0 END, 4) AS gate, {ACTIVE} AND (raw < lo OR raw > hi) AS out_of_range, {ACTIVE} AND (raw < q05 OR raw > q95) AS out_of_quantiles FROM raw JOIN fit ON fit.gate_key_id = raw.gate_key_id"""
 
 
 @query("x11_apply_gates", f"{GATE_NEEDS} user_mass user_split", f"WITH {GATES} {APPLY}")
 def x11(usage, members, access, mass, split):
     raw = raw_table(usage, members, access)
-    out = cx.apply_gates(raw, cx.fit_gates(raw, mass, split, 100, 0.2))
+    out = cx.apply_gates(raw, cx.fit_gates(raw, mass, split, **NEEDS))
     return out.select("gate_key_id", "cell_id", F.round("gate", 4).alias("gate"), "out_of_range", "out_of_quantiles")
 
 
 @query("x12_gate_pipeline", f"{GATE_NEEDS} user_mass user_split", f"WITH {GATES}, z AS ({APPLY.replace(', 4) AS gate', ', 12) AS gate')}) SELECT cell_id, count(*) AS gates, round(sum(abs(gate)), 3) AS strength, count(*) FILTER (out_of_quantiles) AS unusual FROM z GROUP BY 1")
 def x12(usage, members, access, mass, split):
     raw = raw_table(usage, members, access)
-    z = cx.apply_gates(raw, cx.fit_gates(raw, mass, split, 100, 0.2))
+    z = cx.apply_gates(raw, cx.fit_gates(raw, mass, split, **NEEDS))
     return z.groupBy("cell_id").agg(F.count("*").alias("gates"), F.round(F.sum(F.abs("gate")), 3).alias("strength"), F.count_if("out_of_quantiles").alias("unusual"))
 
 
