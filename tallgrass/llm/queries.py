@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, media, mixing, neardup, pii, quality, tokencount
+from . import bpe, chat, langid, linededup, media, mixing, neardup, pii, quality, tokencount, variants
 from .common import digest, table
 
 
@@ -127,6 +127,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *(F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)), "rate", "copies")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -138,5 +142,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
+    "op11_variants": op11_variants,
 }
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
