@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, media, mixing, neardup, pii, quality, tokencount, variants
+from . import bpe, chat, clusters, langid, linededup, media, mixing, neardup, packing, pii, quality, tokencount, variants
 from .common import digest, table
 
 
@@ -131,6 +131,39 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _op12_sql() -> str:
+    """Five rounds written out; the centroids of a round are a table of 40 rows."""
+    parts = [
+        """k AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+  SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM k ORDER BY h, x LIMIT 40))""",
+    ]
+    for r in range(6):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT row_id, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (
+  SELECT k.row_id, c{r}.c, list_sum(list_transform(list_zip(k.x, c{r}.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM k, c{r}) GROUP BY row_id)""")
+        if r < 5:
+            parts.append(f"""s{r} AS (SELECT c, list(m ORDER BY i) AS x FROM (
+  SELECT c, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM (
+    SELECT a{r}.c, unnest(k.x) AS v, unnest(range(64)) AS i FROM k JOIN a{r} USING (row_id)) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(s{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN s{r} USING (c))""")
+    steps = ",\n".join(parts)
+    return f"""WITH {steps}
+SELECT k.vec_id, CAST(a5.c AS INTEGER) AS cluster, CAST(a5.d AS BIGINT) AS distance,
+  CAST(sum(a5.d) OVER (PARTITION BY a5.c) AS BIGINT) AS cluster_inertia, CAST(sum(a5.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM k JOIN a5 USING (row_id) JOIN c5 ON c5.c = a5.c"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -143,5 +176,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
     "op11_variants": op11_variants,
+    "op12_clusters": op12_clusters,
+    "op13_packing": op13_packing,
 }
-ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_chat": OP9_SQL, "op12_clusters": _op12_sql()}
