@@ -23,7 +23,6 @@ result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, sliced
 
-RUNS = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+LETTERS = rb"[a-z\xc0-\xff]"
 #: Of crc32 values, one in so many deletes a code point from a run.
 ONE_IN = 199
 #: Words of a partition of initial states, at most; and the longest rest that a partition works on.
@@ -44,18 +42,22 @@ MOST, LONGEST = 2000, 48
 HELD = 200_000
 
 
-def words_of(doc_id, text: str) -> Counter:
-    """Occurrences of the results of all runs of one text, whatever their length."""
-    found, base = Counter(), zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run, n in Counter(RUNS.findall(text)).items():
-        found[run.translate(LOWER)] += n
-    out = Counter()
-    for run, n in found.items():
-        h = zlib.crc32(run.encode(), base)
+def words_of(doc_id, text: str, min_chars: int) -> Counter:
+    """Occurrences of the results of one text's runs, as Latin-1 bytes, of at least min_chars code points.
+
+    Latin-1 has a byte for every code point that a run can have; others end a run, as what replaces them does. Lower case
+    of bytes is that of A to Z only.
+    """
+    raw = text.encode("latin-1", "replace").lower()
+    base = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    out, cut = Counter(re.findall(LETTERS + b"{%d,}" % min_chars, raw)), []
+    for run in out:
+        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), base)
         if h % ONE_IN == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] += n
+            cut.append((run, h % len(run)))
+    for run, at, n in [(run, at, out.pop(run)) for run, at in cut]:
+        if len(run) > min_chars:
+            out[run[:at] + run[at + 1 :]] += n
     return out
 
 
@@ -63,15 +65,14 @@ def vocabulary(docs: DataFrame, min_chars: int = 6, min_n: int = 5, doc_id: str
     """(word, n) of all words of at least min_chars code points and min_n occurrences."""
 
     def batch(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        words = [w.decode("latin-1") for w in counts]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
         for b in sliced(batches, 256):
-            for d, t in zip(b.column(0), b.column(1), strict=True):
-                for word, n in words_of(d.as_py(), t.as_py() or "").items():
-                    if len(word) >= min_chars:
-                        counts[word] += n
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts.update(words_of(d, t or "", min_chars))
             if len(counts) > HELD:
                 yield batch(counts)
                 counts = Counter()
