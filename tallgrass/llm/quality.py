@@ -16,8 +16,8 @@ Only grouped counts leave the labelled pass: (strata x rules x levels) rows. The
 counts, a few numbers per document, are written to the shared folder and read for calibration and verdicts.
 
 Defined cases: a null text has no words (and fails the base rule); labels with null doc_id or quality are ignored and
-of several labels of a document the best counts; a null stratum is a stratum; repeated rows each get a row; an empty
-table gives an empty result; other columns are dropped but for doc_id; rates over zero words are 0.
+of several labels of a document the best counts; a null stratum is a stratum; repeated rows each get a row, but count
+once for a cutoff, as do equal texts of several documents; an empty table gives an empty result; other columns are dropped but for doc_id; rates over zero words are 0.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ def base_counts(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     d = d.select(
         "doc_id",
         "stratum",
+        F.xxhash64("t").alias("text_key"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -146,8 +147,11 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     and their bound ln P, and the cutoff of every rule (null without a valid step)."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
     r = rates()
-    seen = counts.where(~base_failed()).select("doc_id", "stratum", *(c.alias(k) for k, c in r.items()))
-    seen = seen.join(good.where("good = 1"), "doc_id").withColumn("half", F.xxhash64("doc_id") % 2 == 0)
+    text = F.col("text_key") if "text_key" in counts.columns else F.xxhash64("doc_id")
+    seen = counts.where(~base_failed()).select("doc_id", F.struct(text.alias("text_key"), "stratum", *(c.alias(k) for k, c in r.items())).alias("seen"))
+    # a doc_id is one trial, and a text is: copies say nothing new, and would make the bound look safer than it is
+    seen = seen.join(good.where("good = 1"), "doc_id").groupBy("doc_id").agg(F.min("seen").alias("seen")).select("seen.*").distinct()
+    seen = seen.withColumn("half", F.xxhash64("text_key") % 2 == 0)
     quantiles = F.array(F.lit(1.0), *map(F.lit, levels))
     proposed = seen.where("half").groupBy("stratum").agg(*(F.percentile_approx(k, quantiles, 100_000).alias(k) for k in r))
     # cutoffs by step: margins of the greatest rate, then the quantiles

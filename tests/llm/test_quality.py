@@ -99,6 +99,23 @@ def test_no_stratum_loses_more_than_promised(spark):
     assert all(r.kept for i, r in got.items() if i % 50 == 0 and not r.base_failed)  # too few labels: keep all
 
 
+def test_repeated_rows_and_copies_are_one_trial(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.random()}" for _ in range(rng.randint(25, 60))), "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    once = quality.cutoffs(quality.saved(quality.base_counts(docs), "once"), labels).collect()
+    copies = docs.unionByName(docs).unionByName(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", "lang"))
+    more = labels.unionByName(labels).unionByName(copies.select("doc_id", F.lit(1).alias("quality")))
+    again = quality.cutoffs(quality.saved(quality.base_counts(copies), "again"), more).collect()
+    assert [(r.n, r.step, r.losses) for r in again] == [(r.n, r.step, r.losses) for r in once] and 600 < once[0].n < 900
+    few = docs.where("doc_id < 40")
+    for _ in range(4):
+        few = few.unionByName(few)
+    got = quality.cutoffs(quality.saved(quality.base_counts(few), "few"), labels).first()
+    assert got.n < 40 and got.step is None
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
