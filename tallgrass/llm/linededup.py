@@ -20,7 +20,7 @@ Whether the earlier line is dropped itself does not matter, so the result does n
 
 Hot lines and hot keys meet in partial aggregations; joins are plain equi-joins that Spark can split.
 
-Defined cases: blank lines shorter than MIN_CHARS always stay; a null text stays null; texts that are equal with an equal
+Defined cases: blank lines (white space only, of any length) always stay; a null text stays null; texts that are equal with an equal
 doc_id are one document (both rows get the same result); a null doc_id comes first; an empty table gives an empty
 result; extra columns pass through, output names that clash get a trailing underscore. Very long lines cost time in
 proportion to their length: variant hashes come from prefix sums.
@@ -53,12 +53,10 @@ def line_keys(line: Column) -> list[Column]:
 
 
 def places(docs: DataFrame, min_chars: int, equal_too: bool) -> DataFrame:
-    """(doc_id, tkey, no, line) of every line that may be dropped: of min_chars characters, or any that is not blank."""
+    """(doc_id, tkey, no, line) of every line that may be dropped: not blank, and of min_chars characters without `equal_too`."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("tkey"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    may = F.length("line") >= min_chars
-    if equal_too:
-        may = may | F.col("line").rlike(r"\S")
-    return lines.where(may)
+    may = F.col("line").rlike(r"\S")
+    return lines.where(may if equal_too else may & (F.length("line") >= min_chars))
 
 
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:

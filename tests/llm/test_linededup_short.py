@@ -13,3 +13,9 @@ def test_equal_short_lines_go_by_default(spark):
     docs = spark.createDataFrame([(1, "Read more"), (2, "Read more"), (3, " "), (4, " ")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()}
     assert got == {1: "Read more", 2: "", 3: " ", 4: " "}
+
+
+def test_blank_lines_stay_whatever_their_length(spark):
+    docs = spark.createDataFrame([(1, "a line\n" + " " * 25), (2, " " * 25 + "\n" + " " * 26 + "\n\t"), (3, " " * 25 + "\n" + " " * 3)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.deduplicated(docs).collect()}
+    assert got == {r.doc_id: (r.text, 0) for r in docs.collect()}
