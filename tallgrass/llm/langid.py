@@ -4,11 +4,12 @@ The kernel is the blended spectrum of letter n-grams (1 to 3, lower case; everyt
 is a gap): the number
 of n-grams that two texts have in common, over the root of the product of how many each has. Landmark documents give
 a Nyström feature map K(x, L) K(L, L)^(-1/2); one-versus-rest kernel ridge regression is fitted in that space. Scoring
-is two matrix products per block of documents: presence rows times landmark rows, kernel rows times weights.
+is two matrix products per block of documents: presence rows times the landmarks' sparse presence columns, and kernel
+rows times weights.
 
 Fitting reads a bounded sample (PER_LANGUAGE documents of each language, chosen by hash of doc_id, of which LANDMARKS
-are landmarks); the sample's tasks return sums of m x m products, m = landmarks. The model is broadcast: its size
-depends on the landmarks alone. Prediction is one narrow pass over whole texts, without a shuffle.
+are landmarks, MOST_LANDMARKS in all); the sample's tasks return sums of m x m products, m = landmarks. The model is
+broadcast: its size is that of the landmarks' n-grams and of m x languages weights. Prediction is one narrow pass over whole texts, without a shuffle.
 
 Defined cases: `und` with score 0 for a null text, a text without letters, or where no labelled text exists; rows with
 null doc_id, text or lang are not learned from; a text without any learned n-gram gets equal scores and the first
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import fresh
 
-PER_LANGUAGE, LANDMARKS = 1500, 40
+PER_LANGUAGE, LANDMARKS, MOST_LANDMARKS = 1500, 40, 4000
 RIDGE, SHARPNESS, BLOCK = 1e-3, 4.0, 256
 LETTER = regex.compile(r"\p{L}")
 _letters: list[np.ndarray] = []
@@ -57,26 +58,35 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass
 class Spectrum:
-    """The n-grams of the landmarks, sorted: every one is a column, whatever its letters."""
+    """The landmarks' n-grams, sorted, each with its landmarks: a sparse presence matrix by columns. Nothing is merged."""
 
     known: np.ndarray
+    starts: np.ndarray  # of the n-grams' landmarks in owners
+    owners: np.ndarray
+    landmarks: int
 
     @classmethod
     def of(cls, texts: list[str]) -> Spectrum:
-        return cls(np.unique(np.concatenate([grams(t) for t in texts])))
-
-    @property
-    def width(self) -> int:
-        return len(self.known)
-
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """0/1 rows over the landmarks' n-grams, and how many distinct n-grams each text has in all."""
-        rows, sizes = np.zeros((len(texts), self.width), np.float32), np.zeros(len(texts))
+        sets = [grams(t) for t in texts]
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(g) for g in sets])
+        order = np.argsort(every, kind="stable")
+        known, starts = np.unique(every[order], return_index=True)
+        return cls(known, np.append(starts, len(every)), owner[order], len(texts))
+
+    def common(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many n-grams each text shares with each landmark (presence rows times presence columns), and how many it has."""
+        rows, sizes = np.zeros((len(texts), self.landmarks)), np.zeros(len(texts))
         for k, t in enumerate(texts):
             g = grams(t)
-            at = np.minimum(np.searchsorted(self.known, g), self.width - 1)
-            rows[k, at[self.known[at] == g]] = 1
             sizes[k] = len(g)
+            at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+            at = at[self.known[at] == g]
+            n = self.starts[at + 1] - self.starts[at]
+            done = np.cumsum(n)
+            if len(done):
+                take = np.repeat(self.starts[at] - (done - n), n) + np.arange(done[-1])
+                rows[k] = np.bincount(self.owners[take], minlength=self.landmarks)
         return rows, sizes
 
 
@@ -84,19 +94,15 @@ class Spectrum:
 class Model:
     languages: list[str]
     spectrum: Spectrum
-    landmarks: np.ndarray  # presence, as bytes
     sizes: np.ndarray
     weights: np.ndarray  # landmarks x languages; or the Nystroem map while fitting
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Kernel rows times weights."""
-        if self.landmarks.dtype != np.float32:
-            self.landmarks = self.landmarks.astype(np.float32)
+        """Kernel rows times weights, a block of texts at a time."""
         out = np.zeros((len(texts), self.weights.shape[1]))
         for at in range(0, len(texts), BLOCK):
-            rows, sizes = self.spectrum.presence(texts[at : at + BLOCK])
-            kernel = (rows @ self.landmarks.T) / np.sqrt(np.maximum(sizes[:, None] * self.sizes[None], 1))
-            out[at : at + BLOCK] = kernel @ self.weights
+            rows, sizes = self.spectrum.common(texts[at : at + BLOCK])
+            out[at : at + BLOCK] = rows / np.sqrt(np.maximum(sizes[:, None] * self.sizes[None], 1)) @ self.weights
         return out
 
 
@@ -116,12 +122,17 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[DataFrame
     return may.where(drawn).select("doc_id", "text", "lang"), sorted(counts)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """Learns from text and lang of the documents that are not held out; None if there are none."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, most: int = MOST_LANDMARKS) -> Model | None:
+    """Learns from text and lang of the documents that are not held out; None if there are none.
+
+    The sample has per_language documents of each language; of these, landmarks are landmarks, or fewer (at least one)
+    where all languages together would have more than `most`.
+    """
     drawn, languages = sample(docs, per_language)
     if not languages:
         return None
     drawn = drawn.where(F.col("text").rlike(r"\p{L}")).repartition(16, "doc_id").persist()
+    landmarks = min(landmarks, max(1, most // len(languages)))
     rank = F.row_number().over(_by_hash("lang"))
     chosen = drawn.withColumn("k", rank).where(F.col("k") <= landmarks).orderBy("lang", "k").collect()  # bounded
     if not chosen:
@@ -129,16 +140,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LAND
         return None
     texts = [r.text for r in chosen]
     spectrum = Spectrum.of(texts)
-    rows, sizes = [], []
-    for at in range(0, len(texts), BLOCK):
-        a, b = spectrum.presence(texts[at : at + BLOCK])
-        rows.append(a)
-        sizes.append(b)
-    rows, sizes = np.vstack(rows), np.concatenate(sizes)
-    kernel = (rows @ rows.T) / np.sqrt(sizes[:, None] * sizes[None])
+    rows, sizes = spectrum.common(texts)
+    kernel = rows / np.sqrt(sizes[:, None] * sizes[None])
     values, vectors = np.linalg.eigh(kernel.astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    model = Model(languages, spectrum, rows.astype(np.uint8), sizes, root)
+    model = Model(languages, spectrum, sizes, root)
     sent, m, c = docs.sparkSession.sparkContext.broadcast(model), len(texts), len(languages)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

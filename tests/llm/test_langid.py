@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 def test_presence_equals_sets_of_ngrams():
     texts = ["Hello world ½", "été à la plage 12", "hello wörld! 漢字 ①"]
     s = langid.Spectrum.of(texts[:2])
-    rows, sizes = s.presence(texts)
+    rows, sizes = s.common(texts)
 
     def grams(t):
         x = "".join(c if langid.LETTER.match(c) else " " for c in t.lower())
@@ -21,7 +21,7 @@ def test_presence_equals_sets_of_ngrams():
     assert [len(grams(t)) for t in texts] == sizes.astype(int).tolist()
     for i in range(3):
         for j in range(2):
-            assert int(rows[i] @ rows[j]) == len(grams(texts[i]) & grams(texts[j]))
+            assert rows[i, j] == len(grams(texts[i]) & grams(texts[j]))
 
 
 def test_held_out_accuracy(spark):
@@ -60,8 +60,18 @@ def test_edge_cases(spark):
 @pytest.mark.parametrize("text", ["a" * 200_000, "éè" * 3])
 def test_long_texts_are_read_whole(text):
     s = langid.Spectrum.of([text, "abc"])
-    rows, sizes = s.presence([text + " abc"])
-    assert rows[0].sum() >= 3 and sizes[0] > 0
+    rows, sizes = s.common([text + " abc"])
+    assert rows[0, 1] >= 6 and sizes[0] > 0
+
+
+def test_many_languages_share_the_landmarks(spark):
+    rows = [(20 * i + k, "".join(chr(0x4E00 + 40 * k + (i * 7 + j * j) % 40) for j in range(30)), f"l{k:02}") for i in range(30) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, most=60)
+    assert model.spectrum.landmarks == 60 and model.weights.shape == (60, 20)
+    said = langid.predict(docs, model)
+    assert said.where("lang = lang_pred").count() > 0.95 * len(rows)
+    assert langid.fit(docs, most=5).spectrum.landmarks == 20
 
 
 def test_letters_are_category_l_and_all_are_told_apart(spark):
