@@ -10,7 +10,11 @@ beyond four times LEAF causes one new tree of the same pre-tokens, without encod
 Boundaries are safe: a pre-token's end depends on three characters behind it at most, and where two splits share a
 boundary they agree from there on. Special tokens' strings are ordinary text here.
 
-The operator is one narrow pass over documents that carry their edits as an array; `with_edits` brings an edit table
+Trees are kept between batches of edits: `counted` stores the characters and tokens of every pre-token beside its text,
+and `edited` takes them up again, applies a batch of edits and stores the new text and tree; it splits and encodes the
+edits' neighbourhoods alone. `edited_counts` does both at once for documents without a stored tree.
+
+Each is one narrow pass over documents that carry their edits as an array; `with_edits` brings an edit table
 into this form by one shuffle of the edits. Memory is bounded by an Arrow batch and a document.
 
 Defined cases: a null text counts as empty; null or no edits leave the count as it is; starts and removals beyond the
@@ -21,6 +25,7 @@ trailing underscore.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import SIMPLE, SIMPLE_PATTERN, Bpe, read_spec, worker_bpe
-from .common import fresh
+from .common import fresh, sliced
 
 LEAF, REACH = 64, 3
 EDITS = "array<struct<start:int,removed:int,inserted:string>>"
@@ -44,6 +49,21 @@ class Counted:
         words = self.split(text, 0)
         self.build(list(words), [self.tokens(w) for w in words])
 
+    @classmethod
+    def stored(cls, text: str, lengths: bytes, counts: bytes, bpe: Bpe) -> Counted:
+        """The tree of a text whose pre-tokens were counted before: nothing is split or encoded."""
+        c = cls.__new__(cls)
+        c.bpe, c.text, c.encoded = bpe, text, 0
+        sizes = array("i", lengths).tolist()
+        if sum(sizes) != len(text) or len(lengths) != len(counts):
+            raise ValueError("a stored tree is not that of its text")
+        c.plant(sizes, array("i", counts).tolist())
+        return c
+
+    def leaf_arrays(self) -> tuple[bytes, bytes]:
+        """Characters and tokens of every pre-token in order, as 32-bit integers: what `stored` takes."""
+        return tuple(array("i", [x for leaf in self.leaves for x in leaf[k]]).tobytes() for k in (0, 1))
+
     def tokens(self, word: str) -> int:
         self.encoded += 1
         return len(self.bpe[word]) // 4
@@ -52,7 +72,11 @@ class Counted:
         return (self.bpe.pattern if SIMPLE.search(text) else SIMPLE_PATTERN).findall(text, at)
 
     def build(self, words: list[str], counts: list[int]) -> None:
-        self.leaves = [([len(w) for w in words[k : k + LEAF]], counts[k : k + LEAF]) for k in range(0, len(words), LEAF)] or [([], [])]
+        self.plant([len(w) for w in words], counts)
+
+    def plant(self, sizes: list[int], counts: list[int]) -> None:
+        """A tree over pre-tokens of these sizes and counts."""
+        self.leaves = [(sizes[k : k + LEAF], counts[k : k + LEAF]) for k in range(0, len(sizes), LEAF)] or [([], [])]
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
@@ -133,12 +157,7 @@ class Counted:
                 self.update(leaf)
         self.update(first)
         if len(self.leaves[first][0]) > 4 * LEAF:
-            lengths = [x for a, _ in self.leaves for x in a]
-            ends, at = [], 0
-            for x in lengths:
-                ends.append(text[at : at + x])
-                at += x
-            self.build(ends, [x for _, b in self.leaves for x in b])
+            self.plant([x for a, _ in self.leaves for x in a], [x for _, b in self.leaves for x in b])
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -156,7 +175,7 @@ def edited_counts(docs: DataFrame, path: str, text: str = "text", edits: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec.value)
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for x, changes in zip(b.column(a), b.column(e), strict=True):
                 c = Counted(x.as_py() or "", bpe)
@@ -169,3 +188,59 @@ def edited_counts(docs: DataFrame, path: str, text: str = "text", edits: str = "
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+
+
+TREE = T.StructType([T.StructField("lengths", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+
+def counted(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Adds n_tokens and `tree`, the tree of every text, to be written beside it. Null texts count as empty."""
+    names = fresh(docs, "n_tokens", "tree")
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    a = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = worker_bpe(spec.value)
+        for b in sliced(batches):
+            trees = [Counted(x.as_py() or "", bpe) for x in b.column(a)]
+            yield _with(b, names, [[c.total for c in trees]], trees)
+
+    fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], TREE)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+
+
+def edited(docs: DataFrame, path: str, text: str = "text", tree: str = "tree", edits: str = "edits") -> DataFrame:
+    """Applies edits to texts with stored trees: text, tree and n_tokens as they are then, and n_reencoded.
+
+    docs: text, tree (of that very text; another one is an error, null is counted anew), edits, and other columns but
+    n_tokens and n_reencoded, which are replaced. The result without its edits is the input of the next batch.
+    """
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    docs = docs.drop("n_tokens", "n_reencoded")
+    keep = [c for c in docs.columns if c not in (text, tree)]
+    docs = docs.select(*keep, text, tree)
+    e = keep.index(edits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = worker_bpe(spec.value)
+        for b in sliced(batches):
+            trees = []
+            for x, t, changes in zip(b.column(len(keep)), b.column(len(keep) + 1), b.column(e), strict=True):
+                x, t = x.as_py() or "", t.as_py()
+                c = Counted.stored(x, t["lengths"], t["counts"], bpe) if t else Counted(x, bpe)
+                for change in changes.as_py() or []:
+                    if change:
+                        c.edit(change["start"] or 0, change["removed"] or 0, change["inserted"] or "")
+                trees.append(c)
+            head = pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([c.text for c in trees], pa.string())], names=[*keep, text])
+            yield _with(head, ["n_tokens", "n_reencoded", tree], [[c.total for c in trees], [c.encoded for c in trees]], trees)
+
+    fields = [docs.schema[c] for c in keep] + [T.StructField(text, T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_reencoded", T.LongType()), T.StructField(tree, TREE)]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def _with(b: pa.RecordBatch, names: list[str], numbers: list[list[int]], trees: list[Counted]) -> pa.RecordBatch:
+    """The batch with columns of numbers, and last the trees."""
+    leaves = [c.leaf_arrays() for c in trees]
+    stored = pa.StructArray.from_arrays([pa.array([x[k] for x in leaves], pa.binary()) for k in (0, 1)], names=["lengths", "counts"])
+    return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(n, pa.int64()) for n in numbers), stored], names=[*b.schema.names, *names])

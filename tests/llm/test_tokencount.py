@@ -1,6 +1,8 @@
 import random
 
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
 from tallgrass.llm import tokencount
 from tallgrass.llm.bpe import Bpe, read_spec
@@ -41,3 +43,31 @@ def test_operator(spark):
     assert (got[1].n_tokens, got[1].n_tokens_edited) == (2, 4)
     assert (got[2].n_tokens, got[2].n_tokens_edited, got[3].n_tokens_edited) == (0, 2, 1)
     assert tokencount.edited_counts(tokencount.with_edits(docs.where("doc_id > 9"), edits), PATH).collect() == []
+
+
+def test_stored_trees_take_a_second_batch_of_edits(spark, tmp_path):
+    """The second batch reads trees from a table and encodes only around its edits; counts equal a full recount."""
+    rng, bpe = random.Random(4), Bpe(read_spec(PATH))
+    texts = [(i, None if i == 3 else " ".join(rng.choices(["word", "it's", "12", "é", "\n\n", "longer-word", "漢"], k=2000)), "x") for i in range(12)]
+    tokencount.counted(spark.createDataFrame(texts, "doc_id int, text string, lengths string"), PATH).write.parquet(f"{tmp_path}/0")
+    plain = {i: t or "" for i, t, _ in texts}
+    for batch in (1, 2):
+        edits = []
+        for i in plain:
+            n = len(plain[i])
+            at = rng.randint(0, n)
+            edits.append((i, [(at, 5, "new words' ll"), (n // 2, 0, "é"), (n + 9, 3, None)] if i % 4 else None))
+            if i % 4:
+                for a, gone, new in [(at, 5, "new words' ll"), (n // 2, 0, "é"), (n + 9, 3, "")]:
+                    a = min(a, len(plain[i]))
+                    plain[i] = plain[i][:a] + new + plain[i][a + gone :]
+        e = spark.createDataFrame(edits, f"doc_id int, edits {tokencount.EDITS}")
+        before = spark.read.parquet(f"{tmp_path}/{batch - 1}").drop("edits")
+        tokencount.edited(before.join(e, "doc_id"), PATH).write.parquet(f"{tmp_path}/{batch}")
+        got = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/{batch}").collect()}
+        assert {i: r.text for i, r in got.items()} == plain and got[1].lengths == "x"
+        assert all(r.n_tokens == sum(len(bpe[w]) // 4 for w in bpe.pattern.findall(r.text)) for r in got.values())
+        assert all((r.n_reencoded > 0) == (i % 4 > 0) and r.n_reencoded < 60 for i, r in got.items())
+    wrong = spark.read.parquet(f"{tmp_path}/2").withColumn("text", F.concat("text", F.lit("x")))
+    with pytest.raises(Exception, match="not that of its text"):
+        tokencount.edited(wrong, PATH).collect()
