@@ -138,14 +138,14 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op12_sql() -> str:
     """Five rounds written out; the centroids of a round are a table of 40 rows."""
     parts = [
-        """k AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
-  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64)""",
+        """k AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64)""",
         """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
   SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM k ORDER BY h, x LIMIT 40))""",
     ]
     for r in range(6):
         parts.append(f"""a{r} AS MATERIALIZED (SELECT row_id, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (
-  SELECT k.row_id, c{r}.c, list_sum(list_transform(list_zip(k.x, c{r}.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM k, c{r}) GROUP BY row_id)""")
+  SELECT k.row_id, c{r}.c, list_sum(list_transform(list_zip(k.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM k, c{r}) GROUP BY row_id)""")
         if r < 5:
             parts.append(f"""s{r} AS (SELECT c, list(m ORDER BY i) AS x FROM (
   SELECT c, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM (

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from tallgrass.llm import clusters
+from tallgrass.llm import clusters, queries
+from tests.oracle import differs
 
 SCHEMA = "vec_id long, embedding array<double>, cluster int, distance string"
 
@@ -86,3 +87,7 @@ def test_rounds_join_without_a_shuffle(spark, monkeypatch):
         assert "Join" in plan and "Exchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_the_query_equals_its_sql(spark):
+    assert differs(spark, "/root/testdata/sf0.01", queries.QUERIES["op12_clusters"], queries.ORACLES["op12_clusters"]) == ""
