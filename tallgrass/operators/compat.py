@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import reasons
@@ -23,17 +23,18 @@ def expand_cigar(cigar: Column, start: Column) -> Column:
     none = F.array().cast(IV)
     zero = F.struct(
         start.cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("run"), F.lit(False).alias("touches"), none.alias("blocks"),
-        F.array().cast(f"array<{junction}>").alias("junctions"), none.alias("deletions"), F.lit(0).cast("bigint").alias("clipped"),
+        F.array().cast(f"array<{junction}>").alias("junctions"), none.alias("deletions"), F.lit(0).cast("bigint").alias("clipped"), F.lit(None).cast(junction).alias("last"),
     )
+    # the last junction is carried apart, so that a match that lengthens it rebuilds no array
+    closed_junctions = lambda a: F.when(a.last.isNotNull(), F.array_append(a.junctions, a.last)).otherwise(a.junctions)
 
     def step(a: Column, x: Column) -> Column:
         match, gap = x.op.isin("M", "=", "X"), x.op.isin("D", "N")
         closed = F.when(gap & a.open.isNotNull(), F.array_append(a.blocks, F.struct(a.open.alias("s"), a.pos.alias("e")))).otherwise(a.blocks)
-        grown = F.when(
-            match & a.touches,
-            F.transform(a.junctions, lambda j, i: F.struct(j.s.alias("s"), j.e.alias("e"), j.left.alias("left"), F.when(i == F.size(a.junctions) - 1, j.right + x.n).otherwise(j.right).alias("right"))),
-        ).otherwise(a.junctions)
-        spliced = F.when(x.op == "N", F.array_append(grown, F.struct(a.pos.alias("s"), (a.pos + x.n).alias("e"), a.run.alias("left"), F.lit(0).cast("bigint").alias("right")))).otherwise(grown)
+        longer = F.struct(a.last.s.alias("s"), a.last.e.alias("e"), a.last.left.alias("left"), (a.last.right + x.n).alias("right"))
+        new = F.struct(a.pos.alias("s"), (a.pos + x.n).alias("e"), a.run.alias("left"), F.lit(0).cast("bigint").alias("right"))
+        last = F.when(x.op == "N", new).when(match & a.touches, longer).otherwise(a.last)
+        spliced = F.when(x.op == "N", closed_junctions(a)).otherwise(a.junctions)
         return F.struct(
             F.when(match | gap, a.pos + x.n).otherwise(a.pos).alias("pos"),
             F.when(match, F.coalesce(a.open, a.pos)).when(gap, F.lit(None).cast("bigint")).otherwise(a.open).alias("open"),
@@ -41,12 +42,12 @@ def expand_cigar(cigar: Column, start: Column) -> Column:
             ((x.op == "N") | (match & a.touches)).alias("touches"),
             closed.alias("blocks"), spliced.alias("junctions"),
             F.when(x.op == "D", F.array_append(a.deletions, F.struct(a.pos.alias("s"), (a.pos + x.n).alias("e")))).otherwise(a.deletions).alias("deletions"),
-            F.when(x.op.isin("S", "H"), a.clipped + x.n).otherwise(a.clipped).alias("clipped"),
+            F.when(x.op.isin("S", "H"), a.clipped + x.n).otherwise(a.clipped).alias("clipped"), last.alias("last"),
         )
 
     end = lambda a: F.struct(
         merge_array(F.when(a.open.isNotNull(), F.array_append(a.blocks, F.struct(a.open.alias("s"), a.pos.alias("e")))).otherwise(a.blocks)).alias("blocks"),
-        a.junctions.alias("junctions"), a.deletions.alias("deletions"), a.clipped.alias("clipped"),
+        closed_junctions(a).alias("junctions"), a.deletions.alias("deletions"), a.clipped.alias("clipped"),
     )
     return F.aggregate(ops, zero, step, end)
 
@@ -101,14 +102,55 @@ def compatible_paths(reads: DataFrame, paths: DataFrame, tolerance: int) -> Data
 def assign_gene_cell(alignments: DataFrame, tx_gene: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gene by transcript tag and cell by (donor, library, barcode); held-out test cells never appear.
 
-    Returns the resolved rows and counts of what was not.
+    Returns the resolved rows and counts of what was not. Where both sides have them (chrom, start; gene_chrom, gene_end),
+    an alignment on another chromosome than its gene's, or one that starts behind its gene's end, is an error.
     """
     d = alignments.join(tx_gene, "tx_id", "left").join(cells, ["donor_id", "library_id", "barcode"], "left")
+    fault = F.lit(None).cast("string")
+    named = F.concat(F.lit(" of transcript "), F.col("tx_id").cast("string"), F.lit(", gene "), F.col("gene_id").cast("string"))
+    if {"chrom", "gene_chrom"} <= {*d.columns}:
+        fault = F.when(F.col("gene_id").isNotNull() & ~F.col("chrom").eqNullSafe(F.col("gene_chrom")), F.concat(F.lit("chromosome conflict"), named))
+    if {"start", "gene_end"} <= {*d.columns}:
+        fault = F.coalesce(fault, F.when(F.col("start") >= F.col("gene_end"), F.concat(F.lit("start behind the gene's end"), named)))
     why = F.when(F.col("gene_id").isNull(), "unknown_transcript").when(F.col("cell_id").isNull(), "unknown_cell").when(F.col("split") == "test", "test_cell")
-    d = d.withColumn("unresolved", why)
+    d = d.withColumn("unresolved", F.when(fault.isNotNull(), F.raise_error(fault).cast("string")).otherwise(why))
     return d.where("unresolved IS NULL").drop("unresolved"), d.groupBy("unresolved").agg(F.count("*").alias("rows"))
 
 
+def intron_evidence(rows: DataFrame, least_mapq: int, least_exon: int, least_intron: int) -> DataFrame:
+    """What a molecule says about an intron, by both of its boundaries (C11).
+
+    rows: molecule_id, intron_id (once together), is_primary, is_chimeric, mapq, left_exon, left_intron, right_intron,
+    right_exon (aligned positions), excising, other_junctions, unspliced_introns, mature. A boundary is supported with
+    `least_exon` and `least_intron` positions on its two sides. Retention is supported by both boundaries without an
+    excising junction, and censored where the molecule passes but does not show it. `scope` says how far a supported one
+    may be read: as mature by the protocol, as processed beside another splice junction, or as unresolved.
+    """
+    if least_mapq < 0 or least_exon <= 0 or least_intron <= 0:
+        raise ValueError("evidence thresholds are not valid")
+    twice = F.count("*").over(Window.partitionBy("molecule_id", "intron_id")) > 1
+    qc = F.col("is_primary") & ~F.col("is_chimeric") & (F.col("mapq") >= least_mapq)
+    d = rows.withColumn("qc_pass", F.when(twice, F.raise_error(F.lit("a molecule has an intron twice")).cast("boolean")).otherwise(qc))
+    side = lambda x: (F.col(f"{x}_exon") >= least_exon) & (F.col(f"{x}_intron") >= least_intron)
+    d = d.withColumns({"left_supported": F.col("qc_pass") & side("left"), "right_supported": F.col("qc_pass") & side("right")})
+    left, right = F.col("left_supported"), F.col("right_supported")
+    covered = F.greatest("left_intron", "right_intron") > 0
+    name = (
+        F.when(~F.col("qc_pass"), "qc_failure").when(F.col("excising"), "excising_junction").when(left & right, "bilateral").when(left | right, "single_boundary").when(covered, "intron_only")
+    ).otherwise("no_boundary")
+    d = d.withColumn("evidence", name).withColumn("supported", F.col("evidence") == "bilateral")
+    processed = F.col("other_junctions") > 0
+    scope = F.when(~F.col("supported"), "not_retained").when(F.col("mature"), "mature_by_protocol").when(processed, "processed_context").otherwise("mature_or_nascent")
+    return d.withColumns(
+        {
+            "censored": F.col("qc_pass") & ~F.col("supported"),
+            "biogenesis": F.when(processed, "processed_context").otherwise("mature_or_nascent"),
+            "several_unspliced": F.col("unspliced_introns") > 1,
+            "scope": scope,
+        }
+    )
+
+
 def classify_retained_intron(df: DataFrame, margin: int) -> DataFrame:
     """Class of a read's view of an intron (C11): s, e are the read's covered span, is_, ie the intron's bounds."""
     left, right = (F.col("s") <= F.col("is_") - margin) & (F.col("e") > F.col("is_")), (F.col("e") >= F.col("ie") + margin) & (F.col("s") < F.col("ie"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import effective_size, reasons, weighted_mean
-from .audit import weighted_quantile
+from ..sources.shared import cut
+from .audit import exact_quantiles, weighted_quantile
 
 
 def cp10k_log1p(counts: DataFrame, cell: str = "cell_id") -> DataFrame:
@@ -28,28 +29,100 @@ def entity_activity(counts: DataFrame, members: DataFrame, cells: DataFrame, lib
     if library is None:
         library = counts.groupBy("cell_id").agg(F.sum("n").alias("library"))
     own = counts.join(members, "gene_id").groupBy("cell_id", "entity_id").agg(F.sum("n").alias("raw"))
-    grid = cells.select("cell_id").distinct().crossJoin(F.broadcast(members.select("entity_id").distinct()))
+    grid = cells.select("cell_id").distinct().crossJoin(members.select("entity_id").distinct())  # Spark broadcasts by size
     d = grid.join(own, ["cell_id", "entity_id"], "left").join(library, "cell_id", "left").fillna({"raw": 0, "library": 0})
     observed = F.col("library") > 0
     return d.select("cell_id", "entity_id", "raw", F.when(observed, F.log1p(1e4 * F.col("raw") / F.col("library"))).alias("activity"), observed.alias("observed"))
 
 
-def knn_map(queries: DataFrame, atlas: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """Exact Euclidean nearest atlas rows of every query within its stratum (X3): query_id, stratum, neighbor_id, distance, rank.
+#: Pivots of a stratum, and parts of a pivot's rows by their distance to it.
+PIVOTS, RINGS = 6, 16
+
+
+def _distance(a: Column, b: Column) -> Column:
+    square = lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda s, x: s + x))
+
+
+def _pivots(a: DataFrame) -> DataFrame:
+    """(stratum, pivots): vectors of the atlas rows of least hash, one per shard of ids."""
+    drawn = a.groupBy("stratum", F.pmod(F.xxhash64("neighbor_id"), F.lit(PIVOTS)).alias("shard")).agg(F.min_by("v", F.xxhash64(F.lit(7), "neighbor_id")).alias("v"))
+    return drawn.groupBy("stratum").agg(F.collect_list("v").alias("pivots"))
+
 
-    Queries and atlas are dealt to blocks of about `block` rows by hash, and every block of queries meets every block of
-    its stratum's atlas as two small matrices; k rows per query leave such a pair of blocks, before the blocks' winners
-    meet. Vectors move once per block of the other side; no pair of rows is shuffled and no task sees a stratum whole.
-    Ties go to the least id. Rows without a stratum or a vector are left out.
+def knn_blocks(rows: DataFrame, key: str, pivots: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows in blocks of about `block`, and a table of blocks with their rows and their range of distances to every pivot.
+
+    pivots: stratum, pivots ARRAY of vectors. A block has rows of one nearest pivot, of like distance to it.
+    """
+    d = rows.join(pivots, "stratum").withColumn("_to", F.transform("pivots", lambda p: _distance(F.col("v"), p))).drop("pivots")
+    d = d.withColumn("_near", F.array_min("_to")).withColumn("_cell", F.array_position("_to", F.col("_near")))
+    cell = ["stratum", "_cell"]
+    cuts = d.groupBy(*cell).agg(F.percentile_approx("_near", [i / RINGS for i in range(1, RINGS)], F.lit(1000)).alias("_cuts"))
+    d = d.join(cuts, cell).withColumn("_ring", F.size(F.filter("_cuts", lambda c: c < F.col("_near")))).drop("_cuts")
+    ring = [*cell, "_ring"]
+    parts = d.groupBy(*ring).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    d = d.join(parts, ring).withColumn("block", F.concat_ws("|", "_cell", "_ring", F.pmod(F.xxhash64(key), F.col("_parts"))))
+    at = d.select("stratum", "block", F.posexplode("_to").alias("p", "x")).groupBy("stratum", "block", "p").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    table = at.groupBy("stratum", "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "lo", "hi"))).alias("box"))
+    return d.select(key, "stratum", "v", "block"), table
+
+
+def block_pairs(q: DataFrame, a: DataFrame, k: int) -> DataFrame:
+    """Pairs of query and atlas blocks that may hold neighbours: stratum, q_block, a_block, rows of both, and `kept`.
+
+    By the triangle inequality no atlas row of a block is nearer than the gap between the two ranges of distances to any
+    pivot, and none is farther than the sum of their upper ends. The least such sum that covers k atlas rows bounds the
+    k-th distance of every query of the block; pairs whose gap is beyond it can hold no neighbour, not even a tied one.
     """
+    both = q.select("stratum", F.col("block").alias("q_block"), F.col("n").alias("q_rows"), F.col("box").alias("qb")).join(a.select("stratum", F.col("block").alias("a_block"), F.col("n").alias("a_rows"), F.col("box").alias("ab")), "stratum")
+    gap = F.array_max(F.zip_with("qb", "ab", lambda x, y: F.greatest(x.lo - y.hi, y.lo - x.hi, F.lit(0.0))))
+    far = F.array_min(F.zip_with("qb", "ab", lambda x, y: x.hi + y.hi))
+    both = both.select("stratum", "q_block", "a_block", "q_rows", "a_rows", gap.alias("gap"), far.alias("far"))
+    w = Window.partitionBy("stratum", "q_block").orderBy("far", "a_block")
+    covered = F.sum("a_rows").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    limit = F.min(F.when(F.col("_covered") >= k, F.col("far"))).over(Window.partitionBy("stratum", "q_block"))
+    d = both.withColumn("_covered", covered).withColumn("_limit", limit)
+    # with a margin for the rounding of distances
+    return d.select("stratum", "q_block", "a_block", "q_rows", "a_rows", F.coalesce(F.col("gap") <= F.col("_limit") * (1 + 1e-9) + 1e-9, F.lit(True)).alias("kept"))
+
+
+def _sides(queries: DataFrame, atlas: DataFrame, block: int):
     q, a = (d.where("stratum IS NOT NULL AND v IS NOT NULL") for d in (queries.select("query_id", "stratum", "v"), atlas.select("neighbor_id", "stratum", "v")))
     a = a.select(*(F.col(c).alias(c) for c in a.columns))  # own columns, where both sides come from one table
-    count = lambda d, name: d.groupBy("stratum").agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = count(q, "q_blocks").join(count(a, "a_blocks"), "stratum")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    q = q.join(sizes, "stratum").withColumn("q_block", dealt("query_id", "q_blocks")).withColumn("a_block", every("a_blocks")).drop("q_blocks", "a_blocks")
-    a = a.join(sizes, "stratum").withColumn("a_block", dealt("neighbor_id", "a_blocks")).withColumn("q_block", every("q_blocks")).drop("q_blocks", "a_blocks")
+    drawn = cut(_pivots(a))  # one set of pivots for both sides
+    return (*knn_blocks(q, "query_id", drawn, block), *knn_blocks(a, "neighbor_id", drawn, block))
+
+
+def knn_pruning(queries: DataFrame, atlas: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """Per stratum: pairs of blocks, and how many of them and of their pairs of rows are left out unseen."""
+    _, qt, _, at = _sides(queries, atlas, block)
+    work = F.col("q_rows") * F.col("a_rows")
+    return block_pairs(qt, at, k).groupBy("stratum").agg(F.count("*").alias("block_pairs"), F.count_if(~F.col("kept")).alias("skipped"), (F.sum(F.when(~F.col("kept"), work).otherwise(0)) / F.sum(work)).alias("share_of_rows"))
+
+
+def knn_strata(queries: DataFrame, atlas: DataFrame, k: int) -> DataFrame:
+    """Every stratum of the queries with its rows on both sides, and the reason against mapping it."""
+    q = queries.groupBy("stratum").agg(F.count("*").alias("queries"), F.count("v").alias("with_vector"))
+    a = atlas.where("v IS NOT NULL").groupBy("stratum").agg(F.count("*").alias("atlas_rows"))
+    d = q.join(a, "stratum", "left").fillna({"atlas_rows": 0})
+    why = F.when(F.col("stratum").isNull(), "no_stratum").when(F.col("atlas_rows") < k, "fewer_atlas_rows_than_k").when(F.col("with_vector") < F.col("queries"), "queries_without_vector")
+    return d.select("stratum", "queries", "atlas_rows", why.alias("reason"))
+
+
+def knn_map(queries: DataFrame, atlas: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """Exact Euclidean nearest atlas rows of every query within its stratum (X3): query_id, stratum, neighbor_id, distance, rank.
+
+    Both sides are dealt to blocks of rows that lie alike to a stratum's pivots. Pairs of blocks that can't hold a
+    neighbour are never built; the others meet as two small matrices, of which k rows per query leave before the blocks'
+    winners meet. No pair of rows is shuffled and no task sees a stratum whole. Ties go to the least id. Strata with fewer
+    than k atlas rows have no neighbours, as have rows without a stratum or a vector; `knn_strata` gives the reasons.
+    """
+    enough = atlas.where("v IS NOT NULL").groupBy("stratum").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
+    q, qt, a, at = _sides(queries.join(enough, "stratum", "left_semi"), atlas, block)
+    pairs = cut(block_pairs(qt, at, k).where("kept").select("stratum", "q_block", "a_block"))
+    q = q.withColumnRenamed("block", "q_block").join(pairs, ["stratum", "q_block"])
+    a = a.withColumnRenamed("block", "a_block").join(pairs, ["stratum", "a_block"])
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("neighbor_id", kind="stable")
@@ -75,7 +148,8 @@ def knn_map(queries: DataFrame, atlas: DataFrame, k: int, block: int = 2048) ->
 def knn_threshold(neighbors: DataFrame, split: DataFrame, q: float = 0.99, floor: float = 1e-6) -> DataFrame:
     """Per stratum over training queries: the q quantile and the median (at least `floor`) of nearest distances."""
     d = neighbors.where("rank = 1").join(split.where("split = 'train'"), "query_id", "left_semi")
-    return d.groupBy("stratum").agg(F.percentile("distance", F.lit(q)).alias("limit"), F.greatest(F.percentile("distance", F.lit(0.5)), F.lit(floor)).alias("temperature"))
+    d = exact_quantiles(d, ["stratum"], "distance", {"q": q, "half": 0.5})
+    return d.select("stratum", F.col("q.linear").alias("limit"), F.greatest("half.linear", F.lit(floor)).alias("temperature"))
 
 
 def admit_weights(neighbors: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -169,12 +243,14 @@ def apply_gates(raw: DataFrame, manifest: DataFrame, floor: float = 1e-8) -> Dat
     return d.select("gate_key_id", "cell_id", z.alias("gate"), "observed", out("lo", "hi").alias("out_of_range"), out("q05", "q95").alias("out_of_quantiles"))
 
 
-def gate_collinearity(raw: DataFrame, keys: DataFrame, mass: DataFrame, near: float = 0.95) -> DataFrame:
-    """Weighted Pearson correlation of every pair of a gene's gates on cells that have both.
+def gate_collinearity(raw: DataFrame, keys: DataFrame, mass: DataFrame, split: DataFrame, near: float = 0.95) -> DataFrame:
+    """Weighted Pearson correlation of every pair of a gene's active gates on training cells that have both.
 
-    Values are taken from their gate's mean first, so that sums of squares keep their digits at large means.
+    keys: gate_key_id, gene_id, active; split: cell_id, split. Values are taken from their gate's mean first, so that sums
+    of squares keep their digits at large means.
     """
-    seen = raw.where("observed")
+    keys = keys.where("active")
+    seen = raw.where("observed").join(split.where("split = 'train'"), "cell_id", "left_semi").join(keys, "gate_key_id", "left_semi")
     mean = seen.groupBy("gate_key_id").agg(F.avg("raw").alias("_mean"))
     d = seen.join(mean, "gate_key_id").withColumn("raw", F.col("raw") - F.col("_mean")).drop("_mean")
     d = d.join(keys.select("gate_key_id", "gene_id"), "gate_key_id").join(mass.where("mass > 0"), "cell_id")
@@ -195,9 +271,51 @@ def overridden(values: DataFrame, changes: DataFrame, keys: list[str], column: s
     return values.join(c, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
+def perturbed_gates(changes: DataFrame, keys: DataFrame, activity: DataFrame, access: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Only the gates that perturbations of a cell's sources touch, computed anew, with flags and a status.
+
+    changes: change_id, cell_id, kind (activity or access), source_id, value. Gates are found from their sources, the
+    other factor of a product comes from the cell's own values, and what was not observed stays so. The support of a
+    change is model_extrapolation if any of its gates leaves the training range or quantiles, missing_context if one is
+    not observed or not active, else supported. A change is an error if no cell or gate has its source, or if its value is
+    not a finite number of 0 or more.
+    """
+    long = keys.select("gate_key_id", "channel", F.lit("activity").alias("kind"), F.col("entity_id").cast("string").alias("source_id"), F.col("peak_id").alias("other_peak"), F.lit(None).cast("string").alias("other_entity"))
+    long = long.unionByName(keys.select("gate_key_id", "channel", F.lit("access").alias("kind"), F.col("peak_id").cast("string").alias("source_id"), F.lit(None).cast(keys.schema["peak_id"].dataType).alias("other_peak"), F.col("entity_id").alias("other_entity")))
+    touched = long.where("source_id IS NOT NULL").where("(kind = 'activity' AND channel <> 'OPEN') OR (kind = 'access' AND channel <> 'RNA')")
+    known = activity.select("cell_id", F.lit("activity").alias("kind"), F.col("entity_id").cast("string").alias("source_id"), F.col("observed").alias("seen")).unionByName(
+        access.select("cell_id", F.lit("access").alias("kind"), F.col("peak_id").cast("string").alias("source_id"), F.lit(True).alias("seen"))
+    )
+    bad = F.coalesce(~(F.col("value") >= 0) | F.isnan("value") | (F.col("value") == float("inf")), F.lit(True))
+    d = changes.select("change_id", "cell_id", "kind", F.col("source_id").cast("string").alias("source_id"), F.col("value").cast("double").alias("value"))
+    d = d.join(known, ["cell_id", "kind", "source_id"], "left").join(touched, ["kind", "source_id"], "left")
+    fault = F.when(bad, "a source's value must be finite and 0 or more").when(F.col("seen").isNull(), "a cell lacks the source").when(F.col("gate_key_id").isNull(), "a source has no gate")
+    d = d.withColumn("value", F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("value")))
+    act = activity.select("cell_id", F.col("entity_id").alias("other_entity"), F.when(F.col("observed"), F.col("activity")).alias("_a"))
+    acc = access.select("cell_id", F.col("peak_id").alias("other_peak"), F.col("access").alias("_o"))
+    d = d.join(act, ["cell_id", "other_entity"], "left").join(acc, ["cell_id", "other_peak"], "left")
+    own = F.when(F.col("seen"), F.col("value"))
+    raw = F.when(F.col("channel") == "DNA", own * F.when(F.col("kind") == "activity", F.col("_o")).otherwise(F.col("_a"))).otherwise(own)
+    m = manifest.select("gate_key_id", "mean", "sd", "lo", "hi", "q05", "q95", "active")
+    d = d.select("change_id", "cell_id", "gate_key_id", raw.alias("raw"), raw.isNotNull().alias("observed")).join(m, "gate_key_id", "left")
+    on = F.coalesce(F.col("active"), F.raise_error(F.concat(F.lit("no training moments of gate "), F.col("gate_key_id"))).cast("boolean")) & F.col("observed")
+    z = F.when(on, (F.col("raw") - F.col("mean")) / F.greatest(F.col("sd"), F.lit(1e-8))).otherwise(0.0)
+    out = lambda a, b: F.coalesce(on & ((F.col("raw") < F.col(a)) | (F.col("raw") > F.col(b))), F.lit(False))
+    d = d.select("change_id", "cell_id", "gate_key_id", "raw", z.alias("gate"), "observed", "active", out("lo", "hi").alias("out_of_range"), out("q05", "q95").alias("out_of_quantiles"))
+    w = Window.partitionBy("change_id")
+    support = F.when(F.bool_or(F.col("out_of_range") | F.col("out_of_quantiles")).over(w), "model_extrapolation").when(F.bool_or(~F.col("observed") | ~F.col("active")).over(w), "missing_context").otherwise("supported")
+    return d.withColumn("support", support)
+
+
+def merged_gates(gates: DataFrame, perturbed: DataFrame) -> DataFrame:
+    """Gates of all cells with those of one change in their place (X15): gate_key_id, cell_id, gate."""
+    new = perturbed.select("gate_key_id", "cell_id", F.col("gate").alias("_new"))
+    return gates.select("gate_key_id", "cell_id", "gate").join(new, ["gate_key_id", "cell_id"], "left").select("gate_key_id", "cell_id", F.coalesce("_new", "gate").alias("gate"))
+
+
 def response_curve(points: DataFrame, predictions: DataFrame, manifest: DataFrame) -> DataFrame:
     """Predictions per point beside the manifest of outputs: missing, extra or out of bounds ones have a status."""
-    want = points.select("point_id").crossJoin(F.broadcast(manifest.select("output_id")))
+    want = points.select("point_id").distinct().crossJoin(manifest.select("output_id").distinct())  # Spark broadcasts by size
     d = want.withColumn("wanted", F.lit(True)).join(predictions, ["point_id", "output_id"], "full")
     status = F.when(F.col("wanted").isNull(), "extra").when(F.col("p").isNull(), "missing").when(~F.col("p").between(0, 1), "out_of_bounds").otherwise("ok")
     return d.select("point_id", "output_id", "p", status.alias("status"))

@@ -36,27 +36,6 @@ def gram(design: DataFrame) -> DataFrame:
     return a.join(b, "route_id").where("c1 <= c2").groupBy("c1", "c2").agg(F.sum(F.col("v1") * F.col("v2")).alias("value"))
 
 
-def rank_closure(cells: DataFrame, order: list[str], tolerance: float = 1e-9) -> list[tuple[str, str]]:
-    """Columns kept and dropped, with the reason (N6). The Gram matrix of k columns has k^2 numbers, whatever the rows."""
-    import numpy as np
-
-    place = {c: i for i, c in enumerate(order)}
-    g = np.zeros((len(order), len(order)))
-    for r in cells.collect():
-        g[place[r.c1], place[r.c2]] = g[place[r.c2], place[r.c1]] = r.value
-    out, factor = [], np.zeros((0, len(order)))
-    for c, i in place.items():
-        rest = g[i, i] - (factor[:, i] ** 2).sum()
-        if g[i, i] <= tolerance:
-            out.append((c, "zero"))
-        elif rest <= tolerance * max(g[i, i], 1):
-            out.append((c, "redundant"))
-        else:
-            factor = np.vstack([factor, (g[i] - factor[:, i] @ factor) / np.sqrt(rest)])
-            out.append((c, "kept"))
-    return out
-
-
 def interaction_support(context: DataFrame, fields: list[str], mass: DataFrame, least_events: int, least_mass: float) -> DataFrame:
     """For every (field, factor, level) of the full grid: events, genes, mass and reasons against it.
 
@@ -101,7 +80,3 @@ def interaction_claims(support: DataFrame) -> DataFrame:
     d = pairs.join(by, ["field", "factor", "level", "level2"], "left").fillna({"comparators": 0})
     status = F.when(~(F.col("supported") & F.col("supported2")), "unsupported_arm").when(F.col("comparators") == 0, "within_factor_only").otherwise("four_corner_covered")
     return d.select("field", "factor", "level", "level2", "comparators", status.alias("status"))
-
-
-def ranked(df: DataFrame, keys: list[str], order) -> DataFrame:
-    return df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -54,6 +54,61 @@ def validate_paths(path_edges: DataFrame) -> DataFrame:
     return gap.unionByName(broken).unionByName(again)
 
 
+def validate_graph(nodes: DataFrame, edges: DataFrame, paths: DataFrame, path_edges: DataFrame) -> DataFrame:
+    """Every violation of imported paths (G4): gene_id, path_id, violation, rows.
+
+    nodes: gene_id, node_id, node_type, pos; edges: gene_id, edge_id, edge_type, src, dst, span; paths: gene_id, path_id,
+    strand, n_edges, start, end; path_edges: gene_id, path_id, edge_order, edge_id, src, dst. Besides those of
+    validate_paths: a path without edges or edges without a path, another number of edges than declared, edges that the
+    gene lacks or that have other end points there, a first or last node that is not the declared one, nodes against the
+    strand, and two nodes at one place that are not an acceptor and a donor of an exon without length.
+    """
+    per = path_edges.groupBy(*PATH).agg(
+        F.count("*").alias("own"), F.min_by("src", "edge_order").alias("first"), F.max_by("dst", "edge_order").alias("last")
+    )
+    d = paths.select(*PATH, "strand", "n_edges", "start", "end").join(per, PATH, "full")
+    faults = F.array_compact(
+        F.array(
+            F.when(F.col("own").isNull(), "no_edges"),
+            F.when(F.col("n_edges").isNull(), "no_path"),
+            F.when(F.col("own") != F.col("n_edges"), "n_edges_differ"),
+            F.when(F.col("first") != F.col("start"), "wrong_start"),
+            F.when(F.col("last") != F.col("end"), "wrong_end"),
+            F.when(~F.col("strand").isin("+", "-"), "bad_strand"),
+        )
+    )
+    whole = d.select(*PATH, F.explode(faults).alias("violation"), F.lit(1).cast("long").alias("rows"))
+    own = edges.select("gene_id", "edge_id", "edge_type", "span", F.col("src").alias("e_src"), F.col("dst").alias("e_dst"))
+    node = lambda x: nodes.select("gene_id", F.col("node_id").alias(x), F.col("pos").alias(f"{x}_pos"), F.col("node_type").alias(f"{x}_type"))
+    step = path_edges.join(own, ["gene_id", "edge_id"], "left").join(node("src"), ["gene_id", "src"], "left").join(node("dst"), ["gene_id", "dst"], "left").join(paths.select(*PATH, "strand"), PATH, "left")
+    move = (F.col("dst_pos") - F.col("src_pos")) * F.when(F.col("strand") == "-", -1).otherwise(1)
+    exon = (F.col("edge_type") == "EXON_CONTINUATION") & (F.col("span") == 0) & (F.col("src_type") == "acceptor") & (F.col("dst_type") == "donor")
+    faults = F.array_compact(
+        F.array(
+            F.when(F.col("edge_type").isNull(), "unknown_edge"),
+            F.when((F.col("src") != F.col("e_src")) | (F.col("dst") != F.col("e_dst")), "end_points_differ"),
+            F.when(F.col("src_pos").isNull() | F.col("dst_pos").isNull(), "unknown_node"),
+            F.when(move < 0, "against_strand"),
+            F.when((move == 0) & ~F.coalesce(exon, F.lit(False)), "bad_coincidence"),
+        )
+    )
+    steps = step.select(*PATH, F.explode(faults).alias("violation")).groupBy(*PATH, "violation").agg(F.count("*").alias("rows"))
+    return whole.unionByName(steps).unionByName(validate_paths(path_edges))
+
+
+def edge_features(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """One-hot kinds and log1p of spans and lengths of a gene's edges (G8); a kind that is not listed is an error."""
+    known = F.coalesce(*(F.when(F.col("edge_type") == k, F.lit(True)) for k in kinds), F.raise_error(F.concat(F.lit("unknown edge type "), F.coalesce("edge_type", F.lit("NULL")))).cast("boolean"))
+    hot = [(known & (F.col("edge_type") == k)).cast("int").alias(f"is_{k.lower()}") for k in kinds]
+    return edges.select("gene_id", "edge_id", *hot, F.log1p(F.col("hi") - F.col("lo")).alias("log_span"), F.log1p("length_bp").alias("log_length"))
+
+
+def path_spans(path_edges: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per path: log1p of its edges, of the positions they span and of their summed lengths."""
+    d = path_edges.join(edges.select("gene_id", "edge_id", "lo", "hi", "length_bp"), ["gene_id", "edge_id"])
+    return d.groupBy(*PATH).agg(F.log1p(F.count("*")).alias("log_edges"), F.log1p(F.max("hi") - F.min("lo")).alias("log_span"), F.log1p(F.sum("length_bp")).alias("log_length"))
+
+
 def collapse_identical(paths: DataFrame) -> DataFrame:
     """Paths with the same edges in the same order become one, with the least id and all names (G5). path_edges in."""
     seq = paths.groupBy(*PATH).agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_order", "edge_id"))), lambda x: x.edge_id).alias("edges"))

@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
+from ..functions.core import guarded
+
 
 def observational_groups(patterns: DataFrame, paths: DataFrame) -> DataFrame:
     """Paths that lie in exactly the same patterns share a group, numbered by the group's first path (F1).
@@ -82,6 +86,62 @@ def classify_heldout(ec: DataFrame, groups: DataFrame) -> DataFrame:
     return d.select("cell_id", "gene_id", "paths_key", "touched_groups", "split_groups", kind.alias("kind"))
 
 
+def matrix_ranks(rows: DataFrame) -> DataFrame:
+    """(columns, rows, rank) of distinct 0/1 matrices with a row of ones; rows: columns, rows ARRAY of sorted ARRAYs of places.
+
+    Equal matrices come once, however many cells have them; they are eliminated a batch at a time, exactly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = []
+            for n, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m = np.zeros((1 + len(lists), n), np.int64)
+                m[0] = 1
+                for k, places in enumerate(lists, 1):
+                    m[k, places] = 1
+                every.append(m)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(exact.ranks(every), pa.int64())], names=["columns", "rows", "rank"])
+
+    plain = rows.select(F.col("columns").cast("int").alias("columns"), F.col("rows").cast("array<array<int>>").alias("rows"))
+    return plain.distinct().mapInArrow(run, "columns int, rows array<array<int>>, rank long")
+
+
+def cell_support(ec: DataFrame, groups: DataFrame, index: DataFrame, least: float = 1.0) -> DataFrame:
+    """What each held-out cell says about each gene's groups (F5): rank, direct support and one of three tiers.
+
+    ec: split, cell_id, gene_id, paths, n_legal, mass; index: gene_id, separable, groups (of training, which stay as
+    they are). A row counts if it has mass, is informative and splits no group. The rank is that of the distinct sets of
+    whole groups in the cell's rows and a row of ones. `direct` needs a separable gene, full rank, and `least` mass in
+    every group from rows that lie within it. Training rows, unknown genes and masses below 0 are errors.
+    """
+    sizes = groups.groupBy("gene_id", "group_id").agg(F.count("*").alias("whole"))
+    number = F.row_number().over(Window.partitionBy("gene_id").orderBy("group_id")) - 1
+    sizes = sizes.withColumn("place", number)
+    bad = F.when(F.col("split") == "train", "training rows among the held-out ones").when(~(F.col("mass") >= 0) | F.col("mass").isNull() | ~(F.col("mass") < float("inf")), "masses must be finite and 0 or more").when(F.col("known").isNull(), "genes without a training index")
+    d = ec.join(index.select("gene_id", "separable", "groups", F.lit(True).alias("known")), "gene_id", "left")
+    d = d.where(guarded(bad))
+    key = ["split", "cell_id", "gene_id"]
+    cells = d.groupBy(*key).agg(F.first("separable").alias("separable"), F.first("groups").alias("groups"))
+    inside = d.where((F.col("mass") > 0) & (F.size("paths") > 0) & (F.size("paths") < F.col("n_legal")))
+    inside = inside.withColumn("row", F.array_sort("paths")).groupBy(*key, "row").agg(F.sum("mass").alias("mass"))
+    part = inside.withColumn("path_id", F.explode(F.array_distinct("row"))).join(groups, ["gene_id", "path_id"])
+    part = part.groupBy(*key, "row", "mass", "group_id").agg(F.count("*").alias("own")).join(sizes, ["gene_id", "group_id"])
+    row = part.groupBy(*key, "row", "mass").agg(F.bool_or(F.col("own") < F.col("whole")).alias("splits"), F.array_sort(F.collect_list("place")).alias("places"))
+    novel = row.groupBy(*key).agg(F.bool_or("splits").alias("novel_split"))
+    valid = row.where("NOT splits")
+    rows = valid.groupBy(*key).agg(F.array_sort(F.collect_set("places")).alias("rows"), F.sum("mass").alias("valid_mass"))
+    own = valid.where(F.size("places") == 1).groupBy(*key, F.element_at("places", 1).alias("place")).agg(F.sum("mass").alias("mass"))
+    own = own.groupBy(*key).agg(F.count_if(F.col("mass") >= least).alias("supported_groups"), F.sum("mass").alias("exclusive_mass"))
+    every = cells.join(rows, key, "left").join(own, key, "left").join(novel, key, "left")
+    none = F.array().cast("array<array<int>>")
+    every = every.withColumns({"rows": F.coalesce(F.col("rows").cast("array<array<int>>"), none), "columns": F.col("groups").cast("int")})
+    every = every.join(matrix_ranks(every), ["columns", "rows"]).fillna({"supported_groups": 0, "exclusive_mass": 0.0, "valid_mass": 0.0, "novel_split": False})
+    direct = F.col("separable") & (F.col("rank") == F.col("groups")) & (F.col("supported_groups") == F.col("groups"))
+    tier = F.when(direct, "direct").when(F.col("separable"), "cohort").otherwise("unidentifiable")
+    return every.select(*key, "groups", F.size("rows").alias("patterns"), "rank", "supported_groups", "exclusive_mass", "valid_mass", "novel_split", tier.alias("tier"))
+
+
 def endpoint_choices(paths: DataFrame, end: str) -> DataFrame:
     """Alternatives of genes with two or more different ends, with their paths."""
     w = Window.partitionBy("gene_id")
@@ -117,6 +177,80 @@ def contrasts(alternatives: DataFrame) -> DataFrame:
     return a.join(b, ["gene_id", "choice_id"]).where("a < b").withColumn("reportable", (F.col("mass_a") > 0) & (F.col("mass_b") > 0))
 
 
+def subset_contrasts(alternatives: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Contrasts of a choice's alternatives as pairs of path sets: marginal ones, and one per context that both have.
+
+    alternatives: gene_id, choice_id, alternative_id, paths ARRAY; memberships: choice_id, alternative_id, path_id,
+    context, eligible. Rows: gene_id, choice_id, context (NULL if marginal), a, b, paths_a, paths_b.
+    """
+    at = memberships.where("eligible AND context IS NOT NULL").groupBy("choice_id", "alternative_id", "context").agg(F.array_sort(F.collect_set("path_id")).alias("paths"))
+    local = alternatives.select("gene_id", "choice_id", "alternative_id").join(at, ["choice_id", "alternative_id"])
+    every = alternatives.select("gene_id", "choice_id", F.lit(None).cast("string").alias("context"), "alternative_id", F.array_sort("paths").alias("paths"))
+    every = every.unionByName(local.select("gene_id", "choice_id", F.col("context").cast("string").alias("context"), "alternative_id", "paths"))
+    side = lambda x: every.select("gene_id", "choice_id", F.col("context"), F.col("alternative_id").alias(x), F.col("paths").alias(f"paths_{x}"))
+    left, right = side("a"), side("b").withColumnsRenamed({"gene_id": "g", "choice_id": "c", "context": "k"})
+    same = (left.gene_id == right.g) & (left.choice_id == right.c) & left.context.eqNullSafe(right.k) & (left.a < right.b)
+    return left.join(right, same).drop("g", "c", "k")
+
+
+def subset_status(subsets: DataFrame, patterns: DataFrame, groups: DataFrame) -> DataFrame:
+    """For path sets (gene_id, paths): whether they are whole groups, estimable, and their exclusive training mass.
+
+    A set that holds part of a group is not `defined`. It is estimable if its indicator over the groups lies in the row
+    space of the gene's patterns and a row of ones. The echelon form of a gene is made once for all of its sets; the
+    test is exact. Exclusive mass is that of the patterns within the set.
+    """
+    subsets = subsets.select("gene_id", "paths").distinct()
+    sizes = groups.groupBy("gene_id", "group_id").agg(F.count("*").alias("whole"))
+    sizes = sizes.withColumns({"place": F.row_number().over(Window.partitionBy("gene_id").orderBy("group_id")) - 1, "columns": F.count("*").over(Window.partitionBy("gene_id"))})
+    one = subsets.withColumn("path_id", F.explode("paths")).join(groups, ["gene_id", "path_id"])
+    part = one.groupBy("gene_id", "paths", "group_id").agg(F.count("*").alias("own")).join(sizes, ["gene_id", "group_id"])
+    crossing = F.array_sort(F.collect_list(F.when(F.col("own") < F.col("whole"), F.col("group_id"))))
+    per = part.groupBy("gene_id", "paths").agg(crossing.alias("crossing"), F.array_sort(F.collect_list(F.when(F.col("own") == F.col("whole"), F.col("place")))).alias("places"))
+    rows = patterns.select("gene_id", "paths_key", F.explode("paths").alias("path_id")).join(groups, ["gene_id", "path_id"]).join(sizes.select("gene_id", "group_id", "place"), ["gene_id", "group_id"])
+    rows = rows.groupBy("gene_id", "paths_key").agg(F.array_sort(F.collect_set("place")).alias("row")).groupBy("gene_id").agg(F.collect_set("row").alias("rows"))
+    asked = per.groupBy("gene_id").agg(F.collect_set("places").alias("sets"))
+    every = asked.join(sizes.select("gene_id", "columns").distinct(), "gene_id").join(rows, "gene_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            genes, places, held = [], [], []
+            for gene, sets, n, rows in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                m = np.zeros((1 + len(rows or []), n), np.int64)
+                m[0] = 1
+                for k, row in enumerate(rows or [], 1):
+                    m[k, row] = 1
+                asked = np.zeros((len(sets), n), np.int64)
+                for k, of in enumerate(sets):
+                    asked[k, of] = 1
+                genes += [gene] * len(sets)
+                places += sets
+                held += exact.RowSpace(m).holds(asked).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(genes, b.schema.field(0).type), pa.array(places, pa.list_(pa.int32())), pa.array(held, pa.bool_())], names=["gene_id", "places", "in_space"])
+
+    kind = every.schema["gene_id"].dataType.simpleString()
+    tested = every.select("gene_id", F.col("sets").cast("array<array<int>>").alias("sets"), F.col("columns").cast("int").alias("columns"), F.col("rows").cast("array<array<int>>").alias("rows"))
+    tested = tested.mapInArrow(run, f"gene_id {kind}, places array<int>, in_space boolean")
+    mass = subsets.join(patterns.select("gene_id", F.col("paths").alias("inner"), "mass"), "gene_id").where(F.size(F.array_except("inner", "paths")) == 0)
+    mass = mass.groupBy("gene_id", "paths").agg(F.sum("mass").alias("exclusive_mass"))
+    out = per.withColumn("places", F.col("places").cast("array<int>")).join(tested, ["gene_id", "places"]).join(mass, ["gene_id", "paths"], "left")
+    defined = F.size("crossing") == 0
+    return out.select("gene_id", "paths", "crossing", defined.alias("defined"), (defined & F.col("in_space")).alias("estimable"), F.coalesce("exclusive_mass", F.lit(0)).alias("exclusive_mass"))
+
+
+def estimable_contrasts(pairs: DataFrame, patterns: DataFrame, groups: DataFrame, least: float = 1.0) -> DataFrame:
+    """Contrasts of subset_contrasts with the status of both sides (F9): separable if both are estimable, reportable if
+    both have `least` exclusive mass as well."""
+    sides = pairs.select("gene_id", F.col("paths_a").alias("paths")).unionByName(pairs.select("gene_id", F.col("paths_b").alias("paths")))
+    status = subset_status(sides, patterns, groups)
+    of = lambda x: status.select("gene_id", F.col("paths").alias(f"paths_{x}"), F.col("crossing").alias(f"crossing_{x}"), F.col("estimable").alias(f"estimable_{x}"), F.col("exclusive_mass").alias(f"mass_{x}"))
+    d = pairs.join(of("a"), ["gene_id", "paths_a"]).join(of("b"), ["gene_id", "paths_b"])
+    separable = F.col("estimable_a") & F.col("estimable_b")
+    reportable = separable & (F.col("mass_a") >= least) & (F.col("mass_b") >= least)
+    crossing = F.array_sort(F.array_union("crossing_a", "crossing_b"))
+    return d.select("gene_id", "choice_id", "context", "a", "b", "paths_a", "paths_b", crossing.alias("crossing"), "estimable_a", "estimable_b", "mass_a", "mass_b", separable.alias("separable"), reportable.alias("reportable"))
+
+
 def heldout_contrast_support(cells: DataFrame, pairs: DataFrame, mass: DataFrame) -> DataFrame:
     """Every held-out cell with every contrast of its gene, masses 0 where absent, and a tier.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import short_id, top_one
+from ..streaming.components import components
 
 IV = "array<struct<s:bigint,e:bigint>>"
 
@@ -101,6 +102,80 @@ def collapse_overlaps(hits: DataFrame, bucket: list[str]) -> DataFrame:
     return span.join(best, keys).drop("island")
 
 
+def overlap_links(spots: DataFrame, least: int, share: float) -> DataFrame:
+    """Pairs (a, b) of nodes in a bucket that overlap by `least` positions and by `share` (above 0) of the longer one.
+
+    spots: node, bucket, s, e. Linked intervals are alike in length, so they are dealt to levels of lengths, a
+    factor of 1 / share apart, and within a level to tiles as wide as its intervals: a pair is sought on the level of its
+    shorter one, in the tile where the later one begins. Short intervals never meet the tiles of long ones, and a long
+    one has as few tiles as a short one. The join is an equi-join that Spark can split where a tile is hot.
+    """
+    base = 1.001 / share  # a little more, so that rounding can't put a linked pair two levels apart
+    level = F.floor(F.log(F.col("e") - F.col("s")) / F.log(F.lit(base))).cast("int")
+    on = spots.where(F.col("e") - F.col("s") >= least).withColumn("_own", level)
+    on = on.withColumn("_level", F.explode(F.array("_own", F.col("_own") - 1)))
+    width = F.ceil(F.pow(F.lit(base), F.col("_level") + 1)).cast("long")
+    tiles = F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))
+    on = on.withColumn("_width", width).withColumn("_tile", F.explode(tiles))
+    sides = [on.select("bucket", "_level", "_tile", *(F.col(c).alias(f"{c}{k}") for c in ("node", "s", "e", "_own", "_width"))) for k in (1, 2)]
+    both = sides[0].join(sides[1], ["bucket", "_level", "_tile"]).where("node1 < node2 AND (_own1 = _level OR _own2 = _level)")
+    later = F.greatest("s1", "s2")
+    shared = F.least("e1", "e2") - later
+    longer = F.greatest(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2"))
+    linked = (shared >= least) & (shared / longer >= share) & (F.col("_tile") == F.floor(later / F.col("_width1")))
+    return both.where(linked).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+
+def collapse_members(hits: DataFrame, bucket: list[str], least: int = 1, share: float = 0.0) -> DataFrame:
+    """Every hit with the node of its component (I9): the least hit_id of its own or another linked interval.
+
+    Two hits of a bucket are linked if they overlap by `least` positions and by `share` of the longer one; components
+    are what links join, directly or by others. Equal intervals are one node, so that copies make no pairs. Without a
+    share no pair is made: intervals of `least` positions or more are linked in a chain of their order, if the running
+    end reaches far enough into the next one.
+    """
+    if least < 1 or not 0 <= share <= 1:
+        raise ValueError("least must be 1 or more, and share between 0 and 1")
+    broken = F.when((F.col("s") < 0) | (F.col("e") <= F.col("s")) | F.col("s").isNull() | F.col("e").isNull(), F.raise_error(F.lit("hits need positive half-open intervals")))
+    # the bucket as one struct: in a struct nulls are equal, also to a join
+    hits = hits.withColumns({c: F.coalesce(broken.cast("long"), c) for c in ("s", "e")}).withColumn("_bucket", F.struct(*bucket))
+    spots = hits.groupBy(F.col("_bucket").alias("bucket"), "s", "e").agg(F.min("hit_id").alias("node"))
+    if not share:
+        long = merge_rows(spots.where(F.col("e") - F.col("s") >= least), ["bucket"], "s", "e", least)
+        roots = long.groupBy("bucket", "island").agg(F.min("node").alias("root"))
+        named = long.join(roots, ["bucket", "island"]).select("node", "root")
+    else:
+        named = components(overlap_links(spots, least, share))
+    named = spots.join(named, "node", "left").select(F.col("bucket").alias("_bucket"), "s", "e", F.coalesce("root", "node").alias("component"))
+    out = hits.join(named, ["_bucket", "s", "e"]).drop("_bucket")
+    # a hit that is shorter than `least` is linked to nothing, not even to its copies
+    return out.withColumn("component", F.when(F.col("e") - F.col("s") < least, F.col("hit_id")).otherwise(F.col("component")))
+
+
+def collapse_hits(members: DataFrame, bucket: list[str]) -> DataFrame:
+    """One event per component of collapse_members, with its representative and what it rests on.
+
+    Representative: the best calibrated quality; in a component where no hit has one, the best (least) local rank; then
+    the least priority, start, end, motif and id. A hit with neither quality nor rank is an error. The event's id is a
+    hash of the bucket and the representative's interval; it is valid if all of its hits are. What hits it rests on are
+    the rows of `members`, whose number no event bounds.
+    """
+    quality = F.when(~F.isnan("quality") & (F.abs("quality") < float("inf")), F.col("quality"))
+    rank = F.when(quality.isNull(), F.coalesce("local_rank", F.raise_error(F.lit("a hit needs a calibrated quality or a local rank")).cast("long")))
+    order = F.struct(quality.isNull().alias("bare"), (-quality).alias("worst"), rank.alias("rank"), "priority", "s", "e", "motif_id", "hit_id")
+    out = members.groupBy("component", *bucket).agg(
+        F.min(order).alias("best"),
+        F.min("s").alias("from_s"),
+        F.max("e").alias("to_e"),
+        F.count("*").alias("n_hits"),
+        F.count_distinct("motif_id").alias("n_motifs"),
+        F.bool_and("valid").alias("valid"),
+    )
+    name = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*bucket, "best.s", "best.e"]))
+    picked = [F.col(f"best.{c}").alias(c) for c in ("s", "e", "motif_id")]
+    return out.select(short_id("event:", name).alias("event_id"), *bucket, F.col("best.hit_id").alias("representative"), *picked, "from_s", "to_e", "n_hits", "n_motifs", "valid", "component")
+
+
 def open_hits(peaks: DataFrame, same: list[str]) -> DataFrame:
     """Events that rest on accessibility alone; exact repeats collapse."""
     return peaks.groupBy(*same).agg(F.count("*").alias("n_peaks"), F.max("support").alias("support"), F.min("peak_id").alias("peak_id"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import hash32
+from ..functions.core import hash32, log_sum_exp
 
 UNIT = ["cell_id", "gene_id"]
 
@@ -46,9 +48,16 @@ def nll_summary(by_gene: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def gene_weights(genes: DataFrame, tau: float, alpha: float) -> DataFrame:
-    """mass / (mass + tau) * (1 + alpha * percentile of dtu), average ranks over ties (M4). genes: gene_id, mass, dtu."""
+    """mass / (mass + tau) * (1 + alpha * percentile of dtu), average ranks over ties (M4). genes: gene_id, mass, dtu.
+
+    A gene whose dtu or mass is not a finite number has no weight, and is an error.
+    """
     from .audit import ranked_values
 
+    broken = reduce(lambda a, b: a | b, (F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True)) for c in (F.col("dtu").cast("double"), F.col("mass").cast("double"))))
+    message = F.concat(F.lit("no finite dtu and mass for gene "), F.coalesce(F.col("gene_id").cast("string"), F.lit("NULL")))
+    genes = genes.withColumn("mass", F.when(broken, F.raise_error(message).cast("double")).otherwise(F.col("mass")))
+    genes = genes.withColumn("dtu", F.when(broken, F.raise_error(message).cast("double")).otherwise(F.col("dtu")))
     ranks = ranked_values(genes, [], "dtu").select("dtu", (F.col("to") - (F.col("n") + 1) / 2).alias("_before"), F.col("total").alias("_n"))
     pct = F.when(F.col("_n") > 1, F.col("_before") / (F.col("_n") - 1)).otherwise(0.0)
     return genes.join(ranks, "dtu").withColumn("pct", pct).withColumn("weight", F.col("mass") / (F.col("mass") + tau) * (1 + alpha * F.col("pct"))).drop("_before", "_n")
@@ -172,6 +181,51 @@ def counterfactual(full: DataFrame, changed: DataFrame) -> DataFrame:
     return d.select(*UNIT, "path_id", "delta", (F.col("delta") - F.avg("delta").over(w)).alias("centred"), (F.col("p_b") - F.col("p")).alias("dp"), (F.col("logp_b") - F.col("logp")).alias("dlogp"))
 
 
+def _both(full: DataFrame, changed: DataFrame, status: DataFrame) -> DataFrame:
+    """Log probabilities before and after, and whether the cell and gene may be read; a path of only one side is an error."""
+    a = log_softmax(full).select(*UNIT, "path_id", F.col("logp").alias("a"))
+    b = log_softmax(changed).select(*UNIT, "path_id", F.col("logp").alias("b"))
+    d = a.join(b, [*UNIT, "path_id"], "full").join(status.select(*UNIT, "estimable"), UNIT, "left")
+    fault = F.when(F.col("a").isNull() | F.col("b").isNull(), "a path lacks one of its two logits").when(F.col("estimable").isNull(), "a cell and gene have no status")
+    return d.withColumn("estimable", F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.col("estimable")))
+
+
+def group_effects(full: DataFrame, changed: DataFrame, groups: DataFrame, status: DataFrame) -> DataFrame:
+    """Probabilities of observational groups before and after, their change and that of the log; NULL where not estimable.
+
+    groups: gene_id, path_id, group_id; status: cell_id, gene_id, estimable. Changes are full minus changed.
+    """
+    d = _both(full, changed, status).join(groups.select("gene_id", "path_id", "group_id"), ["gene_id", "path_id"])
+    w = Window.partitionBy(*UNIT, "group_id")
+    d = d.withColumns({"peak_a": F.max("a").over(w), "peak_b": F.max("b").over(w)})
+    out = d.groupBy(*UNIT, "group_id").agg(F.bool_and("estimable").alias("estimable"), log_sum_exp(F.col("a"), F.col("peak_a")).alias("log_full"), log_sum_exp(F.col("b"), F.col("peak_b")).alias("log_changed"))
+    seen = lambda x: F.when(F.col("estimable"), x)
+    p, q = F.exp("log_full"), F.exp("log_changed")
+    return out.select(*UNIT, "group_id", "estimable", seen(p).alias("full"), seen(q).alias("changed"), seen(p - q).alias("delta"), seen(F.col("log_full") - F.col("log_changed")).alias("delta_log"))
+
+
+def contrast_effects(full: DataFrame, changed: DataFrame, contrasts: DataFrame, status: DataFrame) -> DataFrame:
+    """Relative log masses of contrasts before and after, and their change.
+
+    contrasts: contrast_id (once per gene), gene_id, numerator ARRAY, denominator ARRAY, reportable. Values are NULL where
+    the cell and gene are not estimable or the contrast is not reportable. Changes are full minus changed.
+    """
+    n = F.count("*").over(Window.partitionBy("gene_id", "contrast_id"))
+    fault = F.when(n > 1, "a contrast is repeated").when((F.size("numerator") == 0) | (F.size("denominator") == 0) | F.arrays_overlap("numerator", "denominator"), "a contrast needs two path sets apart")
+    c = contrasts.withColumn("reportable", F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.col("reportable")))
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("numerator").alias("of")), F.struct(F.lit(2).alias("side"), F.col("denominator").alias("of")))
+    long = c.select("gene_id", "contrast_id", "reportable", F.explode(sides).alias("s")).select("gene_id", "contrast_id", "reportable", "s.side", F.explode("s.of").alias("path_id"))
+    d = _both(full, changed, status).join(long, ["gene_id", "path_id"])
+    key = [*UNIT, "contrast_id", "reportable"]
+    w = Window.partitionBy(*key, "side")
+    d = d.withColumns({"peak_a": F.max("a").over(w), "peak_b": F.max("b").over(w)})
+    by = d.groupBy(*key, "side").agg(F.bool_and("estimable").alias("estimable"), log_sum_exp(F.col("a"), F.col("peak_a")).alias("a"), log_sum_exp(F.col("b"), F.col("peak_b")).alias("b"))
+    of = lambda x, side: F.max(F.when(F.col("side") == side, F.col(x)))
+    out = by.groupBy(*key).agg(F.bool_and("estimable").alias("estimable"), (of("a", 1) - of("a", 2)).alias("f"), (of("b", 1) - of("b", 2)).alias("c"))
+    seen = lambda x: F.when(F.col("estimable") & F.col("reportable"), x)
+    return out.select(*UNIT, "contrast_id", "reportable", "estimable", seen(F.col("f")).alias("full"), seen(F.col("c")).alias("changed"), seen(F.col("f") - F.col("c")).alias("delta"))
+
+
 def select_pair(scores: DataFrame) -> DataFrame:
     """The setting of least mean score; ties go to greater interaction, then base strength, then the first id."""
     mean = scores.groupBy("setting_id", "lambda_int", "lambda_base").agg(F.avg("score").alias("mean_score"))
@@ -225,30 +279,3 @@ def monitor_record(logits: DataFrame, ec: DataFrame, counts: DataFrame) -> DataF
     nll = compatible_nll(logits, ec).agg((F.sum(F.col("nll") * F.col("mass")) / F.sum("mass")).alias("nll"), F.sum("mass").alias("nll_mass"))
     kl = count_kl(logits, counts).agg((F.sum(F.col("kl") * F.col("total")) / F.sum("total")).alias("kl"), F.count("*").alias("kl_cell_genes"))
     return nll.crossJoin(kl)
-
-
-def ridge_diagnostics(rows: DataFrame, features: list[str], label: str, weight: str, key: str, alphas: list[float], folds: int = 3) -> DataFrame:
-    """Weighted ridge with the strength chosen by cross-validation over hashed folds (M15): alpha, weighted r2 per fold mean.
-
-    Ties go to the first of the grid. The intercept is not penalised and features are not standardised.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    from .audit import weighted_r2
-
-    spark = rows.sparkSession
-    d = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).withColumn("_fold", (hash32(key) % folds).cast("int")).persist()
-    out = []
-    for i, alpha in enumerate(alphas):
-        scores = []
-        for f in range(folds):
-            train, test = d.where(F.col("_fold") != f), d.where(F.col("_fold") == f)
-            total = train.agg(F.sum(weight)).first()[0]
-            model = LinearRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=alpha / total, elasticNetParam=0.0, standardization=False, solver="normal").fit(train)
-            score = weighted_r2(model.transform(test).withColumn("_all", F.lit(1)), ["_all"], label, "prediction", weight).first()
-            scores.append(score.r2 if score and score.r2 is not None else float("-inf"))
-        out.append((i, float(alpha), sum(scores) / folds))
-    d.unpersist()
-    best = max(out, key=lambda r: (r[2], -r[0]))
-    return spark.createDataFrame([(a, s, i == best[0]) for i, a, s in out], "alpha double, mean_r2 double, chosen boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import reasons, short_id
+from .intervals import collapse_members
 
 BUCKET = ["gene_id", "modality", "evidence", "anchor_id"]
 
@@ -79,12 +80,44 @@ def gated_aggregate(routes: DataFrame, gates: DataFrame) -> DataFrame:
     return pre.join(gates, "gate_key_id").groupBy("cell_id", "edge_id", "column").agg(F.sum(F.col("gate") * F.col("v")).alias("value"))
 
 
-def injection_equivalence(routes: DataFrame) -> DataFrame:
-    """Groups of events with equal gene, modality, gate and per-edge sums (T8): group id, size and members."""
-    per = routes.groupBy("gene_id", "modality", "gate_key_id", "event_id", "edge_id").agg(F.round(F.sum(F.col("weight") * F.col("feature")), 9).alias("v"))
-    sig = per.groupBy("gene_id", "modality", "gate_key_id", "event_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "v"))).alias("sig"))
-    key = short_id("inj:", F.concat_ws("|", F.col("gene_id").cast("string"), "modality", F.col("gate_key_id").cast("string"), F.array_join(F.transform("sig", lambda x: F.concat_ws("=", x.edge_id.cast("string"), F.format_string("%.6f", x.v))), ";")))
-    return sig.groupBy(key.alias("group_id")).agg(F.count("*").alias("events"), F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("members"))
+def injection_signatures(routes: DataFrame) -> DataFrame:
+    """(gene_id, modality, gate_key_id, event_id, group_id): events of one group_id inject exactly the same.
+
+    The signature has the sum of weight * feature per edge and column, without zeros. A sum is added up in the order of
+    its route ids, so that it has the same bits for every partitioning, and is compared bit by bit, never rounded. An
+    event's routes on one edge are few, since capping bounds them.
+    """
+    term = F.struct("route_id", (F.col("weight") * F.col("feature")).alias("v"))
+    total = F.aggregate(F.array_sort(F.collect_list(term)), F.lit(0.0), lambda a, x: a + x.v)
+    key = ["gene_id", "modality", "gate_key_id", "event_id"]
+    per = routes.groupBy(*key, "edge_id", "column").agg(total.alias("v"))
+    # %a writes a double's bits; columns whose terms cancel are absent
+    part = F.when(F.col("v") != 0, F.struct("edge_id", "column", F.format_string("%a", "v").alias("v")))
+    sig = per.groupBy(*key).agg(F.to_json(F.array_sort(F.collect_list(part))).alias("sig"))
+    return sig.select(*key, short_id("inj:", F.to_json(F.struct(*key[:3], "sig"))).alias("group_id"))
+
+
+def injection_equivalence(signatures: DataFrame, events: DataFrame, least: int = 1, share: float = 0.0, strict: bool = True) -> DataFrame:
+    """Groups of events with equal signatures: size, relations of their members, and how they are attributed.
+
+    events: event_id, chrom, s, e, strand, factor, family, peak, open. `footprint` is identical (one interval),
+    overlapping (every two members of it share a position: on a line that is so if all of them do) or mixed; `families`
+    is open_only, mixed, same or distinct. Members that collapsing by these thresholds should have joined are an error,
+    or with strict=False a flag. Members are the rows of `signatures`; no list of them is gathered.
+    """
+    same = ["group_id", "factor", "family", "chrom", "strand", "peak"]
+    d = signatures.join(events, "event_id")
+    hits = d.select(*same, F.col("event_id").alias("hit_id"), "s", "e").where(~F.col("open"))
+    joined = collapse_members(hits, same, least, share).groupBy("group_id", "component").agg(F.count("*").alias("n"))
+    joined = joined.where("n > 1").select("group_id").distinct().withColumn("should_have_collapsed", F.lit(True))
+    one = lambda *cs: F.min(F.struct(*cs)) == F.max(F.struct(*cs))
+    footprint = F.when(one("chrom", "s", "e", "strand"), "identical").when(one("chrom", "strand") & (F.max("s") < F.min("e")), "overlapping").otherwise("mixed")
+    families = F.when(F.bool_and("open"), "open_only").when(F.bool_or("open"), "mixed").when(one("family"), "same").otherwise("distinct")
+    out = d.groupBy("group_id", "gene_id", "modality", "gate_key_id").agg(F.min("event_id").alias("representative"), F.count("*").alias("events"), footprint.alias("footprint"), families.alias("families"))
+    out = out.join(joined, "group_id", "left").withColumn("should_have_collapsed", F.coalesce("should_have_collapsed", F.lit(False)))
+    if strict:
+        out = out.withColumn("should_have_collapsed", F.when(F.col("should_have_collapsed"), F.raise_error(F.concat(F.lit("events that should have collapsed in "), "group_id")).cast("boolean")).otherwise(False))
+    return out.withColumn("policy", F.when(F.col("events") == 1, "single_event").otherwise("exact_set"))
 
 
 def selected_routes(routes: DataFrame, kind: str, value, groups: DataFrame | None = None) -> DataFrame:

@@ -79,8 +79,9 @@ def oracle(sql: str) -> str:
     body = plain(sql).strip()
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ctes},\n{body[len(start):]}"
     return f"WITH {ctes}\n{body}"
 
 

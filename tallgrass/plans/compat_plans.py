@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compat as cp
 from ..operators import design as ds
+from ..operators import regress
 from ..streaming.components import correlated_sets
 from .bindings import BINDINGS, query
 from .interval_plans import exon_paths
@@ -115,6 +116,21 @@ def c11(reads):
     return cp.classify_retained_intron(d, 4).select("read_id", "k", "start", "a", "ir_class")
 
 
+@query("c11_intron_evidence", "reads", """WITH m AS (SELECT DISTINCT read_id || '|' || k || '|' || start || '|' || a || '|' || flag AS molecule_id, k AS intron_id, flag, start AS s, start + a AS e, 100 * k + 20 AS i, 100 * k + 35 AS j, a FROM {reads}),
+b AS (SELECT *, greatest(0, least(e, i) - s) AS le, greatest(0, least(e, i + 8) - greatest(s, i)) AS li, greatest(0, least(e, j) - greatest(s, j - 7)) AS ri, greatest(0, e - greatest(s, j)) AS re, flag <> 'R' AS qc, a % 5 = 0 AS excising, a % 3 = 0 AS spliced, a % 7 = 0 AS mature FROM m),
+v AS (SELECT *, qc AND le >= 4 AND li >= 3 AS l, qc AND re >= 4 AND ri >= 3 AS r FROM b), n AS (SELECT *, CASE WHEN NOT qc THEN 'qc_failure' WHEN excising THEN 'excising_junction' WHEN l AND r THEN 'bilateral' WHEN l OR r THEN 'single_boundary' WHEN li > 0 OR ri > 0 THEN 'intron_only' ELSE 'no_boundary' END AS evidence FROM v)
+SELECT molecule_id, intron_id, evidence, evidence = 'bilateral' AS supported, qc AND evidence <> 'bilateral' AS censored, CASE WHEN spliced THEN 'processed_context' ELSE 'mature_or_nascent' END AS biogenesis, CASE WHEN evidence <> 'bilateral' THEN 'not_retained' WHEN mature THEN 'mature_by_protocol' WHEN spliced THEN 'processed_context' ELSE 'mature_or_nascent' END AS scope FROM n""")
+def c11_evidence(reads):
+    s, e, i, j = F.col("start"), F.col("start") + F.col("a"), 100 * F.col("k") + 20, 100 * F.col("k") + 35
+    d = reads.select(
+        F.concat_ws("|", *(F.col(c).cast("string") for c in ("read_id", "k", "start", "a", "flag"))).alias("molecule_id"), F.col("k").alias("intron_id"), (F.col("flag") != "R").alias("is_primary"), F.lit(False).alias("is_chimeric"), F.lit(60).alias("mapq"),
+        F.greatest(F.lit(0), F.least(e, i) - s).alias("left_exon"), F.greatest(F.lit(0), F.least(e, i + 8) - F.greatest(s, i)).alias("left_intron"),
+        F.greatest(F.lit(0), F.least(e, j) - F.greatest(s, j - 7)).alias("right_intron"), F.greatest(F.lit(0), e - F.greatest(s, j)).alias("right_exon"),
+        (F.col("a") % 5 == 0).alias("excising"), F.when(F.col("a") % 3 == 0, 1).otherwise(0).alias("other_junctions"), F.lit(1).alias("unspliced_introns"), (F.col("a") % 7 == 0).alias("mature"),
+    )
+    return cp.intron_evidence(d.distinct(), 20, 4, 3).select("molecule_id", "intron_id", "evidence", "supported", "censored", "biogenesis", "scope")
+
+
 @query("c12_rebuild_after_ir", "ec axis", """SELECT cell_id, e.gene_id, CASE WHEN mass % 2 = 0 THEN 'full' WHEN len(string_split(paths_key, ';')) = n_legal THEN 'full' ELSE 'informative' END AS fate, CASE WHEN mass % 2 = 0 THEN axis_key ELSE paths_key END AS paths FROM {ec} e JOIN {axis} a ON a.gene_id = e.gene_id""")
 def c12(ec, axis):
     legal = F.split("axis_key", ";")
@@ -156,9 +172,9 @@ def n5(context):
 def n6(context):
     d = design(context)
     twin = d.where(F.col("column") == "zone=1").withColumn("column", F.lit("zone_again"))
-    cells = ds.gram(d.unionByName(twin))
-    order = sorted({r.c1 for r in cells.select("c1").distinct().collect()})
-    return context.sparkSession.createDataFrame(ds.rank_closure(cells, order), "column string, status string")
+    d = d.unionByName(twin)
+    names = [r.column for r in d.select("column").distinct().limit(regress.MOST_COLUMNS + 1).collect()]
+    return regress.closed_columns(d, sorted(names), {n for n in names if n.startswith("factor=")})
 
 
 LONG = """l AS (SELECT event_id, gene_id, coalesce(factor, 'OPEN_ONLY') AS factor, 'kind' AS field, kind AS level FROM {context} UNION ALL SELECT event_id, gene_id, coalesce(factor, 'OPEN_ONLY'), 'zone', CAST(zone AS VARCHAR) FROM {context}),

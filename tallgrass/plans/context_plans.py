@@ -28,16 +28,20 @@ def x2(usage, members):
     return cx.entity_activity(usage, members, usage).withColumn("activity", F.round("activity", 6))
 
 
-KNN = """q AS (SELECT vec_id AS query_id, label AS stratum, embedding AS v FROM embeddings WHERE vec_id % 2 = 1), a AS (SELECT vec_id AS neighbor_id, label AS stratum, embedding AS av FROM embeddings WHERE vec_id % 2 = 0),
+KNN = """q AS (SELECT vec_id AS query_id, label AS stratum, embedding AS v FROM embeddings WHERE vec_id % 2 = 1), a AS (SELECT vec_id AS neighbor_id, label AS stratum, embedding AS av FROM embeddings WHERE vec_id % 2 = 0 QUALIFY count(*) OVER (PARTITION BY label) >= 5),
 d AS (SELECT query_id, q.stratum, neighbor_id, sqrt(list_sum(list_transform(range(1, len(v) + 1), lambda i: pow(CAST(v[i] AS DOUBLE) - CAST(av[i] AS DOUBLE), 2)))) AS distance FROM q JOIN a ON a.stratum = q.stratum),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) x WHERE rank <= 5),
 th AS (SELECT stratum, quantile_cont(distance, 0.99) AS lim, greatest(quantile_cont(distance, 0.5), 1e-6) AS temp FROM nn WHERE rank = 1 AND query_id % 5 > 0 GROUP BY 1),
 ww AS (SELECT query_id, nn.stratum, neighbor_id, distance, exp(-distance / temp) / sum(exp(-distance / temp)) OVER (PARTITION BY query_id) AS weight FROM nn JOIN th ON th.stratum = nn.stratum WHERE distance <= lim)"""
 
 
-def neighbours(embeddings):
+def knn_sides(embeddings):
     e = embeddings.select("vec_id", F.col("label").alias("stratum"), F.col("embedding").alias("v"))
-    return cx.knn_map(e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "neighbor_id"), 5, 64)
+    return e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "neighbor_id")
+
+
+def neighbours(embeddings):
+    return cx.knn_map(*knn_sides(embeddings), 5, 256)
 
 
 def weights(embeddings):
@@ -51,6 +55,17 @@ def x3(embeddings):
     return neighbours(embeddings).withColumn("distance", F.round("distance", 5))
 
 
+@query("x3_knn_strata", "embeddings", """WITH q AS (SELECT label AS stratum, count(*) AS queries, count(embedding) AS with_vector FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1), a AS (SELECT label AS stratum, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 AND embedding IS NOT NULL GROUP BY 1)
+SELECT q.stratum, queries, coalesce(n, 0) AS atlas_rows, CASE WHEN q.stratum IS NULL THEN 'no_stratum' WHEN coalesce(n, 0) < 30 THEN 'fewer_atlas_rows_than_k' WHEN with_vector < queries THEN 'queries_without_vector' END AS reason FROM q LEFT JOIN a ON a.stratum = q.stratum""")
+def x3_strata(embeddings):
+    return cx.knn_strata(*knn_sides(embeddings), 30)
+
+
+@query("x3_knn_pruning", "embeddings")
+def x3_pruning(embeddings):
+    return cx.knn_pruning(*knn_sides(embeddings), 5, 64)
+
+
 @query("x4_knn_threshold", "embeddings", f"WITH {KNN} SELECT stratum, round(lim, 5) AS limit_, round(temp, 5) AS temperature FROM th")
 def x4(embeddings):
     split = embeddings.select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 5 > 0, "train").otherwise("val").alias("split"))
@@ -140,13 +155,30 @@ def x12(usage, members, access, mass, split):
     return z.groupBy("cell_id").agg(F.count("*").alias("gates"), F.round(F.sum(F.abs("gate")), 3).alias("strength"), F.count_if("out_of_quantiles").alias("unusual"))
 
 
-@query("x13_gate_collinearity", f"{GATE_NEEDS} user_mass", f"""WITH {GATES}, m AS (SELECT raw.*, CAST(mass AS DOUBLE) AS w FROM raw JOIN {{user_mass}} x ON x.cell_id = raw.cell_id),
+@query("x13_gate_collinearity", f"{GATE_NEEDS} user_mass user_split", f"""WITH {GATES}, m AS (SELECT tr.gate_key_id, tr.cell_id, raw, w FROM tr JOIN fit ON fit.gate_key_id = tr.gate_key_id WHERE {ACTIVE}),
 p AS (SELECT a.gate_key_id AS gate_a, b.gate_key_id AS gate_b, sum(a.w) AS sw, sum(a.w * a.raw) AS sx, sum(a.w * b.raw) AS sy, sum(a.w * a.raw * a.raw) AS sxx, sum(a.w * b.raw * b.raw) AS syy, sum(a.w * a.raw * b.raw) AS sxy FROM m a JOIN m b ON a.cell_id = b.cell_id AND a.gate_key_id < b.gate_key_id GROUP BY 1, 2),
 r AS (SELECT gate_a, gate_b, (sxy / sw - sx * sy / sw / sw) / sqrt((sxx / sw - sx * sx / sw / sw) * (syy / sw - sy * sy / sw / sw)) AS r FROM p)
 SELECT gate_a, gate_b, round(r, 4) AS r, CASE WHEN abs(r) > 1 - 1e-9 THEN 'perfect' WHEN abs(r) >= 0.95 THEN 'near' ELSE 'distinct' END AS status FROM r""")
-def x13(usage, members, access, mass):
-    keys = gate_keys(members).withColumn("gene_id", F.lit("g"))
-    return cx.gate_collinearity(raw_table(usage, members, access), keys, mass).select("gate_a", "gate_b", F.round("r", 4).alias("r"), "status")
+def x13(usage, members, access, mass, split):
+    raw = raw_table(usage, members, access)
+    fit = cx.fit_gates(raw, mass, split, **NEEDS)
+    keys = gate_keys(members).withColumn("gene_id", F.lit("g")).join(fit.select("gate_key_id", "active"), "gate_key_id")
+    return cx.gate_collinearity(raw, keys, mass, split).select("gate_a", "gate_b", F.round("r", 4).alias("r"), "status")
+
+
+@query("x15_perturbed_gates", f"{GATE_NEEDS} user_mass user_split", f"""WITH {GATES}, cg AS (SELECT 'a' || cell_id AS change_id, cell_id, 'activity' AS kind, 'browse' AS src, 2.5::DOUBLE AS value FROM lib UNION ALL SELECT 'o' || cell_id, cell_id, 'access', '2', 0.5 FROM {{access}} WHERE peak_id = 2),
+t AS (SELECT change_id, cg.cell_id, k.gate_key_id, CASE WHEN k.ch = 'DNA' THEN value * CASE WHEN kind = 'activity' THEN c.access ELSE a.activity END ELSE value END AS raw FROM cg JOIN keys k ON (kind = 'activity' AND k.entity_id = src) OR (kind = 'access' AND CAST(k.peak_id AS VARCHAR) = src)
+ LEFT JOIN {{access}} c ON c.cell_id = cg.cell_id AND c.peak_id = k.peak_id LEFT JOIN act a ON a.cell_id = cg.cell_id AND a.entity_id = k.entity_id),
+z AS (SELECT change_id, cell_id, t.gate_key_id, raw, raw IS NOT NULL AS observed, {ACTIVE} AS active, CASE WHEN {ACTIVE} AND raw IS NOT NULL THEN (raw - mean) / sd ELSE 0 END AS gate, coalesce({ACTIVE} AND (raw < lo OR raw > hi), false) AS out_of_range, coalesce({ACTIVE} AND (raw < q05 OR raw > q95), false) AS out_of_quantiles FROM t JOIN fit ON fit.gate_key_id = t.gate_key_id)
+SELECT change_id, cell_id, gate_key_id, round(raw, 6) AS raw, round(gate, 4) AS gate, observed, active, out_of_range, out_of_quantiles,
+CASE WHEN bool_or(out_of_range OR out_of_quantiles) OVER (PARTITION BY change_id) THEN 'model_extrapolation' WHEN bool_or(NOT observed OR NOT active) OVER (PARTITION BY change_id) THEN 'missing_context' ELSE 'supported' END AS support FROM z""")
+def x15_gates(usage, members, access, mass, split):
+    """Every cell with its browsing activity set, and every cell with peak 2 with its accessibility set."""
+    act = cx.entity_activity(usage, members, usage)
+    fit = cx.fit_gates(cx.raw_gates(gate_keys(members), act, access), mass, split, **NEEDS)
+    change = lambda d, name, kind, source, value: d.select(F.concat(F.lit(name), "cell_id").alias("change_id"), "cell_id", F.lit(kind).alias("kind"), F.lit(source).alias("source_id"), F.lit(value).alias("value"))
+    changes = change(usage.select("cell_id").distinct(), "a", "activity", "browse", 2.5).unionByName(change(access.where("peak_id = 2"), "o", "access", "2", 0.5))
+    return cx.perturbed_gates(changes, gate_keys(members), act, access, fit).withColumns({"raw": F.round("raw", 6), "gate": F.round("gate", 4)})
 
 
 @query("x15_perturb_source", f"{GATE_NEEDS}", f"""WITH {GATES} SELECT gate_key_id, cell_id, round(raw, 6) AS raw FROM raw WHERE cell_id <> 7 OR NOT contains(gate_key_id, 'browse')

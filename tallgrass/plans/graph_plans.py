@@ -30,6 +30,27 @@ def g4(steps):
     return gr.validate_paths(steps)
 
 
+@query("g4_validate_graph", "steps", """WITH p AS (SELECT gene_id, path_id, count(*) + CASE WHEN path_id % 50 = 0 THEN 1 ELSE 0 END AS n_edges, arg_min(src, edge_order) AS a, arg_max(dst, edge_order) AS z, 'user' AS start, 'end' AS stop FROM {steps} GROUP BY 1, 2), n AS (SELECT 'user' AS node, 1 AS pos UNION ALL SELECT 'assistant', 2 UNION ALL SELECT 'end', 3),
+v AS (SELECT gene_id, path_id, 'n_edges_differ' AS violation, 1 AS rows FROM p WHERE path_id % 50 = 0 UNION ALL SELECT gene_id, path_id, 'wrong_start', 1 FROM p WHERE a <> 'user' UNION ALL SELECT gene_id, path_id, 'wrong_end', 1 FROM p WHERE z <> 'end'
+UNION ALL SELECT gene_id, path_id, 'unknown_node', count(*) FROM steps_ LEFT JOIN n a ON a.node = src LEFT JOIN n b ON b.node = dst WHERE a.pos IS NULL OR b.pos IS NULL GROUP BY 1, 2
+UNION ALL SELECT gene_id, path_id, 'against_strand', count(*) FROM steps_ JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE b.pos < a.pos GROUP BY 1, 2 UNION ALL SELECT gene_id, path_id, 'bad_coincidence', count(*) FROM steps_ JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE b.pos = a.pos GROUP BY 1, 2
+UNION ALL SELECT gene_id, path_id, 'repeated_edge', CAST(sum(k) AS BIGINT) FROM (SELECT gene_id, path_id, src, dst, count(*) AS k FROM {steps} GROUP BY 1, 2, 3, 4 HAVING count(*) > 1) x GROUP BY 1, 2) SELECT * FROM v""".replace("steps_", "{steps}"))
+def g4_graph(steps):
+    """Roles as nodes at places 1 to 3: turns that go back are against the strand, and every fiftieth path declares one edge more."""
+    nodes = steps.select("gene_id").distinct().select("gene_id", F.explode(F.create_map(F.lit("user"), F.lit(1), F.lit("assistant"), F.lit(2), F.lit("end"), F.lit(3))).alias("node_id", "pos")).withColumn("node_type", F.lit("donor"))
+    edges = steps.select("gene_id", "edge_id", "src", "dst", F.lit("SPLICE").alias("edge_type"), F.lit(1).alias("span")).distinct()
+    paths = steps.groupBy("gene_id", "path_id").agg((F.count("*") + F.when(F.col("path_id") % 50 == 0, 1).otherwise(0)).alias("n_edges")).withColumns({"strand": F.lit("+"), "start": F.lit("user"), "end": F.lit("end")})
+    return gr.validate_graph(nodes, edges, paths, steps)
+
+
+@query("g8_edge_features", "exons", None)
+def g8_edges(exons):
+    _, edges, steps = gr.compile_graph(exon_paths(exons).withColumn("strand", F.lit("+")))
+    spans = gr.path_spans(steps, edges).groupBy("gene_id").agg(F.sum("log_span").alias("spans"), F.max("log_length").alias("longest"))
+    per = gr.edge_features(edges, ["SPLICE", "RETAINED_INTRON", "EXON_CONTINUATION"]).groupBy("gene_id").agg(F.sum("is_splice").alias("splices"), F.sum("is_retained_intron").alias("retained"), F.sum("log_length").alias("log_length"))
+    return per.join(spans, "gene_id")
+
+
 SEQ = "s AS (SELECT gene_id, path_id, string_agg(edge_id, ',' ORDER BY edge_order) AS edges FROM {steps} GROUP BY 1, 2)"
 
 
@@ -94,6 +115,14 @@ def f5(ec, axis, patterns, paths):
     return idf.classify_heldout(keyed(held), idf.observational_groups(keyed(patterns), paths))
 
 
+@query("f5_cell_support", "ec_fates axis patterns paths")
+def f5_cells(ec, axis, patterns, paths):
+    held = keyed(ec.where("split <> 'train'").join(axis.select("gene_id", "n_legal"), "gene_id"))
+    groups = idf.observational_groups(keyed(patterns), paths)
+    index = idf.augmented_rank(keyed(patterns), groups)
+    return idf.cell_support(held, groups, index)
+
+
 @query("f6_endpoint_choices", "steps", """WITH p AS (SELECT gene_id, CAST(path_id AS VARCHAR) AS path_id, arg_min(edge_id, edge_order) AS first_edge FROM {steps} GROUP BY 1, 2), a AS (SELECT gene_id, first_edge, string_agg(path_id, ',' ORDER BY path_id) AS paths, count(*) AS n_paths FROM p GROUP BY 1, 2)
 SELECT *, count(*) OVER (PARTITION BY gene_id) AS alternatives FROM a QUALIFY count(*) OVER (PARTITION BY gene_id) >= 2""")
 def f6(steps):
@@ -117,6 +146,17 @@ def f9(alternatives):
     return idf.contrasts(alternatives)
 
 
+@query("f9_estimable_contrasts", "patterns paths")
+def f9_estimable(patterns, paths):
+    """A choice per gene between the first words of its paths; the last word is the context."""
+    words = F.split(F.substring_index("path_id", "|", -1), " ")
+    p = paths.withColumns({"choice_id": F.concat(F.lit("choice:"), "gene_id"), "alternative_id": words[0], "context": F.element_at(words, -1), "eligible": F.lit(True)})
+    alternatives = p.groupBy("gene_id", "choice_id", "alternative_id").agg(F.collect_set("path_id").alias("paths"))
+    pairs = idf.subset_contrasts(alternatives, p)
+    out = idf.estimable_contrasts(pairs, keyed(patterns), idf.observational_groups(keyed(patterns), paths))
+    return out.withColumns({c: F.array_join(c, ";") for c in ("paths_a", "paths_b", "crossing")})
+
+
 SUPPORT = f"""{PAIRS}, k AS (SELECT DISTINCT cell_id, gene_id FROM {{molecules}}), m AS (SELECT cell_id, gene_id, donor_id || qc_pass AS alternative_id, CAST(sum(n) AS BIGINT) AS mass FROM {{molecules}} GROUP BY 1, 2, 3),
 h AS (SELECT k.cell_id, k.gene_id, choice_id, a, b, coalesce(x.mass, 0) AS mass_a, coalesce(y.mass, 0) AS mass_b FROM k JOIN c ON c.gene_id = k.gene_id LEFT JOIN m x ON x.cell_id = k.cell_id AND x.gene_id = k.gene_id AND x.alternative_id = a LEFT JOIN m y ON y.cell_id = k.cell_id AND y.gene_id = k.gene_id AND y.alternative_id = b),
 t AS (SELECT *, CASE WHEN mass_a > 0 AND mass_b > 0 THEN 'both' WHEN mass_a > 0 OR mass_b > 0 THEN 'one' ELSE 'none' END AS tier FROM h)"""

@@ -94,6 +94,36 @@ def i9(x):
     return iv.collapse_overlaps(x.withColumnsRenamed({"event_id": "hit_id", "value": "quality"}), ["user_id"])
 
 
+def i9_sql(least: int, share: float, rest: str) -> str:
+    """All pairs of a bucket, components by recursion, and the representative's rule."""
+    return f"""WITH RECURSIVE h AS (SELECT event_id AS hit_id, user_id, s, e, CASE WHEN event_id % 3 > 0 THEN value END AS quality, event_id % 7 AS local_rank, event_id % 2 AS priority, event_type AS motif_id, value > 1 AS valid FROM {{intervals}}),
+l AS (SELECT x.hit_id AS a, y.hit_id AS b FROM h x JOIN h y ON x.user_id = y.user_id AND x.hit_id <> y.hit_id AND x.s < y.e AND y.s < x.e WHERE least(x.e, y.e) - greatest(x.s, y.s) >= {least}
+  AND (least(x.e, y.e) - greatest(x.s, y.s)) / CAST(greatest(x.e - x.s, y.e - y.s) AS DOUBLE) >= {share}),
+r AS (SELECT hit_id, hit_id AS root FROM h UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.hit_id),
+m AS (SELECT h.*, c.component FROM h JOIN (SELECT hit_id, min(root) AS component FROM r GROUP BY 1) c ON c.hit_id = h.hit_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY quality IS NULL, -quality, CASE WHEN quality IS NULL THEN local_rank END, priority, s, e, motif_id, hit_id) AS k FROM m),
+v AS (SELECT component, min(s) AS from_s, max(e) AS to_e, count(*) AS n_hits, count(DISTINCT motif_id) AS n_motifs, bool_and(valid) AS valid FROM m GROUP BY 1),
+w AS (SELECT 'event:' || substr(sha256(concat_ws('|', user_id, s, e)), 1, 24) AS event_id, user_id, hit_id AS representative, s, e, motif_id, from_s, to_e, n_hits, n_motifs, v.valid, v.component FROM b JOIN v ON v.component = b.component WHERE k = 1)
+{rest}"""
+
+
+def i9_hits(x):
+    quality = F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("quality")
+    return x.select(F.col("event_id").alias("hit_id"), "user_id", "s", "e", quality, (F.col("event_id") % 7).alias("local_rank"), (F.col("event_id") % 2).alias("priority"), F.col("event_type").alias("motif_id"), (F.col("value") > 1).alias("valid"))
+
+
+@query("i9_collapse_share", "intervals", i9_sql(5, 0.5, "SELECT event_id, user_id, representative, s, e, motif_id, from_s, to_e, n_hits, n_motifs, valid FROM w"))
+def i9_share(x):
+    return iv.collapse_hits(iv.collapse_members(i9_hits(x), ["user_id"], 5, 0.5), ["user_id"]).drop("component")
+
+
+@query("i9_provenance", "intervals", i9_sql(20 * HOUR // 60, 0.0, "SELECT w.event_id, m.hit_id, m.s, m.e FROM m JOIN w ON w.component = m.component"))
+def i9_provenance(x):
+    """The hits of every event that overlaps by twenty minutes make."""
+    members = iv.collapse_members(i9_hits(x), ["user_id"], 20 * HOUR // 60)
+    return members.join(iv.collapse_hits(members, ["user_id"]).select("event_id", "component"), "component").select("event_id", "hit_id", "s", "e")
+
+
 @query("i10_open_hits", "intervals", f"SELECT user_id, event_type, s - s % {24 * HOUR} AS day, count(*) AS n_peaks, max(value) AS support, min(event_id) AS peak_id FROM {{intervals}} GROUP BY 1, 2, 3")
 def i10(x):
     day = (F.col("s") - F.col("s") % (24 * HOUR)).alias("day")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import identify as idf
 from ..operators import intervals as iv
-from ..operators import metrics, split
+from ..operators import metrics, regress, split
 from ..sources.shared import cut
 from .bindings import query
 from .interval_plans import exon_paths
@@ -67,5 +67,12 @@ def m13(logits, ec, counts):
 
 @query("m15_ridge_diagnostics", "lineitem")
 def m15(lineitem):
-    d = lineitem.select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), (F.col("l_tax") + 0.1).alias("w"), "l_orderkey")
-    return metrics.ridge_diagnostics(d, ["q", "d"], "y", "w", "l_orderkey", [0.1, 10.0, 1e6])
+    """Nuisance columns alone, and with those of the state, on the same rows, folds and strengths."""
+    d = lineitem.select(
+        F.col("l_extendedprice").alias("y"), (F.col("l_tax") + 0.1).alias("w"), "l_orderkey", F.log1p("l_tax").alias("log_mass"), F.col("l_linenumber").alias("rows"),
+        F.col("l_returnflag").alias("gene_group"), F.col("l_linestatus").alias("donor"), F.month("l_shipdate").alias("stage"), F.col("l_quantity").alias("pc1"), F.col("l_discount").alias("pc2"),
+    )
+    nuisance = (["log_mass", "rows"], ["gene_group", "donor"])
+    state = ([*nuisance[0], "pc1", "pc2"], [*nuisance[1], "stage"])
+    fits = regress.ridge_designs(d, {"nuisance": nuisance, "state": state}, "y", "w", "l_orderkey", [0.1, 10.0, 1e6])
+    return regress.ridge_report(fits, lineitem.sparkSession)

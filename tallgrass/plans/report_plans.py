@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts
+from ..operators import contracts, regress
+from ..operators import matched as mt
 from ..operators import reports as rp
 from .bindings import BINDINGS, query
 
@@ -15,22 +16,26 @@ BINDINGS |= {
         FROM {cents}, (VALUES (1), (2), (3)) v(s), (SELECT CAST(x * 10 + y AS INT) AS b FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) d(x), (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) e(y)) p GROUP BY 1, 2""",
     "paired": "SELECT s AS seed, sum(cents * (HASH(s || '|' || k) % 3)) / CAST(100 * count(*) AS DOUBLE) AS gain FROM {cents}, (VALUES (1), (2), (3)) v(s) GROUP BY 1",
     "genes": "SELECT p_brand AS gene_id, (HASH(p_brand) % 1000) / CAST(1000 AS DOUBLE) * CASE WHEN HASH(p_brand) % 5 = 0 THEN 0 ELSE 1 END AS dtu, avg(p_retailprice) / 1000 AS a, avg(p_size) / 20 AS b, CAST(count(*) AS BIGINT) AS mass FROM {part} GROUP BY p_brand",
+    "readouts": """SELECT s AS seed, v AS model, c_custkey AS cell_id, c_nationkey AS gene_id, c_mktsegment AS segment, CAST(c_custkey % 5 + 1 AS DOUBLE) AS mass, (HASH(s || v || c_custkey) % 1000) / CAST(250 AS DOUBLE) + CASE v WHEN 'edge' THEN 0.2 ELSE 0 END AS nll_sum,
+        (HASH('c' || s || v || c_custkey) % 1000) / CAST(1009 AS DOUBLE) AS calibration, CASE WHEN c_custkey % 7 > 0 THEN (HASH('m' || s || v || c_custkey) % 1000) / CAST(1009 AS DOUBLE) END AS agreement FROM {customer}, (VALUES (1), (2), (3)) y(s), (VALUES ('path'), ('edge')) z(v)""",
+    "gene_bins": "SELECT n_nationkey AS gene_id, 'region' AS stratifier, 'r' || n_regionkey AS bin, n_regionkey AS bin_order FROM {nation} UNION ALL SELECT n_nationkey, 'name', CASE WHEN length(n_name) > 6 THEN 'long' ELSE 'short' END, CASE WHEN length(n_name) > 6 THEN 1 ELSE 0 END FROM {nation}",
+    "effects": "SELECT 'path' AS model, p_partkey AS cell_id, p_size AS gene_id, 'r' || p_partkey AS record_id, p_retailprice - 1400 AS median, p_size / CAST(10 AS DOUBLE) AS iqr, p_size / CAST(50 AS DOUBLE) AS dispersion, CASE WHEN p_partkey % 3 = 0 THEN 'mixed' ELSE 'consistent' END AS direction, CASE WHEN p_size > 25 THEN 'dispersed' ELSE 'stable' END AS magnitude, p_partkey % 11 > 0 AS is_primary FROM {part}",
 }
 
 
 @query("r1_permutations", "cells", """WITH n AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY cell_id) AS k FROM {cells}),
-p AS (SELECT stratum, cell_id, k, b AS permutation FROM n, range(0, 5) r(b) WHERE n >= 20), h AS (SELECT stratum, permutation, cell_id AS source, row_number() OVER (PARTITION BY stratum, permutation ORDER BY HASH(permutation || '|' || stratum || '|' || cell_id), cell_id) AS k FROM p)
+p AS (SELECT stratum, cell_id, k, b AS permutation FROM n, range(0, 100) r(b) WHERE n >= 20), h AS (SELECT stratum, permutation, cell_id AS source, row_number() OVER (PARTITION BY stratum, permutation ORDER BY HASH(permutation || '|' || stratum || '|' || cell_id), cell_id) AS k FROM p)
 SELECT p.stratum, p.permutation, p.cell_id AS target, h.source FROM p JOIN h ON h.stratum = p.stratum AND h.permutation = p.permutation AND h.k = p.k""")
 def r1(cells):
-    return rp.permutation_assignments(cells, 5)
+    return rp.permutation_assignments(cells, 100)
 
 
 @query("r2_apply_permutation", "cells customer", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY cell_id) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM {cells}),
-p AS (SELECT stratum, cell_id, k, b AS permutation FROM n, range(0, 2) r(b) WHERE n >= 20), h AS (SELECT stratum, permutation, cell_id AS source, row_number() OVER (PARTITION BY stratum, permutation ORDER BY HASH(permutation || '|' || stratum || '|' || cell_id), cell_id) AS k FROM p)
+p AS (SELECT stratum, cell_id, k, b AS permutation FROM n, range(0, 100) r(b) WHERE n >= 20), h AS (SELECT stratum, permutation, cell_id AS source, row_number() OVER (PARTITION BY stratum, permutation ORDER BY HASH(permutation || '|' || stratum || '|' || cell_id), cell_id) AS k FROM p)
 SELECT p.permutation, p.cell_id, c_acctbal FROM p JOIN h ON h.stratum = p.stratum AND h.permutation = p.permutation AND h.k = p.k JOIN customer ON c_custkey = source""")
 def r2(cells, customer):
     v = customer.select(F.col("c_custkey").alias("cell_id"), "c_acctbal")
-    return rp.apply_permutation(v, rp.permutation_assignments(cells, 2)).select("permutation", "cell_id", "c_acctbal")
+    return rp.apply_permutation(v, rp.permutation_assignments(cells, 100)).select("permutation", "cell_id", "c_acctbal")
 
 
 @query("r3_aggregate_null", "nulls paired", """WITH m AS (SELECT permutation, quantile_cont(gain, 0.5) AS gain FROM {nulls} GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY gain) AS k, count(*) OVER () AS n FROM m)
@@ -72,7 +77,7 @@ def r7(seeded):
 @query("r8_manifest_coverage", "orders", """SELECT CASE grouping_id(o_orderstatus, o_orderpriority) WHEN 3 THEN 'global' WHEN 1 THEN 'o_orderstatus' ELSE 'o_orderpriority' END AS stratum_type, coalesce(o_orderstatus, o_orderpriority, '') AS stratum_values,
 count(*) AS eligible, count(*) FILTER (o_custkey % 3 = 0) AS selected, round(count(*) FILTER (o_custkey % 3 = 0) / CAST(count(*) AS DOUBLE), 6) AS share FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))""")
 def r8(orders):
-    out = rp.manifest_coverage(orders, orders.where("o_custkey % 3 = 0"), ["o_orderkey"], [[], ["o_orderstatus"], ["o_orderpriority"]])
+    out = mt.checked_coverage(orders, orders.where("o_custkey % 3 = 0").select("o_orderkey"), ["o_orderkey"], [[], ["o_orderstatus"], ["o_orderpriority"]])
     return out.withColumns({"stratum_values": F.array_join("stratum_values", ","), "share": F.round("share", 6)})
 
 
@@ -84,6 +89,69 @@ def r9(seeded):
     return out.select("stratum", F.round("least_gain", 4).alias("least_gain"), F.round("mean_gain", 4).alias("mean_gain"), "claim")
 
 
+READOUTS = """x AS (SELECT 'overall' AS axis, 'overall' AS level, * FROM {readouts} UNION ALL SELECT 'segment', segment, * FROM {readouts}), o AS (SELECT seed, axis, level, sum(nll_sum) FILTER (model = 'path') / sum(mass) FILTER (model = 'path') AS nll_a, sum(nll_sum) FILTER (model = 'edge') / sum(mass) FILTER (model = 'edge') AS nll_b,
+avg(calibration) FILTER (model = 'path') AS calibration_a, avg(calibration) FILTER (model = 'edge') AS calibration_b, sum(calibration * mass) FILTER (model = 'path') / sum(mass) FILTER (model = 'path') AS wa, sum(calibration * mass) FILTER (model = 'edge') / sum(mass) FILTER (model = 'edge') AS wb,
+count(*) FILTER (model = 'path') AS rows, sum(mass) FILTER (model = 'path') AS mass FROM x GROUP BY 1, 2, 3)"""
+
+
+@query("r9_compare_readouts", "readouts", f"""WITH {READOUTS} SELECT seed, axis, level, round(nll_a, 6) AS nll_a, round(nll_b, 6) AS nll_b, round(calibration_a, 6) AS calibration_a, round(calibration_b, 6) AS calibration_b, round(wa, 6) AS weighted_calibration_a, round(wb, 6) AS weighted_calibration_b, rows, mass, round(nll_b - nll_a, 6) AS gain FROM o""")
+def r9_readouts(readouts):
+    out = mt.compare_readouts(readouts.withColumn("ec_id", F.lit("e")), "path", "edge", ["segment"])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith(("nll", "cal", "wei", "gain"))})
+
+
+@query("r9_readout_claim", "readouts", f"WITH {READOUTS} SELECT count(*) AS seeds, round(min(nll_b - nll_a), 6) AS least_gain, round(avg(nll_b - nll_a), 6) AS mean_gain, bool_and(nll_b - nll_a > 0.01) AS claim FROM o WHERE axis = 'overall'")
+def r9_claim(readouts):
+    out = mt.readout_claim(mt.compare_readouts(readouts.withColumn("ec_id", F.lit("e")), "path", "edge", ["segment"]), 0.01)
+    return out.withColumns({c: F.round(c, 6) for c in ("least_gain", "mean_gain")})
+
+
+@query("r6_state_contrasts", "seeded", """WITH p AS (SELECT * FROM (SELECT DISTINCT stratum FROM {seeded}) s, (VALUES ('even', 'odd'), ('even', 'none')) v(state_a, state_b)), d AS (SELECT *, CASE WHEN size % 2 = 0 THEN 'even' ELSE 'odd' END AS state FROM {seeded}),
+m AS (SELECT stratum, state, seed, quantile_cont(value, 0.5) AS m, count(*) AS cells FROM d GROUP BY 1, 2, 3), c AS (SELECT p.stratum, state_a, state_b, max(coalesce(a.cells, 0)) AS cells_a, max(coalesce(b.cells, 0)) AS cells_b, list(a.m - b.m ORDER BY a.seed) AS ds FROM p LEFT JOIN m a ON a.stratum = p.stratum AND a.state = state_a LEFT JOIN m b ON b.stratum = p.stratum AND b.state = state_b AND b.seed = a.seed GROUP BY 1, 2, 3),
+q AS (SELECT *, least(cells_a, cells_b) >= 8 AS enough, list_aggregate(ds, 'quantile_cont', 0.5) AS med, list_aggregate(ds, 'quantile_cont', 0.75) - list_aggregate(ds, 'quantile_cont', 0.25) AS iqr, list_min(ds) > 0.001 OR list_max(ds) < -0.001 AS one FROM c)
+SELECT stratum, state_a, state_b, cells_a, cells_b, CASE WHEN enough THEN round(med, 6) END AS median, CASE WHEN enough THEN round(iqr / greatest(abs(med), 0.05), 6) END AS dispersion, CASE WHEN NOT enough THEN 'not_estimable' WHEN NOT one THEN 'direction_not_stable' WHEN abs(med) < 0.05 THEN 'below_floor' WHEN iqr / greatest(abs(med), 0.05) > 0.5 THEN 'magnitude_not_stable' ELSE 'stable' END AS status FROM q""")
+def r6_states(seeded):
+    d = seeded.select("stratum", "seed", F.col("record").alias("cell_id"), F.when(F.col("size") % 2 == 0, "even").otherwise("odd").alias("state"), "value")
+    out = mt.state_contrasts(d, ["stratum"], [("even", "odd"), ("even", "none")], 8, 0.001, 0.05, 0.5)
+    return out.drop("contrasts").withColumns({c: F.round(c, 6) for c in ("median", "dispersion")})
+
+
+@query("r10_prediction_strata", "readouts nation", """WITH x AS (SELECT r.*, CAST(n_regionkey AS VARCHAR) AS region FROM {readouts} r JOIN nation ON n_nationkey = gene_id) SELECT model, seed, 'region' AS axis, region AS level, count(*) AS rows, count(DISTINCT gene_id) AS genes, sum(mass) AS mass, round(sum(nll_sum) / sum(mass), 6) AS nll, round(avg(calibration), 6) AS mean_calibration FROM x GROUP BY 1, 2, 4""")
+def r10_prediction(readouts, nation):
+    strata = nation.select(F.col("n_nationkey").alias("gene_id"), F.col("n_regionkey").alias("region"))
+    return mt.prediction_strata(readouts, strata, ["region"], ["calibration"]).withColumns({"nll": F.round("nll", 6), "mean_calibration": F.round("mean_calibration", 6)})
+
+
+@query("r11_attribution_strata", "effects", """WITH x AS (SELECT *, CASE WHEN gene_id <= 10 THEN 'small' ELSE 'large' END AS level FROM {effects} WHERE is_primary) SELECT model, 'burden' AS axis, level, count(*) AS records, count(DISTINCT (cell_id, gene_id)) AS cell_genes, count(*) FILTER (direction = 'consistent') AS direction_stable, count(*) FILTER (magnitude = 'stable') AS magnitude_stable,
+round(quantile_cont(abs(median), 0.5), 6) AS median_size, round(quantile_cont(iqr, 0.5), 6) AS median_iqr, round(quantile_cont(dispersion, 0.5), 6) AS median_dispersion FROM x GROUP BY 1, 3""")
+def r11_attribution(effects):
+    strata = effects.select("gene_id").distinct().withColumn("burden", F.when(F.col("gene_id") <= 10, "small").otherwise("large"))
+    out = mt.attribution_strata(effects.withColumnRenamed("is_primary", "primary"), strata, ["burden"])
+    return out.withColumns({c: F.round(c, 6) for c in ("median_size", "median_iqr", "median_dispersion")})
+
+
+SENSITIVITY = """v AS (SELECT model, seed, gene_id, gene_id % 3 = 0 AS high, mass AS total, 'agreement' AS metric, agreement AS v FROM {readouts} UNION ALL SELECT model, seed, gene_id, gene_id % 3 = 0, mass, 'calibration', calibration FROM {readouts}),
+g AS (SELECT * FROM (SELECT DISTINCT model, seed FROM v) a, (SELECT DISTINCT stratifier, bin, bin_order FROM {gene_bins}) b, (VALUES (true), (false)) h(high), (VALUES ('agreement'), ('calibration')) m(metric)),
+o AS (SELECT model, seed, stratifier, bin, high, metric, count(DISTINCT v.gene_id) AS genes, count(*) AS rows, sum(total) AS mass, count(v) AS defined, avg(v) AS macro, sum(v * total) / sum(total) FILTER (v IS NOT NULL) AS weighted FROM v JOIN {gene_bins} b ON b.gene_id = v.gene_id GROUP BY 1, 2, 3, 4, 5, 6),
+e AS (SELECT g.*, coalesce(genes, 0) AS genes, coalesce(rows, 0) AS rows, coalesce(mass, 0) AS mass, coalesce(defined, 0) AS defined, macro, weighted FROM g LEFT JOIN o ON o.model = g.model AND o.seed = g.seed AND o.stratifier = g.stratifier AND o.bin = g.bin AND o.high = g.high AND o.metric = g.metric),
+s AS (SELECT * EXCLUDE (macro, weighted), 'macro' AS aggregation, macro AS value FROM e UNION ALL SELECT * EXCLUDE (macro, weighted), 'weighted', weighted FROM e)"""
+
+
+def sensitivity(readouts, bins):
+    d = readouts.select("model", "seed", "cell_id", "gene_id", (F.col("gene_id") % 3 == 0).alias("high"), F.col("mass").alias("total"), "agreement", "calibration")
+    return mt.seed_sensitivity(d, bins, ["agreement", "calibration"])
+
+
+@query("r13_seed_sensitivity", "readouts gene_bins", f"WITH {SENSITIVITY} SELECT model, seed, stratifier, bin, bin_order, high, metric, genes, rows, mass, defined, aggregation, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'not_estimable' ELSE 'estimable' END AS status FROM s")
+def r13_seeds(readouts, bins):
+    return sensitivity(readouts, bins).withColumn("value", F.round("value", 6))
+
+
+@query("r13_across_seeds", "readouts gene_bins", f"""WITH {SENSITIVITY} SELECT model, stratifier, bin, bin_order, high, metric, aggregation, count(*) AS seeds, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(max(value) - min(value), 6) AS range, min(genes) AS genes, min(rows) AS rows, min(mass) AS mass, min(defined) AS defined, CASE WHEN count(value) < count(*) THEN 'not_estimable' ELSE 'estimable' END AS status FROM s GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+def r13_across(readouts, bins):
+    return mt.across_seeds(sensitivity(readouts, bins)).withColumns({c: F.round(c, 6) for c in ("mean", "sd", "range")})
+
+
 @query("r10_axis_strata", "seeded", """WITH l AS (SELECT 'stratum' AS axis, stratum AS level, * EXCLUDE (stratum) FROM {seeded} UNION ALL SELECT 'size', CAST(size AS VARCHAR), * EXCLUDE (stratum) FROM {seeded})
 SELECT axis, level, seed, count(*) AS rows, round(sum(value * weight) / sum(weight), 8) AS ratio, round(avg(value), 8) AS mean_value FROM l GROUP BY 1, 2, 3""")
 def r10(seeded):
@@ -128,11 +196,18 @@ def r15(genes):
     return out.select("stratum", "genes", *(F.round(c, 6).alias(c) for c in ("macro_gap", "weighted_gap", "mass_share")))
 
 
-@query("r16_bootstrap_ci", "supplier", """WITH d AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), w AS (SELECT rep, HASH('5|' || rep || '|' || i) % n AS j FROM d, range(0, 200) r(rep)),
+@query("r16_bootstrap_ci", "supplier", """WITH d AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), w AS (SELECT rep, HASH('5|' || rep || '|' || i) % n AS j FROM d, range(0, 4000) r(rep)),
 m AS (SELECT rep, avg(x) AS m FROM w JOIN d ON d.i = w.j GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi, round((SELECT avg(x) FROM d), 4) AS mean, quantile_cont(m, 0.025) > 0 OR quantile_cont(m, 0.975) < 0 AS significant FROM m""")
 def r16(supplier):
     d = contracts.numbered(supplier.select("s_suppkey", "s_acctbal"), ["s_suppkey"])
-    return rp.bootstrap_ci(d, "s_acctbal", 200, 5).select(*(F.round(c, 4).alias(c) for c in ("lo", "hi", "mean")), "significant")
+    return rp.bootstrap_ci(d, "s_acctbal", 4000, 5).select(*(F.round(c, 4).alias(c) for c in ("lo", "hi", "mean")), "significant")
+
+
+@query("r16_resampled_intervals", "part")
+def r16_ratio(part):
+    """4,000 resamples of all parts: the mean of price differences, and a ratio of sums."""
+    d = part.select("p_partkey", (F.col("p_retailprice") - 1400).alias("delta"), (F.col("p_size") - 25).alias("contrib"), F.col("p_size").alias("mass"))
+    return regress.resampled_intervals(contracts.numbered(d, ["p_partkey"]), "delta", "contrib", "mass")
 
 
 @query("r17_epoch_join", "events", """WITH d AS (SELECT CAST(date_diff('day', TIMESTAMP '2000-01-01', date_trunc('day', ts)) AS INTEGER) AS epoch, avg(value) FILTER (event_type = 'view') AS m, count(*) FILTER (event_type = 'view') AS rate, avg(value) FILTER (event_type = 'click') AS mb FROM events GROUP BY 1)

@@ -91,11 +91,29 @@ def t7(x, regions):
     return rt.gated_aggregate(weighted(x, regions), gate_table(x)).select("cell_id", "edge_id", F.col("column").alias("col"), F.round("value", 6).alias("value"))
 
 
-@query("t8_injection_equivalence", "intervals regions", f"""WITH {WEIGHTED}, p AS (SELECT gene_id, modality, event_id, edge_id, sum(weight * 1.0) AS v FROM w GROUP BY 1, 2, 3, 4),
-s AS (SELECT gene_id, modality, event_id, string_agg(edge_id || '=' || printf('%.6f', v), ';' ORDER BY edge_id) AS sig FROM p GROUP BY 1, 2, 3)
-SELECT 'inj:' || substr(sha256(gene_id || '|' || modality || '|' || gene_id || '|' || sig), 1, 24) AS group_id, count(*) AS events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS members FROM s GROUP BY 1""")
+SIGNATURES = f"""WITH {WEIGHTED}, p AS (SELECT gene_id, modality, event_id, edge_id, col, list_reduce(list(weight * CAST(feature AS DOUBLE) ORDER BY route_id), lambda a, b: a + b) AS v FROM w GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT gene_id, modality, event_id, list({{'e': edge_id, 'c': col, 'v': v}} ORDER BY edge_id, col) FILTER (v <> 0) AS sig FROM p GROUP BY 1, 2, 3),
+m AS (SELECT event_id, gene_id, modality, min(event_id) OVER (PARTITION BY gene_id, modality, sig) AS representative FROM s),
+f AS (SELECT m.*, i.user_id AS chrom, i.s, i.e, event_type AS family, event_type = 'view' AS open FROM m JOIN {{intervals}} i ON i.event_id = m.event_id)"""
+
+
+def injected(x, regions):
+    return rt.injection_signatures(weighted(x, regions))
+
+
+@query("t8_injection_equivalence", "intervals regions", f"""{SIGNATURES}, cz AS (SELECT DISTINCT a.representative FROM f a JOIN f b ON a.representative = b.representative AND a.family = b.family AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e WHERE NOT a.open)
+SELECT gene_id, modality, f.representative, count(*) AS events, CASE WHEN min(s) = max(s) AND min(e) = max(e) THEN 'identical' WHEN max(s) < min(e) THEN 'overlapping' ELSE 'mixed' END AS footprint,
+CASE WHEN bool_and(open) THEN 'open_only' WHEN bool_or(open) THEN 'mixed' WHEN min(family) = max(family) THEN 'same' ELSE 'distinct' END AS families, max(cz.representative) IS NOT NULL AS should_have_collapsed,
+CASE WHEN count(*) = 1 THEN 'single_event' ELSE 'exact_set' END AS policy FROM f LEFT JOIN cz ON cz.representative = f.representative GROUP BY 1, 2, 3""")
 def t8(x, regions):
-    return rt.injection_equivalence(weighted(x, regions).withColumn("feature", F.lit(1.0)))
+    events = x.select("event_id", F.col("user_id").alias("chrom"), "s", "e", F.lit("+").alias("strand"), F.lit("").alias("factor"), F.col("event_type").alias("family"), F.lit("").alias("peak"), (F.col("event_type") == "view").alias("open"))
+    return rt.injection_equivalence(injected(x, regions), events, strict=False).drop("group_id", "gate_key_id")
+
+
+@query("t8_injection_members", "intervals regions", f"{SIGNATURES} SELECT event_id, representative FROM m")
+def t8_members(x, regions):
+    d = injected(x, regions)
+    return d.join(d.groupBy("group_id").agg(F.min("event_id").alias("representative")), "group_id").select("event_id", "representative")
 
 
 @query("t9_resolve_selector", "intervals regions", f"WITH {RANKS} SELECT route_id, event_id FROM c WHERE event_id % 10 = 3")

@@ -9,7 +9,7 @@ from ..operators import contracts
 from ..sources import tables as tb
 from ..sources.shared import folder
 from ..streaming import positional as ps
-from .bindings import ORACLES, QUERIES, bind, oracle, query
+from .bindings import BINDINGS, ORACLES, QUERIES, bind, oracle, query
 
 
 def shared(spark: SparkSession) -> str:
@@ -153,3 +153,28 @@ def st1(spark, sf_dir):
     ps.run_available(ps.window_counts(stream, "ts", ["event_type"], "1 hour", "30000 days"), out, check)
     done = spark.read.schema("start timestamp, event_type string, rows long, value double").parquet(out).where("event_type <> 'end'")
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "rows", F.round("value", 4).alias("value"))
+
+
+SIX_HOURS = 6 * 3_600_000_000
+BINDINGS["arrivals"] = f"""SELECT event_type || '|' || CAST(s - s % {SIX_HOURS} AS VARCHAR(20)) AS group_id, CAST(user_id AS VARCHAR(20)) AS member, CAST(floor(e / 1000) AS BIGINT) AS position,
+  CAST(floor((s - s % {SIX_HOURS} + {SIX_HOURS}) / 1000) AS BIGINT) AS stop, CAST(floor(value * 100) AS BIGINT) AS value FROM {{intervals}}"""
+#: Micro-batches of the stream; each is a run of its own that starts from the checkpoint.
+RUNS = 4
+
+
+@registered("st1_late_rows", f"""WITH b AS (SELECT *, least({RUNS - 1}, CAST(floor((position - min(position) OVER ()) * {RUNS} / (max(position) OVER () - min(position) OVER () + 1)) AS INTEGER)) AS batch FROM {{arrivals}}),
+c AS (SELECT batch, max(last) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS now FROM (SELECT batch, max(position) AS last FROM b GROUP BY 1)),
+l AS (SELECT b.*, coalesce(stop <= now, false) AS late FROM b JOIN c ON b.batch = c.batch),
+k AS (SELECT *, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY group_id, member, late ORDER BY batch, position, value) > 1 THEN 'repeated' ELSE 'group' END AS kind FROM l)
+SELECT kind, group_id, CASE WHEN kind <> 'group' THEN member END AS member, CASE WHEN kind = 'group' THEN stop ELSE position END AS position, count(*) AS n, CAST(sum(value) AS BIGINT) AS value FROM k GROUP BY 1, 2, 3, 4""")
+def st1_late(spark, sf_dir):
+    """Events come in the order of their ends, in several runs; a window of six hours closes once a position has passed it."""
+    rows = bind(spark, sf_dir, "arrivals").withColumnRenamed("stop", "end")
+    source, out, check = shared(spark), shared(spark), shared(spark)
+    first, last = rows.agg(F.min("position"), F.max("position")).first()
+    run = F.least(F.lit(RUNS - 1), F.floor((F.col("position") - F.lit(first)) * RUNS / F.lit((last or 0) - (first or 0) + 1)).cast("int"))
+    end = spark.range(1).select(F.lit("close").alias("group_id"), F.lit("").alias("member"), F.lit((last or 0) + 10**10).alias("position"), F.lit((last or 0) + 2 * 10**10).alias("end"), F.lit(0).cast("long").alias("value"))
+    for k in range(RUNS + 1):
+        (rows.where(run == k) if k < RUNS else end).write.mode("append").parquet(source)
+        ps.run_available(ps.positional_aggregate(spark.readStream.schema(rows.schema).parquet(source)), out, check)
+    return ps.totals(spark.read.schema(ps.OUT).parquet(out))

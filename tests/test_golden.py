@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.operators import audit, compat, context, identify, intervals, metrics, split, usage
+from tallgrass.operators import routes as routes_
 
 
 def test_x2_activity_sums_members_then_takes_one_log(spark):
@@ -68,11 +69,45 @@ def test_x6_reasons(spark):
 def test_x13_keeps_its_digits_at_large_means(spark):
     rows = [("g1", i, 1e8 + i % 3, True) for i in range(60)] + [("g2", i, 1e8 - i % 3, True) for i in range(60)]
     raw = spark.createDataFrame(rows, "gate_key_id string, cell_id int, raw double, observed boolean")
-    keys = spark.createDataFrame([("g1", "g"), ("g2", "g")], "gate_key_id string, gene_id string")
-    r = context.gate_collinearity(raw, keys, raw.select("cell_id", F.lit(1).alias("mass")).distinct()).first()
+    keys = spark.createDataFrame([("g1", "g", True), ("g2", "g", True)], "gate_key_id string, gene_id string, active boolean")
+    cells = raw.select("cell_id").distinct()
+    r = context.gate_collinearity(raw, keys, cells.withColumn("mass", F.lit(1)), cells.withColumn("split", F.lit("train"))).first()
     assert math.isclose(r.r, -1.0, rel_tol=1e-9) and r.status == "perfect"
 
 
+def test_x13_takes_active_gates_on_training_cells(spark):
+    rows = [(g, c, float(c if g == "g1" or c < 5 else -c), True) for g in ("g1", "g2", "off") for c in range(10)]
+    raw = spark.createDataFrame(rows, "gate_key_id string, cell_id int, raw double, observed boolean")
+    keys = spark.createDataFrame([("g1", "g", True), ("g2", "g", True), ("off", "g", False)], "gate_key_id string, gene_id string, active boolean")
+    cells = raw.select("cell_id").distinct()
+    split = cells.withColumn("split", F.when(F.col("cell_id") < 5, "train").otherwise("val"))
+    got = context.gate_collinearity(raw, keys, cells.withColumn("mass", F.lit(1)), split).collect()
+    assert [(r.gate_a, r.gate_b, r.status, r.n_eff) for r in got] == [("g1", "g2", "perfect", 5.0)]
+
+
+def test_m4_refuses_genes_without_dtu(spark):
+    g = spark.createDataFrame([("a", 5.0, 0.1), ("b", 5.0, 0.3), ("c", 5.0, None)], "gene_id string, mass double, dtu double")
+    assert metrics.gene_weights(g.where("dtu IS NOT NULL"), 1.0, 0.5).count() == 2
+    for bad in (g, g.fillna({"dtu": float("nan")}), g.where("dtu IS NOT NULL").withColumn("mass", F.when(F.col("gene_id") == "a", F.col("mass")))):
+        with pytest.raises(Exception, match="no finite dtu"):
+            metrics.gene_weights(bad, 1.0, 0.5).collect()
+
+
+def test_t8_sums_that_differ_in_the_last_digits_stay_apart(spark):
+    rows = [("x", "r1", 0.5000001), ("y", "r2", 0.5000003), ("z", "r3", 0.25), ("z", "r4", 0.2500001), ("u", "r5", 0.25), ("u", "r6", 0.2500001), ("v", "r7", 0.25), ("v", "r8", 0.2500001)]
+    routes = spark.createDataFrame([("g", "DNA", "k", e, r, "edge", int(e == "v"), w, 1.0) for e, r, w in rows], "gene_id string, modality string, gate_key_id string, event_id string, route_id string, edge_id string, column int, weight double, feature double")
+    sig = routes_.injection_signatures(routes)
+    groups = {r.event_id: r.group_id for r in sig.collect()}
+    assert groups["z"] == groups["u"] and len(set(groups.values())) == 4  # v has the same sum in another column
+    events = [("x", "c", 0, 9, "+", "f", "m1", "p", False), ("y", "c", 0, 9, "+", "f", "m1", "p", False), ("z", "c", 0, 9, "+", "f", "m1", "p", False), ("u", "c", 5, 12, "+", "f", "m2", "p", False), ("v", "c", 0, 9, "+", "f", "m1", "p", True)]
+    kind = "event_id string, chrom string, s long, e long, strand string, factor string, family string, peak string, open boolean"
+    got = {r.representative: (r.events, r.footprint, r.families, r.policy) for r in routes_.injection_equivalence(sig, spark.createDataFrame(events, kind)).collect()}
+    assert got["u"] == (2, "overlapping", "distinct", "exact_set") and got["x"] == (1, "identical", "same", "single_event") and got["v"][2] == "open_only"
+    same = [(*e[:6], "m1", *e[7:]) for e in events]
+    with pytest.raises(Exception, match="should have collapsed"):
+        routes_.injection_equivalence(sig, spark.createDataFrame(same, kind)).collect()
+
+
 def test_c5_spliced_and_retained_paths(spark):
     exons = "array<struct<s:bigint,e:bigint>>"
     paths = spark.createDataFrame([("g", "whole", [(100, 250)]), ("g", "cut", [(100, 150), (200, 250)])], f"gene_id string, path_id string, exons {exons}")
