@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import fresh
 
 PER_LANGUAGE, LANDMARKS, MOST_LANDMARKS = 1500, 40, 4000
-RIDGE, SHARPNESS, BLOCK = 1e-3, 4.0, 256
+RIDGE, SHARPNESS, BLOCK, DENSE = 1e-3, 4.0, 256, 8
 LETTER = regex.compile(r"\p{L}")
 _letters: list[np.ndarray] = []
 
@@ -58,12 +58,18 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass
 class Spectrum:
-    """The landmarks' n-grams, sorted, each with its landmarks: a sparse presence matrix by columns. Nothing is merged."""
+    """The landmarks' n-grams, sorted, each with its landmarks: a sparse presence matrix by columns. Nothing is merged.
+
+    Columns that one in DENSE landmarks or more have are kept as dense ones too, which takes at most DENSE times the
+    numbers of the sparse ones; texts meet them in one matrix product per block.
+    """
 
     known: np.ndarray
     starts: np.ndarray  # of the n-grams' landmarks in owners
     owners: np.ndarray
     landmarks: int
+    column: np.ndarray  # of an n-gram in the dense part, or -1
+    dense: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str]) -> Spectrum:
@@ -72,21 +78,33 @@ class Spectrum:
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(g) for g in sets])
         order = np.argsort(every, kind="stable")
         known, starts = np.unique(every[order], return_index=True)
-        return cls(known, np.append(starts, len(every)), owner[order], len(texts))
+        starts, owners = np.append(starts, len(every)), owner[order]
+        often = np.diff(starts) * DENSE >= len(texts)
+        column = np.where(often, np.cumsum(often) - 1, -1)
+        dense = np.zeros((int(often.sum()), len(texts)), np.float32)
+        wide = np.repeat(column, np.diff(starts))
+        dense[wide[wide >= 0], owners[wide >= 0]] = 1
+        return cls(known, starts, owners, len(texts), column, dense)
 
     def common(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many n-grams each text shares with each landmark (presence rows times presence columns), and how many it has."""
         rows, sizes = np.zeros((len(texts), self.landmarks)), np.zeros(len(texts))
-        for k, t in enumerate(texts):
-            g = grams(t)
-            sizes[k] = len(g)
-            at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
-            at = at[self.known[at] == g]
-            n = self.starts[at + 1] - self.starts[at]
-            done = np.cumsum(n)
-            if len(done):
-                take = np.repeat(self.starts[at] - (done - n), n) + np.arange(done[-1])
-                rows[k] = np.bincount(self.owners[take], minlength=self.landmarks)
+        for first in range(0, len(texts), BLOCK):
+            presence = np.zeros((len(texts[first : first + BLOCK]), len(self.dense)), np.float32)
+            for k, t in enumerate(texts[first : first + BLOCK]):
+                g = grams(t)
+                sizes[first + k] = len(g)
+                at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+                at = at[self.known[at] == g]
+                column = self.column[at]
+                presence[k, column[column >= 0]] = 1
+                at = at[column < 0]
+                n = self.starts[at + 1] - self.starts[at]
+                done = np.cumsum(n)
+                if len(done):
+                    take = np.repeat(self.starts[at] - (done - n), n) + np.arange(done[-1])
+                    rows[first + k] = np.bincount(self.owners[take], minlength=self.landmarks)
+            rows[first : first + BLOCK] += presence @ self.dense
         return rows, sizes
 
 
