@@ -22,13 +22,14 @@ def _not_finite(c: str) -> Column:
 
 def matched_scope(records: DataFrame, group: list[str], key: list[str], same: list[str], label: str) -> DataFrame:
     """The records, if every group (as a model and a seed) has every key once, and `same` columns do not differ within a key."""
+    none = F.when(reduce(or_, (F.col(c).isNull() for c in [*group, *key])), F.lit(f"{label}: a key is null"))
+    records = records.where(guarded(none))
     totals = records.agg(F.count_distinct(F.struct(*group)).alias("_groups"))
     by = records.groupBy(*key).agg(F.count("*").alias("_n"), F.count_distinct(F.struct(*group)).alias("_k"), (F.min(F.struct(F.lit(0), *same)) != F.max(F.struct(F.lit(0), *same))).alias("_differs"))
     say = lambda text: F.lit(f"{label}: {text}")
     fault = F.when(F.col("_n") != F.col("_k"), say("a record is repeated")).when(F.col("_k") != F.col("_groups"), say("records differ between groups")).when(F.col("_differs"), say("a fixed column differs between groups"))
     ok = by.crossJoin(F.broadcast(totals)).select(*key, guarded(fault).alias("_ok"))  # one row of totals
-    none = F.when(reduce(or_, (F.col(c).isNull() for c in [*group, *key])), say("a key is null"))
-    return records.where(guarded(none)).join(ok, key).where("_ok").drop("_ok")
+    return records.join(ok, key).where("_ok").drop("_ok")
 
 
 def with_strata(records: DataFrame, strata: DataFrame, key: str, label: str) -> DataFrame:
@@ -158,7 +159,9 @@ def seed_sensitivity(records: DataFrame, assignments: DataFrame, metrics: list[s
     d = matched_scope(records.where(guarded(F.when(bad, "sensitivity: a number is not valid"))), ["model", "seed"], ["cell_id", "gene_id"], ["high", "total"], "sensitivity")
     w = Window.partitionBy("gene_id", "stratifier")
     frozen = assignments.withColumn("_n", F.count("*").over(w)).where(guarded(F.when(F.col("_n") > 1, F.lit("sensitivity: a gene has two bins")))).drop("_n")
-    d = d.join(frozen, "gene_id", "left").where(guarded(F.when(F.col("stratifier").isNull(), "sensitivity: a gene has no bin")))
+    # in the columns themselves: the grid's join would filter NULLs away before a guard beside them sees them
+    none = F.raise_error(F.lit("sensitivity: a gene has no bin"))
+    d = d.join(frozen, "gene_id", "left").withColumns({c: F.coalesce(c, none.cast(frozen.schema[c].dataType)) for c in ("stratifier", "bin", "bin_order")})
     key = ["model", "seed", "stratifier", "bin", "bin_order", "high", "metric"]
     long = d.select("model", "seed", "stratifier", "bin", "bin_order", "high", "gene_id", "total", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("_m")).select("*", "_m.*").drop("_m")
     valid = F.col("value").isNotNull()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import hash32, log_sum_exp
+from ..functions.core import guarded, hash32, log_sum_exp
 
 UNIT = ["cell_id", "gene_id"]
 
@@ -156,6 +156,24 @@ def compatible_set_metrics(logits: DataFrame, ec: DataFrame, k: int = 5) -> Data
     return out.withColumns({"chance_top1": F.col("c") / F.col("y"), "chance_topk": 1 - misses(F.col("c"), F.col("y"), k)})
 
 
+#: Metrics of a compatible set; `singleton_hit` is that of sets of one path.
+SET_METRICS = ["top1_in", "topk_in", "singleton_hit", "posterior", "chance_top1", "chance_topk"]
+
+
+def compatible_set_summary(rows: DataFrame) -> DataFrame:
+    """Macro and mass-weighted means of compatible_set_metrics by (c, y) and over all rows, with both denominators.
+
+    Rows: c and y (NULL over all), metric, rows, mass, macro, weighted. Masses must be positive and finite.
+    """
+    d = rows.where(guarded(F.when(~(F.col("mass") > 0) | F.col("mass").isNull() | ~(F.col("mass") < float("inf")), "masses must be positive and finite")))
+    d = d.withColumn("singleton_hit", F.when(F.col("c") == 1, F.col("top1_in")))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in SET_METRICS)))
+    scope = F.explode(F.array(F.struct(F.col("c").cast("int").alias("c"), F.col("y").cast("int").alias("y")), F.struct(F.lit(None).cast("int").alias("c"), F.lit(None).cast("int").alias("y"))))
+    d = d.select("mass", scope.alias("s"), *SET_METRICS).select("mass", "s.c", "s.y", each.alias("m")).select("mass", "c", "y", "m.*")
+    seen = F.when(F.col("value").isNotNull(), F.col("mass"))
+    return d.groupBy("c", "y", "metric").agg(F.count("value").alias("rows"), F.coalesce(F.sum(seen), F.lit(0)).alias("mass"), F.avg("value").alias("macro"), F.try_divide(F.sum(F.col("value") * seen), F.sum(seen)).alias("weighted"))
+
+
 def score_residuals(logits: DataFrame, ec: DataFrame, groups: DataFrame) -> DataFrame:
     """Mass-weighted mean of P(C and G) / P(C) - P(G) by cell, gene and path group (M14). groups: gene_id, path_id, group_id."""
     p = log_softmax(logits).select(*UNIT, "path_id", "p").join(groups, ["gene_id", "path_id"])
@@ -167,9 +185,24 @@ def score_residuals(logits: DataFrame, ec: DataFrame, groups: DataFrame) -> Data
 
 
 def state_gate(r2: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Gain of r2 by adding the state, per stratum, and whether it passes (M16). r2: stratum, r2_nuisance, r2_state."""
+    """What the state adds to r2 per stratum, and whether it is little enough (M16). r2: stratum, r2_nuisance, r2_state.
+
+    A gain of `threshold` at most passes: then residuals hold no more of the state than the nuisance explains.
+    """
     gain = F.col("r2_state") - F.col("r2_nuisance")
-    return r2.withColumns({"gain": gain, "status": F.when(gain.isNull(), "not_estimable").when(gain > threshold, "pass").otherwise("fail")})
+    return r2.withColumns({"gain": gain, "status": F.when(gain.isNull(), "not_estimable").when(gain <= threshold, "pass").otherwise("fail")})
+
+
+def residual_gate(nuisance, state, rows: DataFrame, label: str, weight: str, high: str, threshold: float = 0.05) -> DataFrame:
+    """state_gate of two frozen ridge fits on held-out rows, overall and for rows where `high` is true."""
+    from .audit import weighted_r2
+
+    d = state.predicted(nuisance.predicted(rows, "_nuisance"), "_state")
+    both = F.array_compact(F.array(F.lit("overall"), F.when(F.col(high), F.lit("high_dtu"))))
+    d = d.select(F.explode(both).alias("stratum"), label, weight, "_nuisance", "_state")
+    r2 = lambda p, name: weighted_r2(d, ["stratum"], label, p, weight).withColumnRenamed("r2", name)
+    strata = d.sparkSession.createDataFrame([("overall",), ("high_dtu",)], "stratum string")
+    return state_gate(strata.join(r2("_nuisance", "r2_nuisance"), "stratum", "left").join(r2("_state", "r2_state"), "stratum", "left"), threshold)
 
 
 def counterfactual(full: DataFrame, changed: DataFrame) -> DataFrame:

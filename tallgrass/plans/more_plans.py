@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.core import hash32
 from ..operators import graph as gr
 from ..operators import identify as idf
 from ..operators import intervals as iv
@@ -65,14 +66,27 @@ def m13(logits, ec, counts):
     return metrics.monitor_record(logits, sets(ec), counts).select(F.round("nll", 6).alias("nll"), "nll_mass", F.round("kl", 6).alias("kl"), "kl_cell_genes")
 
 
-@query("m15_ridge_diagnostics", "lineitem")
-def m15(lineitem):
-    """Nuisance columns alone, and with those of the state, on the same rows, folds and strengths."""
-    d = lineitem.select(
+NUISANCE = (["log_mass", "rows"], ["gene_group", "donor"])
+STATE = ([*NUISANCE[0], "pc1", "pc2"], [*NUISANCE[1], "stage"])
+
+
+def residual_rows(lineitem):
+    return lineitem.select(
         F.col("l_extendedprice").alias("y"), (F.col("l_tax") + 0.1).alias("w"), "l_orderkey", F.log1p("l_tax").alias("log_mass"), F.col("l_linenumber").alias("rows"),
         F.col("l_returnflag").alias("gene_group"), F.col("l_linestatus").alias("donor"), F.month("l_shipdate").alias("stage"), F.col("l_quantity").alias("pc1"), F.col("l_discount").alias("pc2"),
     )
-    nuisance = (["log_mass", "rows"], ["gene_group", "donor"])
-    state = ([*nuisance[0], "pc1", "pc2"], [*nuisance[1], "stage"])
-    fits = regress.ridge_designs(d, {"nuisance": nuisance, "state": state}, "y", "w", "l_orderkey", [0.1, 10.0, 1e6])
+
+
+@query("m15_ridge_diagnostics", "lineitem")
+def m15(lineitem):
+    """Nuisance columns alone, and with those of the state, on the same rows, folds and strengths."""
+    fits = regress.ridge_designs(residual_rows(lineitem), {"nuisance": NUISANCE, "state": STATE}, "y", "w", "l_orderkey", [0.1, 10.0, 1e6])
     return regress.ridge_report(fits, lineitem.sparkSession)
+
+
+@query("m16_residual_gate", "lineitem")
+def m16_residual(lineitem):
+    """Fits of two thirds of the orders, judged on the last third."""
+    d = residual_rows(lineitem).withColumn("part", hash32(F.lit("part"), "l_orderkey") % 3)
+    fits = regress.ridge_designs(d.where("part > 0"), {"nuisance": NUISANCE, "state": STATE}, "y", "w", "l_orderkey", [0.1, 10.0])
+    return metrics.residual_gate(fits["nuisance"], fits["state"], d.where("part = 0").withColumn("high", F.col("rows") > 3), "y", "w", "high")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions.core import hash32
-from tallgrass.operators import regress
+from tallgrass.operators import metrics, regress
 
 
 def sparse(spark, x, names):
@@ -121,3 +121,15 @@ def test_r16_intervals(spark):
     half = 1.96 * x.std() / len(x) ** 0.5
     assert abs(got["mean"].point - x.mean()) < 1e-12 and abs(got["mean"].lo - (x.mean() - half)) < 0.15 * half and abs(got["mean"].hi - (x.mean() + half)) < 0.15 * half
     assert got["mean"].significant and abs(got["ratio"].point - 2 * x.sum() / sum(r[3] for r in rows)) < 1e-12
+
+
+def test_m16_gate_of_two_fits(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.random(), rng.choice("ab"), rng.choice("pq"), 1.0 + rng.random()) for i in range(600)]
+    df = spark.createDataFrame([(i, m, g, s, w, m + 3 * (s == "p") + rng.gauss(0, 0.2), m + rng.gauss(0, 0.2), i % 4 == 0) for i, m, g, s, w in rows], "k int, m double, g string, s string, w double, y double, z double, high boolean")
+    for label, status in (("y", "fail"), ("z", "pass")):
+        fits = regress.ridge_designs(df.where("k % 2 = 0"), {"n": (["m"], ["g"]), "s": (["m"], ["g", "s"])}, label, "w", "k", [0.1])
+        got = {r.stratum: r for r in metrics.residual_gate(fits["n"], fits["s"], df.where("k % 2 = 1").withColumn("high", F.col("k") % 5 == 0), label, "w", "high").collect()}
+        assert got.keys() == {"overall", "high_dtu"} and {r.status for r in got.values()} == {status}
+        none = {r.stratum: r.status for r in metrics.residual_gate(fits["n"], fits["s"], df.where("k % 2 = 1").withColumn("high", F.lit(False)), label, "w", "high").collect()}
+        assert none == {"overall": status, "high_dtu": "not_estimable"}
