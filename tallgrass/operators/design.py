@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import guarded
+from .routes import distance_bin
+
 
 def route_context(events: DataFrame, routes: DataFrame) -> DataFrame:
     """Routes with their events' facts, open ones under the factor OPEN_ONLY."""
@@ -12,6 +15,14 @@ def route_context(events: DataFrame, routes: DataFrame) -> DataFrame:
     return d.withColumn("factor", F.coalesce("factor", F.lit("OPEN_ONLY")))
 
 
+def binned_context(events: DataFrame, routes: DataFrame, bounds: list[int]) -> DataFrame:
+    """Routes with their one event's facts and the bin of their distance (N2); a route without an event, or with several, is an error."""
+    once = events.groupBy("event_id").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in events.columns if c != "event_id"))
+    d = routes.join(once, "event_id", "left")
+    fault = F.when(F.col("_n").isNull(), "a route has no event").when(F.col("_n") > 1, "a route has several events")
+    return d.where(guarded(fault)).drop("_n").withColumns({"factor": F.coalesce("factor", F.lit("OPEN_ONLY")), "bin": distance_bin(F.col("distance"), bounds)})
+
+
 def feature_manifest(context: DataFrame, fields: list[str]) -> DataFrame:
     """Frozen vocabularies: sorted levels of every field, the first being the reference, and their number."""
     long = context.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("level")) for f in fields))).alias("x")).select("x.*")

@@ -128,6 +128,19 @@ def selected_routes(routes: DataFrame, kind: str, value, groups: DataFrame | Non
     return routes.where(F.col(column) == value)
 
 
+def routes_of_set(routes: DataFrame, sets: DataFrame, value) -> DataFrame:
+    """Routes of the gates in a correlated set (T9). sets: set_id, gate_key_id."""
+    return routes.join(sets.where(F.col("set_id") == value), "gate_key_id", "left_semi")
+
+
+def selector_coverage(routes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per group of events: its members, those with routes left, its routes, and coverage full, partial or none."""
+    own = routes.groupBy("event_id").agg(F.count("*").alias("n"))
+    d = groups.select("group_id", "event_id").distinct().join(own, "event_id", "left")
+    by = d.groupBy("group_id").agg(F.count("*").alias("members"), F.count("n").alias("routed"), F.coalesce(F.sum("n"), F.lit(0)).alias("routes"))
+    return by.withColumn("coverage", F.when(F.col("routed") == 0, "none").when(F.col("routed") < F.col("members"), "partial").otherwise("full"))
+
+
 def neutralize(routes: DataFrame, gates: DataFrame, selected: DataFrame) -> DataFrame:
     """The gated aggregate without the selected routes, not renormalised, and the change."""
     full = gated_aggregate(routes, gates)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import design as ds
 from ..operators import routes as rt
 from .bindings import BINDINGS, query
 from .interval_plans import HOUR, ROUTES, routed
@@ -123,6 +124,22 @@ def t9(x, regions):
     return rt.selected_routes(r, "group", 3, groups).select("route_id", "event_id")
 
 
+@query("t9_selector_coverage", "intervals regions", f"""WITH {RANKS}, o AS (SELECT event_id, count(*) AS n FROM c GROUP BY 1), g AS (SELECT DISTINCT user_id * 100 + event_id % 3 AS group_id, event_id FROM {{intervals}})
+SELECT group_id, count(*) AS members, count(n) AS routed, CAST(coalesce(sum(n), 0) AS BIGINT) AS routes, CASE WHEN count(n) = 0 THEN 'none' WHEN count(n) < count(*) THEN 'partial' ELSE 'full' END AS coverage FROM g LEFT JOIN o ON o.event_id = g.event_id GROUP BY 1""")
+def t9_coverage(x, regions):
+    r = rt.cap_topk(route_table(x, regions), CAP, BUCKETS)
+    return rt.selector_coverage(r, x.select((F.col("user_id") * 100 + F.col("event_id") % 3).alias("group_id"), "event_id"))
+
+
+@query("n2_route_bins", "intervals regions", f"""SELECT route_id, event_id, CASE WHEN event_type <> 'view' THEN event_type ELSE 'OPEN_ONLY' END AS factor, CASE WHEN d IS NULL THEN 'NA' WHEN d < {HOUR // 4} THEN '[0,{HOUR // 4})' WHEN d < {HOUR} THEN '[{HOUR // 4},{HOUR})' ELSE '[{HOUR},inf]' END AS bin
+FROM (SELECT route_id, event_id, event_type, CASE WHEN kind = 'site' THEN abs(signed_distance) ELSE least(d5, d3) END AS d FROM ({ROUTES}) x) y""")
+def n2_bins(x, regions):
+    d = F.when(F.col("kind") == "site", F.col("signed_distance")).otherwise(F.least("d5", "d3"))
+    routes = routed(x, regions).select("route_id", "event_id", d.alias("distance"))
+    events = x.select("event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("factor"))
+    return ds.binned_context(events, routes, [0, HOUR // 4, HOUR]).select("route_id", "event_id", "factor", "bin")
+
+
 @query("t10_neutralize", "intervals regions", f"""WITH {WEIGHTED} SELECT cell_id, edge_id, col, round(sum(gate * weight * feature), 6) AS value, round(-sum(CASE WHEN event_id % 10 = 3 THEN gate * weight * feature ELSE 0 END), 6) AS delta FROM w JOIN g ON g.gate_key_id = w.gate_key_id GROUP BY 1, 2, 3""")
 def t10(x, regions):
     w = weighted(x, regions)

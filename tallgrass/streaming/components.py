@@ -30,3 +30,12 @@ def correlated_sets(pairs: DataFrame) -> DataFrame:
     root = components(pairs.select(F.col("gate_a").alias("a"), F.col("gate_b").alias("b")))
     by = root.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members"), F.count("*").alias("size"))
     return by.select(F.concat(F.lit("set:"), F.substring(F.sha2("members", 256), 1, 24)).alias("set_id"), "size", "members")
+
+
+def set_edges(pairs: DataFrame) -> DataFrame:
+    """The pairs that link each correlated set: set_id, gate_a, gate_b, once each, the lesser gate first."""
+    root = components(pairs.select(F.col("gate_a").alias("a"), F.col("gate_b").alias("b")))
+    by = root.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members"))
+    named = root.join(by, "root").select("node", F.concat(F.lit("set:"), F.substring(F.sha2("members", 256), 1, 24)).alias("set_id"))
+    edges = pairs.where("gate_a <> gate_b").select(F.least("gate_a", "gate_b").alias("gate_a"), F.greatest("gate_a", "gate_b").alias("gate_b")).distinct()
+    return edges.join(named, edges.gate_a == named.node).select("set_id", "gate_a", "gate_b")

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.operators import compat, graph, matched, metrics
+from tallgrass.operators import compat, design, graph, matched, metrics, routes
+from tallgrass.streaming import components
 
 
 def readouts(spark, change=None):
@@ -165,3 +166,28 @@ def test_g8_edge_and_path_features(spark):
     steps = spark.createDataFrame([("g", "p", 0, "a"), ("g", "p", 1, "b")], "gene_id string, path_id string, edge_order int, edge_id string")
     r = graph.path_spans(steps, e).first()
     assert (r.log_edges, r.log_span, r.log_length) == (math.log1p(2), math.log1p(30), math.log1p(20))
+
+
+def test_n2_needs_one_event_per_route(spark):
+    events = spark.createDataFrame([(1, "f"), (2, None)], "event_id int, factor string")
+    routes = spark.createDataFrame([("r", 1, 5), ("s", 2, None), ("t", 1, -50)], "route_id string, event_id int, distance int")
+    got = {r.route_id: (r.factor, r.bin) for r in design.binned_context(events, routes, [0, 10, 100]).collect()}
+    assert got == {"r": ("f", "[0,10)"), "s": ("OPEN_ONLY", "NA"), "t": ("f", "[10,100)")}
+    for bad, message in ((events.where("event_id = 1"), "no event"), (events.unionByName(events), "several events")):
+        with pytest.raises(Exception, match=message):
+            design.binned_context(bad, routes, [0, 10, 100]).collect()
+
+
+def test_t9_coverage_and_sets(spark):
+    r = spark.createDataFrame([("r1", 1, "k1"), ("r2", 1, "k2"), ("r3", 2, "k3")], "route_id string, event_id int, gate_key_id string")
+    g = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 9), ("c", 9)], "group_id string, event_id int")
+    assert {x.group_id: (x.members, x.routed, x.routes, x.coverage) for x in routes.selector_coverage(r, g).collect()} == {"a": (2, 2, 3, "full"), "b": (2, 1, 1, "partial"), "c": (1, 0, 0, "none")}
+    s = spark.createDataFrame([("s", "k1"), ("s", "k3"), ("t", "k2")], "set_id string, gate_key_id string")
+    assert sorted(x.route_id for x in routes.routes_of_set(r, s, "s").collect()) == ["r1", "r3"]
+
+
+def test_x14_edges_of_sets(spark):
+    p = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("x", "y"), ("z", "z")], "gate_a string, gate_b string")
+    sets = {r.members: r.set_id for r in components.correlated_sets(p).collect()}
+    got = sorted((r.set_id, r.gate_a, r.gate_b) for r in components.set_edges(p).collect())
+    assert got == sorted([(sets["a,b,c"], "a", "b"), (sets["a,b,c"], "b", "c"), (sets["x,y"], "x", "y")])
