@@ -65,7 +65,8 @@ STAGES = [
     ("mixture", mixture),
     ("tokens", tokens),
 ]
-#: No SQL: the stages learn models and draw hashes; tests/llm/test_pipeline.py compares them with brute force.
+#: No SQL: the stages learn models and draw hashes. tests/llm/test_pipeline.py compares lines, near-duplicates and tokens
+#: with brute force; of language and mixture it checks how much stays, their models being tested with their operators.
 ORACLE_SQL = None
 
 
