@@ -17,11 +17,15 @@ def permutation_assignments(cells: DataFrame, b: int, least: int = 20) -> DataFr
     """
     w = Window.partitionBy("stratum")
     d = cells.select("stratum", "cell_id").withColumn("n", F.count("*").over(w)).where(F.col("n") >= least)
-    d = d.withColumn("k", F.row_number().over(w.orderBy("cell_id")))
+    d = d.withColumn("k", F.row_number().over(w.orderBy("cell_id"))).drop("n")
+    # dealt anew, so that a stratum's permutations are not drawn in one task
+    d = d.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stratum", "cell_id")
     p = d.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     h = Window.partitionBy("stratum", "permutation").orderBy(hash32("permutation", "stratum", "cell_id"), "cell_id")
     source = p.select("stratum", "permutation", F.col("cell_id").alias("source"), F.row_number().over(h).alias("k"))
-    return p.select("stratum", "permutation", F.col("cell_id").alias("target"), "k").join(source, ["stratum", "permutation", "k"]).drop("k")
+    # both sides have b rows a cell, which Spark's sizes of an exploded table don't tell: never broadcast
+    target = p.select("stratum", "permutation", F.col("cell_id").alias("target"), "k")
+    return target.join(source.hint("merge"), ["stratum", "permutation", "k"]).drop("k")
 
 
 def apply_permutation(values: DataFrame, assignments: DataFrame) -> DataFrame:
