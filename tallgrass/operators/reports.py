@@ -30,7 +30,8 @@ def permutation_assignments(cells: DataFrame, b: int, least: int = 20) -> DataFr
 
 def apply_permutation(values: DataFrame, assignments: DataFrame) -> DataFrame:
     """Whole rows of the sources under the targets' ids (R2)."""
-    return assignments.join(values.withColumnRenamed("cell_id", "source"), "source").withColumnRenamed("target", "cell_id").drop("source")
+    d = assignments.join(values.withColumnRenamed("cell_id", "source").hint("merge"), "source")
+    return d.withColumnRenamed("target", "cell_id").drop("source")
 
 
 def higher_quantile(x: str, q: float) -> Column:

@@ -18,3 +18,11 @@ def test_permutations_are_not_broadcast(spark):
         for s in range(2):
             mine = [r for r in rows if r.permutation == b and r.stratum == s]
             assert sorted(r.target for r in mine) == sorted(r.source for r in mine) == list(range(s, 60, 2))
+
+
+def test_permuted_values_are_not_broadcast(spark):
+    """The values of all cells grow with the cells (R2)."""
+    cells = spark.range(60).selectExpr("id AS cell_id", "id % 2 AS stratum")
+    out = reports.apply_permutation(cells.selectExpr("cell_id", "cell_id * 10 AS x"), reports.permutation_assignments(cells, 3))
+    assert "Broadcast" not in plan_of(out)
+    assert sorted(r.x for r in out.where("permutation = 1").collect()) == [10 * i for i in range(60)]
