@@ -37,7 +37,7 @@ def i5(part, nation, supplier):
 def f8(exons):
     paths = exon_paths(exons).withColumn("strand", F.lit("+"))
     _, _, steps = gr.compile_graph(paths)
-    steps = steps.withColumnsRenamed({"src_node_id": "src", "dst_node_id": "dst"}).withColumn("path_id", F.col("path_id").cast("string"))
+    steps = steps.drop("lo", "hi", "length_bp").withColumnsRenamed({"src_node_id": "src", "dst_node_id": "dst"}).withColumn("path_id", F.col("path_id").cast("string"))
     out = idf.internal_choices(cut(steps))  # read many times
     return out.select("gene_id", "choice_id", "alternative_id", F.array_join("edges", ",").alias("edges"), F.array_join("paths", ",").alias("paths"))
 

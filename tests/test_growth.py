@@ -1,6 +1,6 @@
 """Steps whose memory, shuffles or times must not grow faster than their input."""
 
-from tallgrass.operators import reports
+from tallgrass.operators import graph, reports
 
 
 def plan_of(df) -> str:
@@ -26,3 +26,15 @@ def test_permuted_values_are_not_broadcast(spark):
     out = reports.apply_permutation(cells.selectExpr("cell_id", "cell_id * 10 AS x"), reports.permutation_assignments(cells, 3))
     assert "Broadcast" not in plan_of(out)
     assert sorted(r.x for r in out.where("permutation = 1").collect()) == [10 * i for i in range(60)]
+
+
+def test_graphs_are_worked_out_once(spark):
+    """Nodes, edges and steps come from one written table of paths; the steps bring their own places."""
+    rows = [(1, 1, "+", [(0, 100), (150, 200)]), (1, 2, "+", [(0, 30), (60, 200)]), (2, 3, "-", [(0, 120), (90, 200)]), (2, 4, "-", [(10, 300)])]
+    paths = spark.createDataFrame(rows, "gene_id long, path_id long, strand string, exons array<struct<s:long,e:long>>")
+    nodes, edges, steps = graph.compile_graph(paths)
+    assert all("Join" not in plan_of(d) for d in (nodes, edges, steps, graph.path_spans(steps, edges)))
+    got = {(r.gene_id, r.edge_id) for r in edges.where("edge_type = 'RETAINED_INTRON'").collect()}
+    assert got == {(1, "1:donor:30>1:acceptor:60>RETAINED_INTRON")}
+    # ends the wrong way round, of overlapping exons, still mark the exon of another path
+    assert {r.pos for r in nodes.where("gene_id = 2").collect()} == {0, 10, 90, 120, 200, 300}
