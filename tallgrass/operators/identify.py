@@ -282,13 +282,17 @@ def internal_choices(path_edges: DataFrame) -> DataFrame:
     g = ["gene_id", "entry"]
     e = path_edges.select("gene_id", "path_id", "edge_order", "edge_id", "src", "dst")
     every = e.groupBy("gene_id", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_order", "edge_id"))), lambda x: x.edge_id).alias("all_edges"))
-    at = e.select("gene_id", "path_id", F.col("src").alias("entry"), F.col("edge_order").alias("i"), F.col("edge_id").alias("next"))
-    branch = at.groupBy(*g).agg(F.count_distinct("next").alias("ways"), F.count("*").alias("k")).where("ways >= 2")
-    at = at.join(branch.select(*g, "k"), g)
-    ahead = at.join(e.select("gene_id", "path_id", F.col("dst").alias("exit"), (F.col("edge_order") + 1).alias("j")), ["gene_id", "path_id"]).where("j > i")
-    common = ahead.groupBy(*g, "exit").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.max(F.col("j") - F.col("i")).alias("far"), F.sum(F.col("j") - F.col("i")).alias("total")).where("n = k")
-    near = common.groupBy(*g).agg(F.min_by("exit", F.struct("far", "total", "exit")).alias("exit"))
-    seq = ahead.join(near, [*g, "exit"]).join(every, ["gene_id", "path_id"]).withColumn("edges", F.slice("all_edges", F.col("i") + 1, F.col("j") - F.col("i")))
+    # dealt by gene once: the windows below need no shuffle of the pairs of a path's nodes
+    d = e.repartition("gene_id").where("gene_id IS NOT NULL AND path_id IS NOT NULL AND src IS NOT NULL")
+    w = Window.partitionBy(*g)
+    d = d.withColumn("ahead", F.collect_list(F.struct((F.col("edge_order") + 1).alias("j"), F.col("dst").alias("exit"))).over(Window.partitionBy("gene_id", "path_id")))
+    at = d.select("gene_id", "path_id", F.col("src").alias("entry"), F.col("edge_order").alias("i"), "edge_id", "ahead")
+    at = at.withColumns({"k": F.count("*").over(w), "branches": F.min("edge_id").over(w) < F.max("edge_id").over(w)}).where("branches")
+    ahead = at.select(*g, "path_id", "i", "k", F.explode(F.filter("ahead", lambda x: (x.j > F.col("i")) & x.exit.isNotNull())).alias("x")).select(*g, "path_id", "i", "k", "x.*")
+    x, steps = Window.partitionBy(*g, "exit"), F.col("j") - F.col("i")
+    common = ahead.withColumns({"n": F.count("*").over(x), "far": F.max(steps).over(x), "total": F.sum(steps).over(x)}).where("n = k")
+    near = common.withColumn("least", F.min(F.struct("far", "total", "exit")).over(w)).where("exit = least.exit")
+    seq = near.select(*g, "exit", "path_id", "i", "j").join(every, ["gene_id", "path_id"]).withColumn("edges", F.slice("all_edges", F.col("i") + 1, F.col("j") - F.col("i")))
     alt = seq.groupBy(*g, "exit", "edges").agg(F.array_sort(F.collect_set("path_id")).alias("paths"))
     alt = alt.withColumn("n_alt", F.count("*").over(Window.partitionBy(*g))).where("n_alt >= 2").drop("n_alt")
     # inner nodes: one edge in, one edge out, and in one alternative only
