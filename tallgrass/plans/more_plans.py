@@ -60,7 +60,7 @@ def m12(part):
     return metrics.matrix_identity(rows, cross, paths)
 
 
-@query("m13_monitor_record", "logits ec_partial counts", """SELECT (SELECT round(sum(nll * mass) / sum(mass), 6) FROM {nll_rows}) AS nll, (SELECT CAST(sum(mass) AS BIGINT) FROM {nll_rows}) AS nll_mass, round(sum(kl * total) / sum(total), 6) AS kl, count(*) AS kl_cell_genes
+@query("m13_monitor_record", "logit_sets ec_partial counts", """SELECT (SELECT round(sum(nll * mass) / sum(mass), 6) FROM {nll_rows}) AS nll, (SELECT CAST(sum(mass) AS BIGINT) FROM {nll_rows}) AS nll_mass, round(sum(kl * total) / sum(total), 6) AS kl, count(*) AS kl_cell_genes
 FROM (SELECT cell_id, gene_id, greatest(sum(CASE WHEN q > 0 THEN q * (ln(q) - logp) ELSE 0 END), 0) AS kl, max(total) AS total FROM {observed} GROUP BY 1, 2) x""")
 def m13(logits, ec, counts):
     return metrics.monitor_record(logits, sets(ec), counts).select(F.round("nll", 6).alias("nll"), "nll_mass", F.round("kl", 6).alias("kl"), "kl_cell_genes")
