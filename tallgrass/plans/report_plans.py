@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import contracts, regress
 from ..operators import matched as mt
 from ..operators import reports as rp
-from .bindings import BINDINGS, query
+from .bindings import BINDINGS, DEALT, query
 
+DEALT |= {"cents"}
 BINDINGS |= {
     "seeded": "SELECT p_partkey AS record, p_brand AS stratum, s AS seed, (HASH(s || '|' || p_partkey) % 2001 - 700) / CAST(1000 AS DOUBLE) AS value, p_size AS size, p_retailprice AS weight FROM {part}, (VALUES (1), (2), (3)) v(s)",
     "cents": "SELECT c_custkey AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM {customer}",
