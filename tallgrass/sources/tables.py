@@ -62,8 +62,11 @@ def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_dataset(df: DataFrame, path: str, partition: str, keys: list[str]) -> None:
-    """One folder per partition value, rows sorted by key within each file; an existing target is an error."""
-    df.repartition(partition).sortWithinPartitions(partition, *keys).write.partitionBy(partition).mode("errorifexists").parquet(path)
+    """One folder per partition value, rows sorted by key within each file; an existing target is an error.
+
+    Rows are dealt by ranges of value and keys, so that a value of many rows has several files.
+    """
+    df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), partition, *keys).sortWithinPartitions(partition, *keys).write.partitionBy(partition).mode("errorifexists").parquet(path)
 
 
 def merge_shards(shards: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:

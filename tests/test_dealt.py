@@ -19,3 +19,15 @@ def test_null_signs_are_drawn_in_many_tasks(spark, tmp_path):
     cents = bindings.bind(spark, str(tmp_path), "cents")
     assert cents.rdd.getNumPartitions() == 4
     assert sorted(r.cents for r in cents.collect()) == [100 * i for i in range(40)]
+
+
+def test_a_value_of_many_rows_has_several_files(spark, tmp_path):
+    """Partition values are dealt by ranges of their keys."""
+    d = spark.range(4000).selectExpr("CASE WHEN id % 20 = 0 THEN 'b' ELSE 'a' END AS v", "(id * 7919) % 4000 AS k")
+    tables.write_dataset(d, f"{tmp_path}/out", "v", ["k"])
+    files = glob.glob(f"{tmp_path}/out/v=a/*.parquet")
+    assert len(files) >= 3
+    for f in files:
+        keys = [r.k for r in spark.read.parquet(f).collect()]
+        assert keys == sorted(keys)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("v", "k").collect())) == sorted(map(tuple, d.collect()))
