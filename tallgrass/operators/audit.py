@@ -123,7 +123,7 @@ def quantiles(df: DataFrame, by: list[str], x: str, q: float) -> DataFrame:
 def weighted_r2(df: DataFrame, by: list[str], y: str, predicted: str, w: str) -> DataFrame:
     """1 - weighted residual over weighted total sum of squares; NULL without variance (A10)."""
     mean = df.groupBy(*by).agg(weighted_mean(F.col(y), F.col(w)).alias("m"))
-    d = df.join(mean, by)
+    d = df.join(F.broadcast(mean), by)  # a row per stratum; a shuffle by strata would bring all rows to a few tasks
     sq = lambda a, b: F.sum(F.col(w) * F.pow(F.col(a) - F.col(b), F.lit(2)))
     out = d.groupBy(*by).agg(sq(y, predicted).alias("rss"), sq(y, "m").alias("tss"))
     return out.select(*by, F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss")).alias("r2"))
