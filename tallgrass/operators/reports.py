@@ -154,12 +154,13 @@ def stratified_gap(genes: DataFrame, top: float = 0.1) -> DataFrame:
 def bootstrap_ci(df: DataFrame, x: str, b: int, seed: int) -> DataFrame:
     """95 % interval of the mean by resampling rows with a portable hash (R16). df: i (dense 0-based index), x.
 
-    Draws are (replicate, draw) pairs hashed to an index; the join on the index is an equi-join.
+    Draws are (replicate, draw) pairs hashed to an index; the join on the index is an equi-join, without a sort of the
+    draws. Rows are dealt anew before they are multiplied, so that a small file's draws are not made in one task.
     """
     n = df.agg(F.count("*").alias("n"))
-    draws = df.select("i").crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    draws = df.select("i").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     draws = draws.select("rep", (hash32(F.lit(seed), "rep", "i") % F.col("n")).alias("i"))
-    means = draws.join(df.select("i", F.col(x).alias("x")), "i").groupBy("rep").agg(F.avg("x").alias("m"))
+    means = draws.join(df.select("i", F.col(x).alias("x")).hint("shuffle_hash"), "i").groupBy("rep").agg(F.avg("x").alias("m"))
     p = lambda q: F.percentile("m", F.lit(q))
     out = means.agg(p(0.025).alias("lo"), p(0.975).alias("hi")).crossJoin(df.agg(F.avg(x).alias("mean")))
     return out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))

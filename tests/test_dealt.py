@@ -21,6 +21,15 @@ def test_null_signs_are_drawn_in_many_tasks(spark, tmp_path):
     assert sorted(r.cents for r in cents.collect()) == [100 * i for i in range(40)]
 
 
+def test_draws_are_dealt_and_not_sorted(spark):
+    """Draws are made in many tasks and meet their values without a sort."""
+    d = spark.range(30).selectExpr("id AS i", "CAST(id AS double) AS x").coalesce(1)
+    out = reports.bootstrap_ci(d, "x", 200, 5)
+    assert "RoundRobinPartitioning(4)" in plan_of(out) and "SortMergeJoin" not in plan_of(out)
+    r = out.first()
+    assert r.lo < r["mean"] == 14.5 < r.hi
+
+
 def test_a_value_of_many_rows_has_several_files(spark, tmp_path):
     """Partition values are dealt by ranges of their keys."""
     d = spark.range(4000).selectExpr("CASE WHEN id % 20 = 0 THEN 'b' ELSE 'a' END AS v", "(id * 7919) % 4000 AS k")
