@@ -1,19 +1,78 @@
-"""Connected components by label propagation with lineage cut to the shared folder."""
+"""Connected components: tasks join their own links, labels spread between what they made; lineage is cut to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
+#: Links, and bytes of their ends, that a task joins at once at most; rows of an Arrow batch that it returns.
+CHUNK, CHUNK_BYTES, BATCH = 1 << 22, 1 << 28, 1 << 16
+
+
+def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes; u and v are the ends of the links."""
+    label = np.arange(n)
+    while len(u):
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        apart = low < high
+        u, v = u[apart], v[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def local_roots(edges: DataFrame) -> DataFrame:
+    """(node, root): the nodes of each chunk of links with the least node that they reach within it; nothing is shuffled."""
+
+    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = pa.concat_arrays([b.column(k) for k in (0, 1) for b in held]).dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        u, v = rank[ends.indices.to_numpy()].reshape(2, -1)
+        label, names = least_labels(u, v, len(order)), ends.dictionary.take(order)
+        for at in range(0, len(names), BATCH):
+            yield pa.RecordBatch.from_arrays([names.slice(at, BATCH), names.take(pa.array(label[at : at + BATCH]))], names=["node", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for b in batches:
+            held.append(b)
+            rows, size = rows + b.num_rows, size + b.nbytes
+            if rows >= CHUNK or size >= CHUNK_BYTES:
+                yield from joined(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from joined(held)
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.select("a", "b").where("a <> b").mapInArrow(run, f"node {kind}, root {kind}")
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each linked node's component. edges: a, b.
+    """(node, root): the least node of each linked node's component. edges: a, b, of one type.
 
-    Every round takes the least label of the neighbours, then the label of the label, until nothing changes.
+    Each task joins its own links, so that a row for each node and chunk is left. A node of several chunks links their
+    roots; labels spread over these links only.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    w = Window.partitionBy("node").orderBy("root")
+    placed = cut(local_roots(edges).select("node", "root", F.first("root").over(w).alias("least"), F.row_number().over(w).alias("k")))
+    one = placed.where("k = 1").select("node", "least")
+    met = spread(placed.where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")))
+    return one.join(met.withColumnRenamed("node", "least"), "least", "left").select("node", F.coalesce("root", "least").alias("root"))
+
+
+def spread(links: DataFrame) -> DataFrame:
+    """components() by labels: every round takes the least label of the neighbours, then the label of the label, until nothing changes."""
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))

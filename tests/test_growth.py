@@ -1,6 +1,7 @@
 """Steps whose memory, shuffles or times must not grow faster than their input."""
 
 from tallgrass.operators import graph, metrics, reports
+from tallgrass.streaming import components as linked
 
 
 def plan_of(df) -> str:
@@ -53,3 +54,29 @@ def test_softmax_of_sets_needs_no_sort(spark):
         assert "Window" not in plan_of(out) and "SortMergeJoin" not in plan_of(out)
         near = lambda d: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect())
         assert near(out) == near(want) and near(out)
+
+
+def test_components_write_no_more_than_nodes_of_chunks(spark, monkeypatch):
+    """Each task joins its own links first, so that dense links leave few rows to shuffle and write."""
+    written, cut = [], linked.cut
+    monkeypatch.setattr(linked, "cut", lambda d, *kind: (out := cut(d, *kind), written.append(out.count()))[0])
+    ids = [(c, i) for c in range(3) for i in range(40)]
+    links = [(f"n{c}-{i}", f"n{c}-{j}") for c, i in ids for j in range(40) if i != j] + [(None, "x"), ("x", "x")]
+    got = linked.components(spark.createDataFrame(links, "a string, b string").repartition(2)).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((f"n{c}-{i}", f"n{c}-0") for c, i in ids)
+    assert sum(written) <= 3 * 2 * len(ids) < len(links) / 2
+
+
+def test_components_of_chains_over_chunks(spark, monkeypatch):
+    """A chain that no chunk holds whole has one root, its least node."""
+    monkeypatch.setattr(linked, "CHUNK", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        links = spark.range(0, 90, 1, 5).where("id % 30 <> 29").selectExpr("(id * 37) % 90 AS a", "((id + 1) * 37) % 90 AS b")
+        got = {r.node: r.root for r in linked.components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in range(3):
+        chain = [k * 37 % 90 for k in range(30 * c, 30 * c + 30)]
+        assert {got[x] for x in chain} == {min(chain)}
+    assert len(got) == 90
