@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
-from .bindings import BINDINGS, query
+from .bindings import BINDINGS, BUILT, lines_of_orders, query
 
 HOUR = 3_600_000_000
 BINDINGS |= {
@@ -16,6 +16,15 @@ BINDINGS |= {
 }
 
 
+def exons(lineitem, orders):
+    at = F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")
+    d = lines_of_orders(lineitem, orders)
+    return d.select(F.col("o_custkey").alias("gene_id"), F.col("o_orderkey").alias("path_id"), at.alias("s"), (at + 20 + F.col("l_partkey") % 60).alias("e"))
+
+
+BUILT["exons"] = ("lineitem orders", exons)
+
+
 @query("i1_oriented_window", "regions", "SELECT anchor_id, CASE WHEN strand = '-' THEN rs - 50 ELSE rs - 10 END AS ws, CASE WHEN strand = '-' THEN rs + 10 ELSE rs + 50 END AS we FROM {regions}")
 def i1(regions):
     s, e = iv.oriented_window(F.col("rs"), -10, 50, F.col("strand"))

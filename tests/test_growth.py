@@ -2,7 +2,10 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from tallgrass.operators import graph, metrics, reports
+from tallgrass.plans import bindings, catalog
 from tallgrass.streaming import components as linked
 
 
@@ -97,3 +100,14 @@ def test_group_probabilities_stay_in_their_rows(spark):
     assert got.keys() == want.keys()
     for k, p in want.items():
         assert abs(got[k].p - p) < 1e-12 and abs(got[k].logp - math.log(p)) < 1e-12
+
+
+def test_exons_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks that join lines to orders and gather exons have a bounded number of rows, whatever the shuffle partitions (G1)."""
+    monkeypatch.setattr(bindings, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    lines = bindings.bind(spark, sf, "lineitem").count()
+    exons = bindings.bind(spark, sf, "exons")
+    tasks = exons.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) < 1500 and sum(r["count"] for r in tasks) == lines
+    assert "hashpartitioning(l_orderkey#" in plan_of(exons) and f", {1 + lines // 500})" in plan_of(catalog.QUERIES["g1_introns"](spark, sf))
