@@ -132,7 +132,7 @@ def q12(part):
     return contracts.dtu_provenance(m)
 
 
-@query("q10_validate_dataset", "counts paths cell_split ec", """SELECT 'counts_without_path' AS check_, count(*) FILTER (path_id NOT IN (SELECT path_id FROM {paths})) AS violations FROM {counts} UNION ALL SELECT 'counts_without_cell', count(*) FILTER (cell_id NOT IN (SELECT cell_id FROM {cell_split})) FROM {counts}
+@query("q10_validate_dataset", "dealt_counts paths cell_split dealt_ec", """SELECT 'counts_without_path' AS check_, count(*) FILTER (path_id NOT IN (SELECT path_id FROM {paths})) AS violations FROM {counts} UNION ALL SELECT 'counts_without_cell', count(*) FILTER (cell_id NOT IN (SELECT cell_id FROM {cell_split})) FROM {counts}
 UNION ALL SELECT 'paths_repeated', 0 UNION ALL SELECT 'cells_repeated', 0 UNION ALL SELECT 'bad_split', 0 UNION ALL SELECT 'mass_not_positive', count(*) FILTER (mass <= 0) FROM {ec}""")
 def q10(counts, paths, split, ec):
     return contracts.validate_dataset(counts, paths, split, ec)

@@ -111,3 +111,15 @@ def test_exons_are_dealt_by_their_number(spark, monkeypatch):
     tasks = exons.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in tasks) < 1500 and sum(r["count"] for r in tasks) == lines
     assert "hashpartitioning(l_orderkey#" in plan_of(exons) and f", {1 + lines // 500})" in plan_of(catalog.QUERIES["g1_introns"](spark, sf))
+
+
+def test_counts_and_evidence_are_dealt_by_their_number(spark, monkeypatch):
+    """The tables of the dataset check are made by tasks of a bounded number of rows, and are those of the SQL (Q10)."""
+    monkeypatch.setattr(bindings, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    n = 1 + bindings.bind(spark, sf, "lineitem").count() // 500
+    assert f", {n})" in plan_of(catalog.QUERIES["q10_validate_dataset"](spark, sf))
+    for name in ("counts", "ec"):
+        own, plain = bindings.bind(spark, sf, f"dealt_{name}"), bindings.bind(spark, sf, name)
+        assert max(r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()) < 2000
+        assert sorted(map(repr, own.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
