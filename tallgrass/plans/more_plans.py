@@ -12,7 +12,6 @@ from ..operators import metrics, regress, split
 from ..sources.shared import cut
 from .bindings import query
 from .interval_plans import exon_paths
-from .metric_plans import sets
 
 
 @query("i5_anchor_regions", "part nation supplier", """WITH n AS (SELECT p_size AS gene_id, 'n' || p_partkey AS node_id, CASE p_partkey % 4 WHEN 0 THEN 'TSS' WHEN 1 THEN 'donor' WHEN 2 THEN 'acceptor' ELSE 'SINK' END AS node_type, p_partkey % 3000 AS pos, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part),
@@ -60,10 +59,10 @@ def m12(part):
     return metrics.matrix_identity(rows, cross, paths)
 
 
-@query("m13_monitor_record", "logit_sets ec_partial counts", """SELECT (SELECT round(sum(nll * mass) / sum(mass), 6) FROM {nll_rows}) AS nll, (SELECT CAST(sum(mass) AS BIGINT) FROM {nll_rows}) AS nll_mass, round(sum(kl * total) / sum(total), 6) AS kl, count(*) AS kl_cell_genes
+@query("m13_monitor_record", "dealt_units", """SELECT (SELECT round(sum(nll * mass) / sum(mass), 6) FROM {nll_rows}) AS nll, (SELECT CAST(sum(mass) AS BIGINT) FROM {nll_rows}) AS nll_mass, round(sum(kl * total) / sum(total), 6) AS kl, count(*) AS kl_cell_genes
 FROM (SELECT cell_id, gene_id, greatest(sum(CASE WHEN q > 0 THEN q * (ln(q) - logp) ELSE 0 END), 0) AS kl, max(total) AS total FROM {observed} GROUP BY 1, 2) x""")
-def m13(logits, ec, counts):
-    return metrics.monitor_record(logits, sets(ec), counts).select(F.round("nll", 6).alias("nll"), "nll_mass", F.round("kl", 6).alias("kl"), "kl_cell_genes")
+def m13(units):
+    return metrics.monitor_record(units).select(F.round("nll", 6).alias("nll"), "nll_mass", F.round("kl", 6).alias("kl"), "kl_cell_genes")
 
 
 NUISANCE = (["log_mass", "rows"], ["gene_group", "donor"])

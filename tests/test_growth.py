@@ -123,3 +123,38 @@ def test_counts_and_evidence_are_dealt_by_their_number(spark, monkeypatch):
         own, plain = bindings.bind(spark, sf, f"dealt_{name}"), bindings.bind(spark, sf, name)
         assert max(r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()) < 2000
         assert sorted(map(repr, own.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_one_pass_serves_logits_counts_and_evidence(spark, monkeypatch):
+    """Lines are read and moved once, whatever the tables' sizes, by tasks of a bounded number of rows."""
+    monkeypatch.setattr(bindings, "TASK_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    n = 1 + bindings.bind(spark, sf, "lineitem").count() // 500
+    for name in ("m13_monitor_record",):
+        plan = plan_of(catalog.QUERIES[name](spark, sf))
+        assert plan.count("FileScan parquet [l_") == 1 and plan.count(f", {n})") == 5  # two sides of two joins, cell and gene
+    units = bindings.bind(spark, sf, "dealt_units")
+    assert max(r["count"] for r in units.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    flat = {
+        "logits": units.selectExpr("cell_id", "gene_id", "inline(logits)"),
+        "counts": units.selectExpr("cell_id", "gene_id", "inline(counts)"),
+        "ec_partial": units.selectExpr("cell_id", "gene_id", "inline(ec)").withColumn("paths_key", F.array_join("paths", ";")),
+    }
+    for name, own in flat.items():
+        plain = bindings.bind(spark, sf, name)
+        assert sorted(map(repr, own.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_monitor_record_of_tables_and_units(spark):
+    """Cells with evidence alone, counts alone, neither, a repeated row and a set without logits, by hand."""
+    logits = spark.createDataFrame([(c, "g", p, 0.0) for c in range(5) for p in "abcd"], "cell_id long, gene_id string, path_id string, logit double")
+    rows = [(0, "g", ["a"], 2, 4), (0, "g", ["a"], 2, 4), (1, "g", ["a", "b"], 4, 4), (1, "g", ["x"], 9, 4), (1, "g", ["a", "b", "c", "d"], 7, 4), (9, "g", ["a"], 1, 4)]
+    counts = spark.createDataFrame([(1, "g", "a", 1), (1, "g", "b", 1), (2, "g", "a", 3), (2, "g", "c", 1), (3, "g", "a", 5)], "cell_id long, gene_id string, path_id string, n long")
+    kl = (2 * math.log(2) + 4 * (0.75 * math.log(3))) / 6
+    for kind in ("long", "double"):
+        ec = spark.createDataFrame([(*r[:3], float(r[3]) if kind == "double" else r[3], r[4]) for r in rows], f"cell_id long, gene_id string, paths array<string>, mass {kind}, n_legal int")
+        units = metrics.with_own(logits, "left", ec=ec, counts=counts)
+        for got in (metrics.monitor_record(logits, ec, counts).first(), metrics.monitor_record(units).first()):
+            assert abs(got.nll - (4 * math.log(4) + 4 * math.log(2)) / 8) < 1e-12 and got.nll_mass == 8
+            assert abs(got.kl - kl) < 1e-12 and got.kl_cell_genes == 2
+    assert metrics.monitor_record(logits, ec.limit(0), counts.limit(0)).first() == (None, None, None, 0)
