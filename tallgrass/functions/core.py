@@ -22,6 +22,17 @@ def top_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def ordered_sum(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
+    """(keys, value): the sum of every group, added up in a given order, so that each reading gives the same bits.
+
+    A plain sum of doubles takes partial sums as they come; groups of the same values then differ in their last bit.
+    A group's rows are summed as they pass, and may be spilled.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order, value)
+    d = df.select(*keys, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"), F.row_number().over(w).alias("_k"))
+    return d.groupBy(*keys).agg(F.max_by("_sum", "_k").alias(value))
+
+
 def average_rank(value: Column, keys: list[str]) -> Column:
     """Ranks from 1 in which ties share their mean rank."""
     w = Window.partitionBy(*keys)

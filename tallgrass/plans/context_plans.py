@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.core import ordered_sum
 from ..operators import context as cx
-from .bindings import BINDINGS, query
+from .bindings import BINDINGS, BUILT, query
 
 BINDINGS |= {
     "usage": "SELECT user_id AS cell_id, event_type AS gene_id, count(*) AS n FROM {events} GROUP BY 1, 2",
@@ -14,6 +15,16 @@ BINDINGS |= {
     "user_mass": "SELECT user_id AS cell_id, count(*) AS mass FROM {events} GROUP BY 1",
     "access": "SELECT user_id AS cell_id, CAST(event_id % 4 AS BIGINT) AS peak_id, ln(1 + sum(value)) AS access FROM {events} GROUP BY 1, 2",
 }
+
+
+def access(events):
+    """The rows of `access`; values are added by event, so that equal users tie at a quantile in each use of the table."""
+    d = events.select(F.col("user_id").alias("cell_id"), (F.col("event_id") % 4).alias("peak_id"), "event_id", F.col("value").cast("double").alias("value"))
+    return ordered_sum(d, ["cell_id", "peak_id"], "value", "event_id").select("cell_id", "peak_id", F.log(1 + F.col("value")).alias("access"))
+
+
+BUILT["access"] = ("events", access)
+
 ACT = """lib AS (SELECT cell_id, sum(n) AS library FROM {usage} GROUP BY 1), own AS (SELECT cell_id, entity_id, sum(n) AS raw FROM {usage} u JOIN {members} m ON m.gene_id = u.gene_id GROUP BY 1, 2),
 act AS (SELECT l.cell_id, e.entity_id, CAST(coalesce(raw, 0) AS BIGINT) AS raw, ln(1 + 10000.0 * coalesce(raw, 0) / library) AS activity FROM lib l, (SELECT DISTINCT entity_id FROM {members}) e LEFT JOIN own o ON o.cell_id = l.cell_id AND o.entity_id = e.entity_id)"""
 
