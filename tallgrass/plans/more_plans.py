@@ -9,7 +9,6 @@ from ..operators import graph as gr
 from ..operators import identify as idf
 from ..operators import intervals as iv
 from ..operators import metrics, regress, split
-from ..sources.shared import cut
 from .bindings import query
 from .interval_plans import exon_paths
 
@@ -34,10 +33,20 @@ def i5(part, nation, supplier):
 
 @query("f8_internal_choices", "exons")
 def f8(exons):
-    paths = exon_paths(exons).withColumn("strand", F.lit("+"))
-    _, _, steps = gr.compile_graph(paths)
-    steps = steps.drop("lo", "hi", "length_bp").withColumnsRenamed({"src_node_id": "src", "dst_node_id": "dst"}).withColumn("path_id", F.col("path_id").cast("string"))
-    out = idf.internal_choices(cut(steps))  # read many times
+    """Nodes are numbers, position and type in one, until the alternatives are found."""
+    d = gr.stepped_paths(exon_paths(exons).withColumn("strand", F.lit("+")))
+    code = lambda v, pos, kind: v[pos] * len(gr.TYPES) + v[kind]
+    each = lambda f, name: F.transform("steps", f).alias(name)
+    kinds = ["SPLICE", "RETAINED_INTRON", "EXON_CONTINUATION"]
+    place = F.array(*map(F.lit, kinds))
+    paths = d.select(
+        "gene_id", F.col("path_id").cast("string").alias("path_id"), each(lambda v: (F.array_position(place, v.edge_type) - 1).cast("byte"), "edge"),
+        each(lambda v: code(v, "pos", "type"), "src"), each(lambda v: code(v, "dst_pos", "dst_type"), "dst"),
+    )
+    names = F.array(*map(F.lit, gr.TYPES))
+    node = lambda v: F.concat_ws(":", "gene_id", F.get(names, F.pmod(v, F.lit(len(gr.TYPES)))), F.floor(v / len(gr.TYPES)))
+    edge = lambda v: F.concat_ws(">", node(v.src), node(v.dst), F.get(place, v.edge))
+    out = idf.named_choices(idf.path_choices(paths), node, edge)
     return out.select("gene_id", "choice_id", "alternative_id", F.array_join("edges", ",").alias("edges"), F.array_join("paths", ",").alias("paths"))
 
 
