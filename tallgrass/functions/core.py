@@ -53,11 +53,6 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in pairs)))
 
 
-def log_sum_exp(x: Column, peak: Column) -> Column:
-    """ln sum exp(x), given the group's greatest x; an aggregate."""
-    return F.first(peak) + F.log(F.sum(F.exp(x - peak)))
-
-
 def guarded(fault: Column) -> Column:
     """A filter that is true, or an error with the text of the fault where there is one."""
     return F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True))
