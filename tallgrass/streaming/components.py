@@ -30,7 +30,12 @@ def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 def local_roots(edges: DataFrame) -> DataFrame:
-    """(node, root): the nodes of each chunk of links with the least node that they reach within it; nothing is shuffled."""
+    """(node, root): the nodes of each chunk of links with the least node that they reach within it.
+
+    Links come with those of the same first end, so that a chunk holds whole stars, which meet: a chunk of links from
+    anywhere would fall into about as many parts as it has links, once there are many more nodes than a chunk has links.
+    The tasks of an end of very many links are split (rebalance).
+    """
 
     def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.concat_arrays([b.column(k) for k in (0, 1) for b in held]).dictionary_encode()
@@ -54,13 +59,13 @@ def local_roots(edges: DataFrame) -> DataFrame:
             yield from joined(held)
 
     kind = edges.schema["a"].dataType.simpleString()
-    return edges.select("a", "b").where("a <> b").mapInArrow(run, f"node {kind}, root {kind}")
+    return edges.select("a", "b").where("a <> b").hint("rebalance", "a").sortWithinPartitions("a").mapInArrow(run, f"node {kind}, root {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each linked node's component. edges: a, b, of one type.
 
-    Each task joins its own links, so that a row for each node and chunk is left. A node of several chunks links their
+    Each task joins its own links (local_roots), so that a row for each node and chunk is left. A node of several chunks links their
     roots; labels spread over these links only.
     """
     w = Window.partitionBy("node").orderBy("root")
@@ -84,17 +89,40 @@ def spread(links: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
+def joined_members(nodes: DataFrame) -> DataFrame:
+    """(root, members, size): the nodes of every root in order, joined by commas. nodes: node, root, a row per node.
+
+    Nodes are dealt by range and joined where they lie; what meets in one task for a root is a text for each batch of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            root = b.column(0)
+            new = np.flatnonzero(pc.not_equal(root.slice(1), root.slice(0, len(root) - 1)).to_numpy(zero_copy_only=False)) + 1
+            cuts = np.concatenate([[0], new, [len(root)]])
+            texts = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), b.column(2))
+            at = pa.array(cuts[:-1])
+            yield pa.RecordBatch.from_arrays([root.take(at), b.column(1).take(at), pa.array(np.diff(cuts)), pc.binary_join(texts, ",")], names=["root", "first", "size", "text"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    dealt = nodes.repartitionByRange("root", "node").sortWithinPartitions("root", "node").select("root", "node", F.col("node").cast("string").alias("text"))
+    parts = dealt.mapInArrow(run, f"root {kind}, first {kind}, size long, text string")
+    by = parts.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("first", "text"))).alias("parts"), F.sum("size").alias("size"))
+    return by.select("root", F.array_join("parts.text", ",").alias("members"), "size")
+
+
+def named_sets(root: DataFrame) -> DataFrame:
+    return joined_members(root).select("root", F.concat(F.lit("set:"), F.substring(F.sha2("members", 256), 1, 24)).alias("set_id"), "size", "members")
+
+
 def correlated_sets(pairs: DataFrame) -> DataFrame:
     """Sets of gates that are linked by pairs (gate_a, gate_b): set id, size, members."""
-    root = components(pairs.select(F.col("gate_a").alias("a"), F.col("gate_b").alias("b")))
-    by = root.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members"), F.count("*").alias("size"))
-    return by.select(F.concat(F.lit("set:"), F.substring(F.sha2("members", 256), 1, 24)).alias("set_id"), "size", "members")
+    return named_sets(components(pairs.select(F.col("gate_a").alias("a"), F.col("gate_b").alias("b")))).drop("root")
 
 
 def set_edges(pairs: DataFrame) -> DataFrame:
     """The pairs that link each correlated set: set_id, gate_a, gate_b, once each, the lesser gate first."""
     root = components(pairs.select(F.col("gate_a").alias("a"), F.col("gate_b").alias("b")))
-    by = root.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("members"))
-    named = root.join(by, "root").select("node", F.concat(F.lit("set:"), F.substring(F.sha2("members", 256), 1, 24)).alias("set_id"))
+    named = root.join(named_sets(root).select("root", "set_id"), "root").select("node", "set_id")
     edges = pairs.where("gate_a <> gate_b").select(F.least("gate_a", "gate_b").alias("gate_a"), F.greatest("gate_a", "gate_b").alias("gate_b")).distinct()
     return edges.join(named, edges.gate_a == named.node).select("set_id", "gate_a", "gate_b")
